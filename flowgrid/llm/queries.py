@@ -4,22 +4,36 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from flowgrid.llm import packing, store, tokens
+from flowgrid.llm import langid, packing, simhash, store, tokens, toxicity
 from flowgrid.llm.shared import fresh_path, table
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return langid.identify(docs, langid.train(docs))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "tokens")
     store.write_tokens(table(spark, sf_dir, "documents"), path, tokens.default_path(), end_id=2)
     return store.digest(store.read_tokens(spark, path))
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokens.default_path(), end_id=1)
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op7_token_store, op9_best_fit_packing)}
+    return {f.__name__: f for f in (op1_language_id, op5_toxicity, op7_token_store, op8_simhash, op9_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -1,44 +1,15 @@
-"""Helpers that several text operators use: the shared folder, written intermediate tables, token streams."""
+"""Helpers that several text operators use."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-#: Words are maximal runs of anything but ASCII white space.
-SPACE = r"[\x20\x09-\x0D]+"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, else a folder under the warehouse."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    return (found or spark.conf.get("spark.sql.warehouse.dir") + "/_scratch").rstrip("/")
-
+from flowgrid.functions.storage import discard, fresh_path, materialize, shared_dir
 
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+__all__ = ["SPACE", "discard", "fresh_path", "materialize", "pick", "shared_dir", "table"]
 
-
-def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: later stages start from these files, not from lineage."""
-    spark = df.sparkSession
-    path = fresh_path(spark, name)
-    schema = df.schema
-    writer = df.write.option("compression", "zstd")
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-    back = spark.read.schema(schema).parquet(path)
-    back._flowgrid_path = path
-    return back
-
-
-def discard(df: DataFrame) -> None:
-    """Remove a table that ``materialize`` wrote and nothing reads any more."""
-    path = getattr(df, "_flowgrid_path", None)
-    if path:
-        jvm = df.sparkSession._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
+#: Words are maximal runs of anything but ASCII white space.
+SPACE = r"[\x20\x09-\x0D]+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
