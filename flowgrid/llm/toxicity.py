@@ -20,9 +20,11 @@ from flowgrid.llm.tokens import in_batches
 WINDOW, STRIDE = 32, 24
 #: Rows of the word and character tables, numbers in a row, size of a gated unit's state.
 WORD_ROWS, CHAR_ROWS, WIDE, STATE = 1 << 15, 1 << 15, 8, 8
+#: Training texts that a word or character row must be in to be learned; others stay zero.
+LEAST_TEXTS = 5
 #: Labelled documents of each label used for training at most: those of least hash; windows of one of them at most.
 PER_LABEL, TRAIN_WINDOWS = 1000, 200
-EPOCHS, THRESHOLD, SEED = 4, 0.3, 7
+STEPS, BATCH, THRESHOLD, SEED = 180, 48, 0.3, 7
 EDGES = ".,;:!?|\"'()[]{}*#$%&<>-"
 OUT = "doc_id long, held_out boolean, score double, predicted int"
 
@@ -152,33 +154,41 @@ class Network:
         np.add.at(g["char"], words.char4, np.repeat(share, words.n4, 0))
         return g
 
-    def fit(self, texts: list[str], labels: list[int], epochs: int = EPOCHS, seed: int = SEED, rate: float = 0.02) -> None:
-        """Adam. In the first epoch all windows carry their text's label; later a text's highest window does,
+    def fit(self, texts: list[str], labels: list[int], steps: int = STEPS, seed: int = SEED, rate: float = 0.02) -> None:
+        """Adam, ``steps`` batches of texts. In the first quarter all windows carry their text's label; later a text's highest window does,
         and in texts labelled 0 another one too."""
         r, moment = np.random.default_rng(seed), {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in self.p.items()}
-        step = 0
-        for epoch in range(epochs):
-            order = r.permutation(len(texts))
-            for lo in range(0, len(order), 48):
-                some = order[lo : lo + 48]
-                words = Words([texts[i] for i in some])
-                win, doc, n = words.windows()
-                y = np.array([labels[i] for i in some], np.float32)
-                fits = np.flatnonzero(np.arange(len(win)) - np.repeat(np.cumsum(n) - n, n) < TRAIN_WINDOWS)
-                if epoch:
-                    logit = self.forward(words.features(self.p["word"], self.p["char"]), win[fits])
-                    top = fits[np.lexsort((-logit, doc[fits]))]
-                    first = np.unique(doc[top], return_index=True)[1]
-                    other = r.permutation(fits)[: len(some)]
-                    chosen = np.concatenate([top[first], other[y[doc[other]] == 0]])
-                else:
-                    chosen = r.permutation(fits)[:512]
-                g, step = self.gradients(words, win[chosen], y[doc[chosen]]), step + 1
-                for k, v in g.items():
-                    a, b = moment[k]
-                    a += 0.1 * (v - a)
-                    b += 0.01 * (v * v - b)
-                    self.p[k] = (self.p[k] - rate * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.99**step)) + 1e-7)).astype(np.float32)
+        step, order = 0, np.zeros(0, np.int64)
+        seen = {"word": np.zeros(WORD_ROWS, np.int64), "char": np.zeros(CHAR_ROWS, np.int64)}
+        for t in texts:
+            one = Words([t])
+            seen["word"][np.unique(one.word)] += 1
+            seen["char"][np.unique(np.concatenate([one.char3, one.char4]))] += 1
+        learned = {k: (v >= LEAST_TEXTS)[:, None] for k, v in seen.items()}
+        while step < steps:
+            if len(order) < BATCH:
+                order = np.concatenate([order, r.permutation(len(texts))])
+            some, order = order[:BATCH], order[BATCH:]
+            words = Words([texts[i] for i in some])
+            win, doc, n = words.windows()
+            y = np.array([labels[i] for i in some], np.float32)
+            fits = np.flatnonzero(np.arange(len(win)) - np.repeat(np.cumsum(n) - n, n) < TRAIN_WINDOWS)
+            if 4 * step >= steps:
+                logit = self.forward(words.features(self.p["word"], self.p["char"]), win[fits])
+                top = fits[np.lexsort((-logit, doc[fits]))]
+                first = np.unique(doc[top], return_index=True)[1]
+                other = r.permutation(fits)[: len(some)]
+                chosen = np.concatenate([top[first], other[y[doc[other]] == 0]])
+            else:
+                chosen = r.permutation(fits)[:512]
+            g, step = self.gradients(words, win[chosen], y[doc[chosen]]), step + 1
+            for k, v in g.items():
+                v = v * learned[k] if k in learned else v
+                a, b = moment[k]
+                a += 0.1 * (v - a)
+                # rows of a table share one scale, else a row that is met once would move as far as a common one
+                b += 0.01 * ((np.square(v).sum() / max(1, np.count_nonzero(v)) if k in learned else v * v) - b)
+                self.p[k] = (self.p[k] - rate * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.99**step)) + 1e-7)).astype(np.float32)
 
     def score(self, texts: list[str]) -> np.ndarray:
         """The probability of each whole text's highest window."""
@@ -199,12 +209,12 @@ def training_sample(docs: DataFrame, labels: DataFrame, per_label: int = PER_LAB
     return pick(docs, "doc_id", "text").filter(F.col("text").isNotNull()).join(F.broadcast(some), "doc_id")
 
 
-def train(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, epochs: int = EPOCHS) -> Network:
+def train(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, steps: int = STEPS) -> Network:
     """Train on a bounded sample of labelled documents; the same tables give the same network."""
     rows = sorted((r.doc_id, r.text, r.toxic) for r in training_sample(docs, labels, per_label).toLocalIterator())
     net = Network()
     if len({t for _, _, t in rows}) == 2:
-        net.fit([t for _, t, _ in rows], [y for _, _, y in rows], epochs)
+        net.fit([t for _, t, _ in rows], [y for _, _, y in rows], steps)
     return net
 
 
