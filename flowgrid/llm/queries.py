@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from flowgrid.llm import langid, packing, simhash, store, tokens, toxicity
+from flowgrid.llm import langid, packing, quality, simhash, store, tokens, toxicity
 from flowgrid.llm.shared import fresh_path, table
 
 
@@ -32,8 +32,12 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokens.default_path(), end_id=1)
 
 
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_language_id, op5_toxicity, op7_token_store, op8_simhash, op9_best_fit_packing)}
+    return {f.__name__: f for f in (op1_language_id, op5_toxicity, op7_token_store, op8_simhash, op9_best_fit_packing, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
