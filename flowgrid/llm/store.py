@@ -10,7 +10,6 @@ from __future__ import annotations
 import zlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -42,17 +41,17 @@ def _encode(vocabulary: str, end_id: int | None):
         from pyspark import TaskContext
 
         code, part, at = encoder(vocabulary), TaskContext.get().partitionId(), 0
-        for pdf in batches:
-            texts = pdf.text.fillna("").tolist()
-            doc_ids = pdf.doc_id.astype("Int64")
+        for b in batches:
+            texts, doc_ids = b.column("text").fill_null("").to_pylist(), b.column("doc_id")
             for lo, hi in in_batches(texts):
                 ids, offs = code.encode(texts[lo:hi])
                 if end_id is not None:
                     ids, offs = np.insert(ids, offs[1:], end_id), offs + np.arange(len(offs))
-                yield pd.DataFrame({
-                    "doc_id": doc_ids.iloc[lo:hi].array, "part": np.int32(part), "local_start": at + offs[:-1],
-                    "n_tokens": np.diff(offs), "ids": [ids[a:b] for a, b in zip(offs[:-1], offs[1:])],
-                })
+                columns = [
+                    doc_ids.slice(lo, hi - lo), pa.array(np.full(hi - lo, part, np.int32)), pa.array(at + offs[:-1]), pa.array(np.diff(offs)),
+                    pa.ListArray.from_arrays(pa.array(offs.astype(np.int32)), pa.array(ids.astype(np.int32, copy=False))),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "part", "local_start", "n_tokens", "ids"])
                 at += int(offs[-1])
 
     return run
@@ -70,7 +69,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int | None
     # The hash keeps a doc_id that very many rows share from filling one range.
     ordered = rows.withColumn("tie", F.xxhash64("text")).repartitionByRange("doc_id", "tie")
     ordered = ordered.sortWithinPartitions("doc_id", "tie", "text").select("doc_id", "text")
-    ordered.mapInPandas(_encode(vocabulary, end_id), STORED).write.options(**LAYOUT).mode("overwrite").parquet(path)
+    ordered.mapInArrow(_encode(vocabulary, end_id), STORED).write.options(**LAYOUT).mode("overwrite").parquet(path)
 
 
 def read_tokens(spark: SparkSession, path: str, first: int | None = None, last: int | None = None, ids: bool = True) -> DataFrame:
@@ -94,8 +93,8 @@ def read_tokens(spark: SparkSession, path: str, first: int | None = None, last:
 def _crc(batches):
     for b in batches:
         rows = b.column("ids")
-        flat, offs = rows.values.to_numpy(zero_copy_only=False).astype("<u4"), rows.offsets.to_numpy()
-        crcs = [zlib.crc32(flat[x:y]) for x, y in zip(offs[:-1], offs[1:])]
+        flat, offs = rows.values.to_numpy(zero_copy_only=False).astype("<u4", copy=False), rows.offsets.to_numpy()
+        crcs = [zlib.crc32(flat[x:y].data) for x, y in zip(offs[:-1], offs[1:])]
         yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "start", "n_tokens")), pa.array(crcs, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
 
