@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,9 +24,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     back = spark.read.schema(schema).parquet(path)
     back._stored_at = path
+    del df
+    _collect_garbage(spark)
     return back
 
 
+def _collect_garbage(spark: SparkSession) -> None:
+    """Shuffle files of finished jobs stay on disk until the driver's garbage collector meets their plans."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def discard(df: DataFrame) -> None:
     """Remove a table that ``materialize`` wrote and nothing reads any more."""
     if path := getattr(df, "_stored_at", None):
