@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from flowgrid.llm import langid, packing, quality, simhash, store, tokens, toxicity
+from flowgrid.llm import langid, line_dedup, packing, quality, simhash, store, tokens, toxicity
 from flowgrid.llm.shared import fresh_path, table
 
 
@@ -13,6 +13,11 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, langid.train(docs))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "text", "n_lines", "n_removed")
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
@@ -37,7 +42,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_language_id, op5_toxicity, op7_token_store, op8_simhash, op9_best_fit_packing, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_language_id, op2_line_dedup, op5_toxicity, op7_token_store, op8_simhash, op9_best_fit_packing, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
