@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from flowgrid.llm import langid, line_dedup, packing, quality, simhash, store, tokens, toxicity
+from flowgrid.llm import chat, decontam, langid, licenses, line_dedup, packing, quality, simhash, store, tokens, toxicity
 from flowgrid.llm.shared import fresh_path, table
 
 
@@ -18,11 +19,43 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "text", "n_lines", "n_removed")
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op4_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = F.array_join(F.transform("spans", lambda s: F.concat_ws("-", s["begin"].cast("string"), s["end"].cast("string"))), ",")
+    return chat.rotate(table(spark, sf_dir, "conversations")).withColumn("spans", spans)
+
+
+OP4_SQL = """
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS body, cast(floor(turn / 1024.0) AS BIGINT) AS part
+  FROM conversations),
+people AS (SELECT DISTINCT conv_id, role AS speaker FROM c WHERE role <> 'system'),
+seg AS (
+  SELECT conv_id, speaker, part, turn, role, body,
+    '<|' || CASE WHEN role = speaker THEN 'assistant' WHEN role = 'system' THEN role ELSE 'user:' || role END || '|>' || chr(10)
+    || replace(body, '<|', '< |') || chr(10) || '<|end|>' || chr(10) AS s
+  FROM c JOIN people USING (conv_id)),
+placed AS (
+  SELECT *, cast(sum(length(s)) OVER (PARTITION BY conv_id, speaker, part ORDER BY turn, role, body ROWS UNBOUNDED PRECEDING) AS BIGINT) AS e
+  FROM seg)
+SELECT conv_id, speaker, part, count(*) AS n_turns, string_agg(s, '' ORDER BY turn, role, body) AS text,
+  coalesce(string_agg((e - length(s) + 14) || '-' || (e - 1), ',' ORDER BY turn, role, body) FILTER (role = speaker), '') AS spans
+FROM placed GROUP BY ALL
+"""
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "tokens")
     store.write_tokens(table(spark, sf_dir, "documents"), path, tokens.default_path(), end_id=2)
@@ -42,8 +75,9 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_language_id, op2_line_dedup, op5_toxicity, op7_token_store, op8_simhash, op9_best_fit_packing, op10_quality_rules)}
+    found = (op1_language_id, op2_line_dedup, op3_decontamination, op4_chat_rotation, op5_toxicity, op6_license_scan, op7_token_store, op8_simhash, op9_best_fit_packing, op10_quality_rules)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_chat_rotation": OP4_SQL}

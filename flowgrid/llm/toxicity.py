@@ -11,6 +11,7 @@ from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -217,16 +218,14 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, steps:
     return net
 
 
-def score(docs: DataFrame, net: Network, threshold: float = THRESHOLD, extra: tuple[str, ...] = ()) -> DataFrame:
+def score(docs: DataFrame, net: Network, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score and predicted (1 if score >= threshold) of every whole text.
 
     Null and empty texts count as one window without words and get the score that the bias gives. Without labels
     of both kinds the network stays untrained and scores are low. held_out is false for a null doc_id; repeated
-    rows are kept; other columns come along only if named in ``extra``.
+    rows are kept; other columns are ignored.
     """
     shared = docs.sparkSession.sparkContext.broadcast(net.p)  # of fixed size
-    kept = [f for f in docs.schema.fields if f.name in extra and f.name not in ("doc_id", "text")]
-    schema = OUT + "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in kept)
 
     def run(batches):
         n = Network()
@@ -235,8 +234,23 @@ def score(docs: DataFrame, net: Network, threshold: float = THRESHOLD, extra: tu
             texts = pdf.text.fillna("").tolist()
             for lo, hi in in_batches(texts, 1_000_000):
                 s, part = n.score(texts[lo:hi]), pdf.iloc[lo:hi]
-                yield pd.DataFrame({"doc_id": part.doc_id.astype("Int64"), "held_out": part.held_out, "score": s, "predicted": (s >= threshold).astype(np.int32)} | {f.name: part[f.name] for f in kept})
+                yield pd.DataFrame({"doc_id": part.doc_id.astype("Int64"), "held_out": part.held_out, "score": s, "predicted": (s >= threshold).astype(np.int32)})
 
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
-    rows = pick(docs, "doc_id", "text", *[f.name for f in kept]).withColumn("held_out", held).withColumn("doc_id", F.col("doc_id").cast("long"))
-    return rows.mapInPandas(run, schema)
+    rows = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"), "text")
+    return rows.mapInPandas(run, OUT)
+
+
+def without_toxic(docs: DataFrame, net: Network, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` whose whole text scores below ``threshold``, with all their columns."""
+    shared = docs.sparkSession.sparkContext.broadcast(net.p)  # of fixed size
+
+    def run(batches):
+        n = Network()
+        n.p = shared.value
+        for b in batches:
+            texts = b.column("text").fill_null("").to_pylist()
+            fine = [n.score(texts[lo:hi]) < threshold for lo, hi in in_batches(texts, 1_000_000)]
+            yield b.filter(pa.array(np.concatenate([np.zeros(0, bool), *fine])))
+
+    return docs.mapInArrow(run, docs.schema)
