@@ -1,26 +1,62 @@
-"""A corpus pipeline: every stage takes documents and returns documents, the last one packed sequences."""
+"""A corpus pipeline over documents: reject toxic texts, remove repeated lines, keep one of near-duplicates, drop
+benchmark copies, pack what is left into sequences.
+
+Every stage takes (spark, documents, folder of the tables) and works on all rows that its predecessor kept. All but
+the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from flowgrid.llm import packing, tokens
+from flowgrid.llm import decontam, line_dedup, packing, simhash, tokens, toxicity
 from flowgrid.llm.shared import materialize, table
 
 
+def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Train on the labelled documents that are here and drop every text that scores as toxic."""
+    return toxicity.without_toxic(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
+def remove_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Remove lines that match an earlier one; documents stay, n_chars follows the text."""
+    out = line_dedup.dedup_lines(docs)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return out.select(*docs.columns)
+
+
+def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the document of least doc_id of each group of near-duplicates."""
+    return simhash.keep_one(docs)
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents that hold a copy of a benchmark item."""
+    return decontam.without_copies(docs, table(spark, sf_dir, "benchmark"))
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Encode and pack all documents: one row for each piece."""
     return packing.pack_documents(docs, tokens.default_path(), end_id=1)
 
 
-STAGES = [("best-fit packing", pack)]
+STAGES = [
+    ("toxicity", reject_toxic),
+    ("line dedup", remove_lines),
+    ("simhash near-dedup", keep_one),
+    ("benchmark decontamination", drop_copies),
+    ("best-fit packing", pack),
+]
 
-#: The classifier, the similarity joins and the tokeniser can't be said in SQL; tests use brute force.
+#: A trained classifier, alignments and a tokeniser can't be said in SQL; the stages are tested by brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
             docs = materialize(docs, f"stage-{k}")
