@@ -70,9 +70,10 @@ def base_columns(docs: DataFrame) -> DataFrame:
 def bucket_counts(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     """bucket, raw, target: how often n-grams of each bucket are in all documents and in the trusted ones.
 
-    ``trusted`` has doc_id, each once. Null doc_ids are never trusted.
+    ``trusted`` has doc_id, each once, and grows with the corpus; both sides are dealt by doc_id at every size.
+    Null doc_ids are never trusted.
     """
-    rows = pick(docs, "doc_id", "text").join(trusted.select("doc_id", F.lit(1).alias("is_trusted")), "doc_id", "left")
+    rows = pick(docs, "doc_id", "text").join(trusted.select("doc_id", F.lit(1).alias("is_trusted")).hint("shuffle_hash"), "doc_id", "left")
     grams = rows.select("is_trusted", words(F.col("text")).alias("words")).select("is_trusted", F.explode(ngram_buckets("words")).alias("bucket"))
     return grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.count("is_trusted").alias("target"))
 
