@@ -1 +1,127 @@
-"""Registered queries."""
+"""Queries on fields and networks."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from flowgrid.operators import field, networks, roads, slices
+from flowgrid.plans.catalogue import query
+from flowgrid.plans.flows import pairs
+from flowgrid.plans.tiling import LATTICE, lattice
+from flowgrid.plans.trips import CLASSED, rounded, traj
+from flowgrid.plans.views import view
+
+FIELD = """SELECT idx, coalesce(ox, 0) AS out_x, coalesce(oy, 0) AS out_y, coalesce(nx, 0) AS in_x, coalesce(ny, 0) AS in_y FROM (SELECT DISTINCT origin AS idx FROM tij UNION SELECT destination FROM tij) k
+    LEFT JOIN (SELECT origin, sum(number_people * dx) AS ox, sum(number_people * dy) AS oy FROM tij JOIN pairs ON origin = i AND destination = j GROUP BY origin) o ON o.origin = idx
+    LEFT JOIN (SELECT destination, sum(number_people * dx) AS nx, sum(number_people * dy) AS ny FROM tij JOIN pairs ON origin = i AND destination = j GROUP BY destination) n ON n.destination = idx"""
+WITH = f"lat AS ({LATTICE}), fld AS ({FIELD}), fc AS (SELECT c.idx, c.i, c.j, c.population, coalesce(out_x, 0) AS x, coalesce(out_y, 0) AS y FROM cells c LEFT JOIN fld USING (idx))"
+STEPS = "st AS (SELECT b AS idx, way, dy * x + dx * y AS c FROM lat JOIN fc ON fc.idx = a)"
+POT = f"""{STEPS}, rw AS (SELECT fc.idx, i, j, sum(coalesce(cj, 0)) OVER (PARTITION BY i ORDER BY j) AS r, coalesce(ci, 0) AS ci FROM fc LEFT JOIN (SELECT idx, c AS cj FROM st WHERE way = 'j') z1 ON z1.idx = fc.idx LEFT JOIN (SELECT idx, c AS ci FROM st WHERE way = 'i') z2 ON z2.idx = fc.idx),
+    pot AS (SELECT rw.idx, r + q.col AS potential FROM rw JOIN (SELECT i, sum(ci) OVER (ORDER BY i) AS col FROM rw WHERE j = 0) q ON q.i = rw.i)"""
+INV = "coalesce(1 / nullif(round({0}, 6), 0), 0)"
+
+
+def the_field(spark, d):
+    return field.vector_field(view(spark, d, "tij"), pairs(spark, d))
+
+
+def potential(spark, d):
+    return field.lattice_potential(the_field(spark, d), view(spark, d, "cells"), lattice(spark, d))
+
+
+@query("a09_vector_field", f"SELECT idx, round(out_x, 6) AS out_x, round(out_y, 6) AS out_y, round(in_x, 6) AS in_x, round(in_y, 6) AS in_y FROM ({FIELD})")
+def a09(spark, d):
+    return rounded(the_field(spark, d))
+
+
+@query("w04_potential", f"WITH {WITH}, {POT} SELECT idx, round(potential, 2) AS potential FROM pot")
+def w04(spark, d):
+    return rounded(potential(spark, d), 2)
+
+
+@query("c07_rotor", f"WITH {WITH} SELECT fc.idx, round(coalesce(r, 0), 6) AS rotor FROM fc LEFT JOIN (SELECT b, (q.y - p.y) * {INV.format('dx')} - (q.x - p.x) * {INV.format('dy')} AS r FROM lat JOIN fc p ON p.idx = a JOIN fc q ON q.idx = b WHERE way = 'j' OR q.j = 0) z ON z.b = fc.idx")
+def c07(spark, d):
+    f = view(spark, d, "cells").select("idx").join(the_field(spark, d), "idx", "left").fillna(0.0)
+    return rounded(field.rotor(f, view(spark, d, "cells"), lattice(spark, d)))
+
+
+HARMONIC = f"SELECT a AS idx, sum((pow({INV.format('dx')}, 2) + pow({INV.format('dy')}, 2)) * (p.potential - q.potential)) AS harmonic FROM (SELECT a, b, dx, dy FROM lat UNION ALL SELECT b, a, dx, dy FROM lat) e JOIN pot p ON p.idx = a JOIN pot q ON q.idx = b GROUP BY a"
+
+
+@query("c08_harmonic", f"WITH {WITH}, {POT} SELECT idx, round(harmonic, 4) AS harmonic FROM ({HARMONIC})")
+def c08(spark, d):
+    return rounded(field.harmonic(potential(spark, d), lattice(spark, d)), 4)
+
+
+@query("c09_smooth", f"WITH {WITH}, {POT} SELECT a AS idx, round(avg(potential), 2) AS potential FROM (SELECT a, b FROM lat UNION ALL SELECT b, a FROM lat) e JOIN pot ON pot.idx = b GROUP BY a")
+def c09(spark, d):
+    return rounded(field.smooth(potential(spark, d), lattice(spark, d), "potential"), 2)
+
+
+@query("c10_potential_table", f"WITH {WITH}, {POT} SELECT fc.idx, population, round(potential, 2) AS v_out, round(harmonic, 4) AS harmonic_out FROM fc JOIN pot ON pot.idx = fc.idx JOIN ({HARMONIC}) h ON h.idx = fc.idx")
+def c10(spark, d):
+    t = field.potential_table(the_field(spark, d), view(spark, d, "cells"), lattice(spark, d))
+    return t.select("idx", "population", F.round("v_out", 2).alias("v_out"), F.round("harmonic_out", 4).alias("harmonic_out"))
+
+
+def classes(spark, d):
+    return slices.traffic_classes(slices.edge_slices(traj(spark, d)), view(spark, d, "edges"))
+
+
+def moderate(spark, d):
+    return classes(spark, d).filter("moderate and k in (30, 34, 36)").select("k", "u", "v")
+
+
+CLOSED = f"lk AS (SELECT DISTINCT k, u, v FROM ({CLASSED}) WHERE ratio < 0.5 AND k IN (30, 34, 36)), bw AS (SELECT k, u, v FROM lk UNION SELECT k, v, u FROM lk), rec AS (SELECT k, u AS root, u AS node FROM bw UNION SELECT r.k, r.root, w.v FROM rec r JOIN bw w ON w.k = r.k AND w.u = r.node), comp AS (SELECT k, node, min(root) AS component FROM rec GROUP BY k, node)"
+
+
+@query("c02_components", f"WITH RECURSIVE {CLOSED} SELECT k, node, component FROM comp")
+def c02(spark, d):
+    return networks.grouped_components(moderate(spark, d), ["k"])
+
+
+GIANTS = f"nd AS (SELECT k, component, count(*) AS nodes FROM comp GROUP BY ALL), ln AS (SELECT l.k, component, count(*) AS links FROM (SELECT DISTINCT k, least(u, v) AS a, greatest(u, v) AS b FROM lk) l JOIN comp ON comp.k = l.k AND comp.node = l.a GROUP BY ALL), ranked AS (SELECT nd.k, row_number() OVER (PARTITION BY nd.k ORDER BY nodes DESC, nd.component) AS rank, nd.component, nodes, links FROM nd JOIN ln ON ln.k = nd.k AND ln.component = nd.component)"
+for _n in ("c03_giant_sizes", "t06_two_largest"):
+    query(_n, f"WITH RECURSIVE {CLOSED}, {GIANTS} SELECT k, rank, component, nodes, links FROM ranked WHERE rank <= 2")(lambda spark, d: networks.giant_sizes(moderate(spark, d), ["k"]))
+
+SWEPT = CLOSED.replace(f"SELECT DISTINCT k, u, v FROM ({CLASSED}) WHERE ratio < 0.5 AND k IN (30, 34, 36)", f"SELECT DISTINCT q AS k, u, v FROM ({CLASSED}) c CROSS JOIN (SELECT unnest([0.2, 0.3, 0.4, 0.45])::DOUBLE AS q) z WHERE ratio < q AND c.k = 34")
+
+
+@query("c04_percolation_sweep", f"WITH RECURSIVE {SWEPT}, {GIANTS} SELECT k AS q, rank, component, nodes, links FROM ranked WHERE rank <= 2")
+def c04(spark, d):
+    return networks.percolation_sweep(classes(spark, d), [0.2, 0.3, 0.4, 0.45], 34)
+
+
+
+
+@query("c05_largest_scc")
+def c05(spark, d):
+    e = view(spark, d, "edges").select("u", "v")
+    return networks.largest_scc(e.filter("u <> v"))
+
+
+@query("c06_is_connected", "WITH RECURSIVE bw AS (SELECT u, v FROM edges UNION SELECT v, u FROM edges), rec AS (SELECT min(u) AS node FROM bw UNION SELECT bw.v FROM rec JOIN bw ON bw.u = rec.node) SELECT (SELECT count(*) FROM rec) = (SELECT count(DISTINCT u) FROM bw) AS connected")
+def c06(spark, d):
+    return networks.is_connected(view(spark, d, "edges")).select("connected")
+
+
+@query("c11_relative_neighbours", "WITH pt AS (SELECT index AS id, x, y FROM nodes), nr AS (SELECT a.id AS a, b.id AS b, round(pow(a.x - b.x, 2) + pow(a.y - b.y, 2), 12) AS d2 FROM pt a JOIN pt b ON a.id <> b.id WHERE round(pow(a.x - b.x, 2) + pow(a.y - b.y, 2), 12) < 0.004 * 0.004) SELECT a, b FROM nr p WHERE a < b AND NOT EXISTS (SELECT 1 FROM nr q JOIN nr r ON r.a = p.b AND r.b = q.b WHERE q.a = p.a AND q.b <> p.b AND q.d2 < p.d2 AND r.d2 < p.d2)")
+def c11(spark, d):
+    return networks.relative_neighbours(view(spark, d, "nodes").select(F.col("index").alias("id"), "x", "y"), 0.004)
+
+
+@query("g11_largest_patch", "WITH RECURSIVE keep AS (SELECT idx, i, j, population FROM cells WHERE idx % 5 <> 2), bw AS (SELECT a.idx AS u, b.idx AS v FROM keep a JOIN keep b ON abs(a.i - b.i) + abs(a.j - b.j) <= 1), rec AS (SELECT idx AS root, idx AS node FROM keep UNION SELECT rec.root, bw.v FROM rec JOIN bw ON bw.u = rec.node), comp AS (SELECT node, min(root) AS c FROM rec GROUP BY node), best AS (SELECT c FROM comp JOIN keep ON idx = node GROUP BY c ORDER BY sum(population) DESC, c LIMIT 1) SELECT node AS idx FROM comp JOIN best USING (c)")
+def g11(spark, d):
+    c = view(spark, d, "cells").filter("idx % 5 <> 2")
+    e = lattice(spark, d).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    return networks.largest_patch(c, roads.restrict_pairs(e, c, "u", "v"), "population")
+
+
+@query("a24_degree_distribution", "SELECT degree, count(*) AS n FROM (SELECT node, count(*) AS degree FROM (SELECT u AS node FROM edges UNION ALL SELECT v FROM edges) e GROUP BY node) GROUP BY degree")
+def a24(spark, d):
+    return networks.degree_distribution(view(spark, d, "edges"))
+
+
+@query("a28_neighbour_lists", "SELECT u, string_agg(v::VARCHAR, ',' ORDER BY v) AS neighbours FROM (SELECT DISTINCT u, v FROM edges) e GROUP BY u")
+def a28(spark, d):
+    return networks.neighbour_lists(view(spark, d, "edges")).select("u", F.array_join(F.col("neighbours").cast("array<string>"), ",").alias("neighbours"))
