@@ -85,3 +85,81 @@ def tau(decisions: DataFrame, curve_tau: DataFrame, run: list[str]) -> DataFrame
     out = decisions.join(curve_tau, run, "left")
     value = F.when(F.col("verdict") == "jam", F.col("tau")).when(F.col("verdict") == "no jam", F.try_divide(F.lit(-1.0), F.col("alpha")))
     return out.select(*run, "verdict", value.alias("tau"))
+
+
+def fitted_curve(curve: DataFrame, fits: DataFrame, run: list[str]) -> DataFrame:
+    """run columns, t0, i, n, fitted: the better law of every window on the window's positions, scaled to the value at position 4."""
+    pl = F.col("err_pl") <= F.col("err_exp")
+    w = Window.partitionBy(*run)
+    points = curve.withColumn("x", F.col("t") - F.max(F.when(F.col("i") == BASE, F.col("t"))).over(w)).filter(F.col("i") >= FIRST).drop("t")
+    rows = points.join(fits.drop("n", "t"), run).filter("i < t0")
+    value = F.when(pl, F.col("a_pl") * F.pow("x", F.col("alpha_pl"))).otherwise(F.col("a_exp") * F.exp(F.col("alpha_exp") * F.col("x")))
+    rows = rows.withColumn("value", value)
+    first = Window.partitionBy(*run, "t0")
+    at4 = lambda c: F.max(F.when(F.col("i") == FIRST, F.col(c))).over(first)
+    return rows.select(*run, "t0", "i", "n", (F.col("value") * F.try_divide(at4("n"), at4("value"))).alias("fitted"))
+
+
+def windowed_alpha(unload: DataFrame, run: list[str], start: int = 28, least: int = 4) -> DataFrame:
+    """run columns, k, alpha, error: exponential fits from bin ``start`` on over windows of ``least`` bins or more, the one of least error."""
+    rows = unload.filter(F.col("k") >= start).filter("n_rows > 0").select(*run, "k", ((F.col("k") - start + 1) / F.lit(4.0)).alias("x"), F.col("n_rows").cast("double").alias("y"))
+    ends = rows.select(*run, F.col("k").alias("end")).filter(F.col("end") >= start + least - 1)
+    fit = compare_pl_exp(rows.join(ends, run).filter("k <= end"), [*run, "end"]).filter(F.col("n") >= least)
+    best = fit.groupBy(*run).agg(F.min(F.struct(F.round("err_exp", 12).alias("e"), "end", "alpha_exp")).alias("b"))
+    return best.select(*run, F.col("b.end").alias("k"), F.col("b.alpha_exp").alias("alpha"), F.col("b.e").alias("error"))
+
+
+def beta(unload: DataFrame, critical: DataFrame) -> DataFrame:
+    """uci10, k, n, beta, error: at each bin, ln of the number of rows on ln of epsilon over the rates above the critical one."""
+    rows = unload.join(critical, "uci10").filter("r > r_critical and n_rows > 0")
+    e = (F.col("r") * F.col("r") - F.col("r_critical") * F.col("r_critical")) / (F.col("r_critical") * F.col("r_critical"))
+    rows = rows.select("uci10", "k", F.ln(e.cast("double")).alias("x"), F.ln(F.col("n_rows").cast("double")).alias("y"))
+    line = ols(F.col("y"), F.col("x"))
+    return rows.groupBy("uci10", "k").agg(F.count("*").alias("n"), line["slope"].alias("beta"), line["rmse"].alias("error")).filter("n > 1")
+
+
+def nonlinear_fit(points: DataFrame, by: str, model: str, steps: int = 60) -> DataFrame:
+    """by, a, b, loss: least squares of y = a * x^b ('power') or a * exp(b * x) ('exponential') on normalised y, one fit a series.
+
+    A series is a histogram of a fixed number of bins; damped Gauss-Newton from the log-linear solution.
+    """
+    import numpy as np
+    import pandas as pd
+
+    def fit(pdf):
+        p = pdf[(pdf.y > 0) & ((pdf.x > 0) | (model == "exponential"))]
+        key = pdf[by].iloc[0]
+        if len(p) < 2 or p.x.nunique() < 2:
+            return pd.DataFrame({by: [key], "a": [None], "b": [None], "loss": [None]})
+        x, y = p.x.to_numpy(float), p.y.to_numpy(float) / p.y.max()
+        u = np.log(x) if model == "power" else x
+        b, a = np.polyfit(u, np.log(y), 1)
+        a, damp = np.exp(a), 1e-3
+        loss = ((a * np.exp(b * u) - y) ** 2).sum()
+        for _ in range(steps):
+            f = np.exp(b * u)
+            jac, res = np.stack([f, a * f * u], 1), y - a * f
+            h = jac.T @ jac
+            step = np.linalg.solve(h + damp * np.diag(np.diag(h) + 1e-12), jac.T @ res)
+            new = ((a + step[0]) * np.exp((b + step[1]) * u) - y) ** 2
+            if new.sum() < loss:
+                a, b, loss, damp = a + step[0], b + step[1], new.sum(), damp / 3
+            else:
+                damp *= 4
+        return pd.DataFrame({by: [key], "a": [a], "b": [b], "loss": [loss]})
+
+    return points.select(F.col(by).cast("long").alias(by), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).groupBy(by).applyInPandas(fit, f"{by} long, a double, b double, loss double")
+
+
+# Critical exponents of directed percolation in 1, 2, 3 and 4 or more dimensions: beta, nu across, nu along.
+DIRECTED_PERCOLATION = [("1", 0.276486, 1.096854, 1.733847), ("2", 0.584, 0.734, 1.295), ("3", 0.81, 0.581, 1.105), ("mean field", 1.0, 0.5, 1.0)]
+
+
+def dp_exponents(decisions: DataFrame) -> DataFrame:
+    """All columns of jammed runs with the class of directed percolation whose decay exponent delta = beta / nu_along is nearest."""
+    spark = decisions.sparkSession
+    known = spark.createDataFrame(DIRECTED_PERCOLATION, "dimension string, beta double, nu_across double, nu_along double")
+    known = known.withColumns({"z": F.col("nu_along") / F.col("nu_across"), "delta": F.col("beta") / F.col("nu_along")})
+    rows = decisions.filter("verdict = 'jam'").crossJoin(F.broadcast(known))  # four rows
+    best = F.min_by(F.struct("dimension", "delta", "z"), F.struct(F.round(F.abs(-F.col("alpha") - F.col("delta")), 9), "dimension"))
+    return rows.groupBy(*decisions.columns).agg(best.alias("b")).select(*decisions.columns, "b.*")
