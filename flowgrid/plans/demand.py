@@ -180,12 +180,12 @@ def f05(spark, d):
     return out.select(*RUN, "t0", "i", F.round("n", 6).alias("n"), F.round("fitted", 3).alias("fitted"))
 
 
-CRITICAL = "SELECT uci10, min(r) + 40 AS r_critical FROM runs GROUP BY uci10"
+CRITICAL = "SELECT uci10, min(r) AS r_critical FROM runs GROUP BY uci10"
 BETA = f"SELECT uci10, k, count(*) AS n, regr_slope(y, x) AS beta, sqrt(greatest((regr_syy(y, x) - pow(regr_sxy(y, x), 2) / nullif(regr_sxx(y, x), 0)) / count(*), 0)) AS error FROM (SELECT u.uci10, k, ln((r * r - r_critical * r_critical) / (r_critical * r_critical)::double) AS x, ln(n_rows) AS y FROM unload u JOIN ({CRITICAL}) z ON z.uci10 = u.uci10 WHERE r > r_critical AND n_rows > 0) GROUP BY uci10, k HAVING count(*) > 1"
 
 
 def betas(spark, d):
-    critical = view(spark, d, "runs").groupBy("uci10").agg((F.min("r") + 40).alias("r_critical"))
+    critical = view(spark, d, "runs").groupBy("uci10").agg(F.min("r").alias("r_critical"))
     return fits.beta(unload(spark, d), critical)
 
 
@@ -209,7 +209,7 @@ def f11(spark, d):
 
 @query("f15_scaling_collapse", f"SELECT u.uci10, u.r, k, round((floor(k * 86400 / 95.0) / 3600 - 7) * (r * r - r_critical * r_critical) / (r_critical * r_critical), 6) AS x, round(n_rows * pow(floor(k * 86400 / 95.0) / 3600, 1.5::double), 4) AS y FROM unload u JOIN ({CRITICAL}) z ON z.uci10 = u.uci10 WHERE n_rows > 0")
 def f15(spark, d):
-    critical = view(spark, d, "runs").groupBy("uci10").agg((F.min("r") + 40).alias("r_critical"))
+    critical = view(spark, d, "runs").groupBy("uci10").agg(F.min("r").alias("r_critical"))
     t = slices.bin_start(F.col("k")) / F.lit(3600.0)
     rows = unload(spark, d).filter("n_rows > 0").join(critical, "uci10")
     e = curves.epsilon(F.col("r").cast("double"), F.col("r_critical").cast("double"))
@@ -218,7 +218,7 @@ def f15(spark, d):
 
 @query("m17_epsilon", f"SELECT DISTINCT uci10, r, round((r * r - r_critical * r_critical) / (r_critical * r_critical)::double, 9) AS epsilon FROM runs JOIN ({CRITICAL}) z USING (uci10)")
 def m17(spark, d):
-    critical = view(spark, d, "runs").groupBy("uci10").agg((F.min("r") + 40).alias("r_critical"))
+    critical = view(spark, d, "runs").groupBy("uci10").agg(F.min("r").alias("r_critical"))
     rows = view(spark, d, "runs").select(*RUN).distinct().join(critical, "uci10")
     return rounded(rows.select(*RUN, curves.epsilon(F.col("r").cast("double"), F.col("r_critical").cast("double")).alias("epsilon")), 9)
 

@@ -94,7 +94,7 @@ def c04(spark, d):
 
 
 
-@query("c05_largest_scc")
+@query("c05_largest_scc", "WITH RECURSIVE dir AS (SELECT DISTINCT u, v FROM edges WHERE u <> v), rec AS (SELECT u AS root, u AS node FROM (SELECT u FROM dir UNION SELECT v FROM dir) x UNION SELECT rec.root, dir.v FROM rec JOIN dir ON dir.u = rec.node), comp AS (SELECT a.root AS node, min(a.node) AS component FROM rec a JOIN rec b ON b.root = a.node AND b.node = a.root GROUP BY a.root), best AS (SELECT component FROM comp GROUP BY component ORDER BY count(*) DESC, component LIMIT 1) SELECT node, component FROM comp JOIN best USING (component)")
 def c05(spark, d):
     e = view(spark, d, "edges").select("u", "v")
     return networks.largest_scc(e.filter("u <> v"))

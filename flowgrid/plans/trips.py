@@ -160,9 +160,10 @@ def a19(spark, d):
 CLASSED = f"SELECT route, u, v, k, round(speed_kmh / (speed_mph * 1.6::double), 9) AS ratio FROM ({SLICES}) JOIN edges ON route = uniqueid"
 
 
-@query("c01_classes", f"SELECT route, k, round(ratio, 6) AS ratio, ratio < 0.25 AS severe, ratio < 0.5 AS moderate, ratio < 0.9 AS free_flow, CASE WHEN ratio < 0.25 THEN 'severe' WHEN ratio < 0.5 THEN 'moderate' WHEN ratio < 0.9 THEN 'free_flow' ELSE 'none' END AS traffic_class FROM ({CLASSED})")
+@query("c01_classes", f"SELECT route, k, ratio, ratio < 0.25 AS severe, ratio < 0.5 AS moderate, ratio < 0.9 AS free_flow, CASE WHEN ratio < 0.25 THEN 'severe' WHEN ratio < 0.5 THEN 'moderate' WHEN ratio < 0.9 THEN 'free_flow' ELSE 'none' END AS traffic_class FROM ({CLASSED})")
 def c01(spark, d):
-    return rounded(slices.traffic_classes(slices.edge_slices(traj(spark, d)), view(spark, d, "edges")).select("route", "k", "ratio", "severe", "moderate", "free_flow", "traffic_class"))
+    classes = slices.traffic_classes(slices.edge_slices(traj(spark, d)), view(spark, d, "edges"))
+    return classes.select("route", "k", "ratio", "severe", "moderate", "free_flow", "traffic_class")
 
 
 @query("a27_class_counts", f"SELECT k, count(*) FILTER (ratio < 0.25) AS severe, count(*) FILTER (ratio < 0.5) AS moderate, count(*) FILTER (ratio < 0.9) AS free_flow, count(*) AS roads FROM ({CLASSED}) GROUP BY k")
