@@ -134,6 +134,6 @@ def scan(docs: DataFrame, templates=TEMPLATES) -> DataFrame:
                 rows = [(i, *m) for i, found in enumerate(index.scan(texts[lo:hi]), lo) for m in found]
                 ids = pdf.doc_id.astype("Int64").array[[r[0] for r in rows]]
                 t = [templates[r[1]] for r in rows]
-                yield pd.DataFrame({"doc_id": ids, "license": [x[1] for x in t], "template": [x[0] for x in t], "coverage": np.round([float(r[2]) for r in rows], 9), "n_matched": [r[3] for r in rows], "begin": [r[4] for r in rows], "end": [r[5] for r in rows]})
+                yield pd.DataFrame({"doc_id": ids, "license": pd.Series([x[1] for x in t], dtype=object), "template": pd.Series([x[0] for x in t], dtype=object), "coverage": np.round([float(r[2]) for r in rows], 9), "n_matched": [r[3] for r in rows], "begin": [r[4] for r in rows], "end": [r[5] for r in rows]})
 
     return pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, OUT)
