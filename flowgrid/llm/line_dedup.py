@@ -21,7 +21,7 @@ from flowgrid.llm.shared import SPACE, materialize, pick
 NUMERATOR, DENOMINATOR = 4, 5
 #: Word frequencies are counted in two rows of so many buckets, and the lesser count holds: the order of rarity needs no
 #: exact counts, only that it is the same everywhere. And the 64-bit words of the candidates' bit map.
-FREQUENCY_BUCKETS, MAP_WORDS = 1 << 18, 1 << 17
+FREQUENCY_BUCKETS, MAP_WORDS = 1 << 17, 1 << 14
 
 
 def _ratio(n: str, up: int, down: int) -> str:
@@ -75,31 +75,25 @@ def line_sets(lines: DataFrame, rank: list[int]) -> DataFrame:
     rows = lines.select("doc_id", "text_hash", "line_no", F.xxhash64("line").alias("line_hash"), _set("line", rank).alias("s"))
     size = f"case when size(s) <= 3 then 0 else size(s) - {_ratio('size(s)', NUMERATOR, DENOMINATOR)} + 1 end"
     prefix = F.expr(f"transform(slice(s, 1, {size}), x -> cast(x & 2147483647 as int))")
-    bits = F.expr("aggregate(s, 0L, (b, x) -> b | shiftleft(1L, cast(x & 63 as int)))")
-    return rows.select("doc_id", "text_hash", "line_no", "line_hash", F.xxhash64("s").alias("set_id"), F.size("s").alias("n"), bits.alias("bits"), prefix.alias("prefix"))
+    word_map = lambda low: F.expr(f"aggregate(s, 0L, (b, x) -> b | shiftleft(1L, cast(shiftright(x, {low}) & 63 as int)))")
+    return rows.select("doc_id", "text_hash", "line_no", "line_hash", F.xxhash64("s").alias("set_id"), F.size("s").alias("n"), word_map(0).alias("bits"), word_map(6).alias("more_bits"), prefix.alias("prefix"))
 
 
 def line_classes(sets: DataFrame) -> DataFrame:
     """One row for each distinct set: its first line in the order of doc_id, line number and text."""
     first = F.min(F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc"), F.col("line_no").alias("line"), "text_hash", "line_hash"))
-    rows = sets.groupBy("set_id").agg(first.alias("f"), *[F.any_value(c).alias(c) for c in ("n", "bits", "prefix")])
-    return rows.select("set_id", "f.doc", "f.line", "f.line_hash", "n", "bits", "prefix")
+    rows = sets.groupBy("set_id").agg(first.alias("f"), *[F.any_value(c).alias(c) for c in ("n", "bits", "more_bits", "prefix")])
+    return rows.select("set_id", "f.doc", "f.line", "f.line_hash", "n", "bits", "more_bits", "prefix")
 
 
-#: What pairs must meet before they are verified: y comes first, the lengths allow the similarity, and so do the places
-#: where the shared word is and the maps of words (each bit that differs is a word that only one set has).
-_NEED = _ratio("(x.n + y.n)", NUMERATOR, NUMERATOR + DENOMINATOR)
-_LATER = "(x.doc > y.doc or (x.doc = y.doc and (x.line > y.line or (x.line = y.line and x.set_id > y.set_id))))"
-_FILTERS = f"""{_LATER} and least(x.n, y.n) * {DENOMINATOR} >= greatest(x.n, y.n) * {NUMERATOR}
-    and least(x.n - x.at, y.n - y.at) >= {_NEED} and bit_count(x.bits ^ y.bits) <= x.n + y.n - 2 * {_NEED}"""
-_SHORTER = " and ".join(f"({a}.n {op} {b}.n or {b}.at <= {b}.n - {_ratio(f'{b}.n', 2 * NUMERATOR, NUMERATOR + DENOMINATOR)})" for a, b, op in (("x", "y", "<"), ("y", "x", "<=")))
-#: Words of a prefix that the first round looks at.
-LEADING = 3
+def _overlap(a: str, b: str) -> str:
+    """Words that sets of the sizes ``a`` and ``b`` must share to be similar enough."""
+    return _ratio(f"({a} + {b})", NUMERATOR, NUMERATOR + DENOMINATOR)
 
 
-def _meetings(classes: DataFrame, words: int | None = None) -> DataFrame:
-    rows = classes.select("set_id", "doc", "line", "n", "bits", F.posexplode("prefix").alias("at", "word"))
-    return rows.filter(F.col("at") < words) if words else rows
+#: Words of a prefix that the first round looks at.
+LEADING = 3
+_LATER = "(x.doc > y.doc or (x.doc = y.doc and (x.line > y.line or (x.line = y.line and x.set_id > y.set_id))))"
 
 
 def first_round(classes: DataFrame) -> DataFrame:
@@ -107,17 +101,36 @@ def first_round(classes: DataFrame) -> DataFrame:
 
     It settles most members of a large group of like lines with one pair each instead of all pairs.
     """
-    rows = _meetings(classes, LEADING)
+    rows = classes.select("set_id", "doc", "line", "n", "bits", F.posexplode(F.slice("prefix", 1, LEADING)).alias("at", "word"))
     lead = rows.groupBy("word").agg(F.min(F.struct("doc", "line", "set_id", "n", "bits", "at")).alias("y")).select("word", "y.*")
-    pairs = rows.alias("x").join(lead.alias("y"), F.expr(f"x.word = y.word and {_FILTERS}"))
+    need = _overlap("x.n", "y.n")
+    meets = f"""x.word = y.word and {_LATER} and least(x.n, y.n) * {DENOMINATOR} >= greatest(x.n, y.n) * {NUMERATOR}
+        and least(x.n - x.at, y.n - y.at) >= {need} and bit_count(x.bits ^ y.bits) <= x.n + y.n - 2 * {need}"""
+    pairs = rows.alias("x").join(lead.alias("y"), F.expr(meets))
     pairs = pairs.select(F.col("x.set_id").alias("x"), F.struct(F.expr("bit_count(x.bits ^ y.bits)"), F.col("y.set_id").alias("y")).alias("best"))
     return pairs.groupBy("x").agg(F.min("best").alias("best")).select("x", "best.y")
 
 
-def all_pairs(open_: DataFrame, classes: DataFrame) -> DataFrame:
-    """x, y: all pairs of a class of ``open_`` and an earlier class that the filters leave, each once."""
-    pairs = _meetings(open_).alias("x").join(_meetings(classes).alias("y"), F.expr(f"x.word = y.word and {_FILTERS} and {_SHORTER}"))
-    return pairs.select(F.col("x.set_id").alias("x"), F.col("y.set_id").alias("y")).distinct()
+def all_pairs(classes: DataFrame) -> DataFrame:
+    """x, y (in either order): all pairs with an ``open`` class that length, place and map of words leave, each once.
+
+    x is the longer set, or of equally long ones that of less id. Both sides of the join read one shuffle, so size,
+    place and mark travel in one number.
+    """
+    packed = F.expr("shiftleft(cast(n as bigint), 32) | shiftleft(cast(at as bigint), 1) | cast(open as bigint)").alias("p")
+    meet = classes.select("set_id", "open", "n", "bits", F.posexplode("prefix").alias("at", "word")).select("word", "set_id", "bits", packed)
+    n, at = "shiftright({0}.p, 32)", "(shiftright({0}.p, 1) & 2147483647)"
+    nx, ny, ax, ay = n.format("x"), n.format("y"), at.format("x"), at.format("y")
+    need = _overlap(nx, ny)
+    # the shorter set needs a shorter prefix; every bit in which the maps differ is a word that only one set has
+    meets = f"""x.word = y.word and ({nx} > {ny} or ({nx} = {ny} and x.set_id < y.set_id)) and {ny} * {DENOMINATOR} >= {nx} * {NUMERATOR}
+        and ((x.p | y.p) & 1) = 1 and {ay} <= {ny} - {_ratio(ny, 2 * NUMERATOR, NUMERATOR + DENOMINATOR)}
+        and least({nx} - {ax}, {ny} - {ay}) >= {need} and bit_count(x.bits ^ y.bits) <= {nx} + {ny} - 2 * {need}"""
+    pairs = meet.alias("x").join(meet.alias("y"), F.expr(meets)).select(F.col("x.set_id").alias("x"), F.col("y.set_id").alias("y")).distinct()
+    # a second map of words, looked up for the pairs that are left, drops most that aren't similar before whole sets travel
+    maps = lambda k: classes.select(F.col("set_id").alias(k), F.col("n").alias(f"n{k}"), F.col("more_bits").alias(f"m{k}"))
+    pairs = materialize(pairs, "met").join(maps("x"), "x").join(maps("y"), "y")
+    return pairs.filter(f"bit_count(mx ^ my) <= nx + ny - 2 * {_overlap('nx', 'ny')}").select("x", "y")
 
 
 def _bit_map(hashes: DataFrame) -> list[int]:
@@ -130,21 +143,23 @@ def _bit_map(hashes: DataFrame) -> list[int]:
 
 
 def verified(pairs: DataFrame, classes: DataFrame, lines: DataFrame, rank: list[int]) -> DataFrame:
-    """The pairs (x, y) whose whole sets are similar enough.
+    """The pairs whose whole sets are similar enough, as x (the later class) and y (the earlier one).
 
     Sets are made again from the lines they came from: a bit map of the hashes of the wanted lines lets those
     through before the shuffle, and a join drops what else got through.
     """
     ids = pairs.select(F.explode(F.array("x", "y")).alias("set_id")).distinct()
-    wanted = materialize(classes.join(ids, "set_id", "left_semi").select("set_id", F.col("line_hash").alias("h")), "wanted")
+    wanted = materialize(classes.join(ids, "set_id", "left_semi").select("set_id", "doc", "line", F.col("line_hash").alias("h")), "wanted")
     passes = F.from_json(F.lit(str(_bit_map(wanted))), "array<bigint>")
     found = lines.select(F.xxhash64("line").alias("h"), "line").filter(F.get(passes, F.pmod(F.shiftright("h", 6), F.lit(MAP_WORDS)).cast("int")).bitwiseAND(F.expr("shiftleft(1L, cast(h & 63 as int))")) != 0)
-    sets = found.select("h", _set("line", rank).alias("s")).groupBy("h").agg(F.any_value("s").alias("s")).join(wanted, "h").select("set_id", "s")
-    sets = materialize(sets, "sets")
-    both = pairs.join(sets.select(F.col("set_id").alias("x"), F.col("s").alias("sx")), "x").join(sets.select(F.col("set_id").alias("y"), F.col("s").alias("sy")), "y")
+    found = found.groupBy("h").agg(F.min("line").alias("line_text")).join(wanted, "h")
+    sets = materialize(found.select("set_id", "doc", "line", _set("line_text", rank).alias("s")), "sets")
+    side = lambda k: sets.select(F.col("set_id").alias(k), F.struct("doc", "line", F.col("set_id").alias("id")).alias(f"at_{k}"), F.col("s").alias(f"s{k}"))
+    both = pairs.join(side("x"), "x").join(side("y"), "y")
     shared = F.size(F.array_intersect("sx", "sy"))
     # shared / (n + m - shared) >= NUMERATOR / DENOMINATOR
-    return both.filter(shared * (NUMERATOR + DENOMINATOR) >= (F.size("sx") + F.size("sy")) * NUMERATOR).select("x", "y")
+    both = both.filter(shared * (NUMERATOR + DENOMINATOR) >= (F.size("sx") + F.size("sy")) * NUMERATOR)
+    return both.select(F.greatest("at_x", "at_y")["id"].alias("x"), F.least("at_x", "at_y")["id"].alias("y"))
 
 
 def later_matches(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -154,10 +169,9 @@ def later_matches(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     sets = materialize(line_sets(lines, rank), "line-sets")
     classes = materialize(line_classes(sets), "line-classes")
     sure = materialize(verified(materialize(first_round(classes), "pairs"), classes, lines, rank), "matched")
-    open_ = classes.join(sure, classes.set_id == sure.x, "left_anti")
-    rest = verified(materialize(all_pairs(open_, classes), "pairs"), classes, lines, rank)
-    matched = sure.unionByName(rest.groupBy("x").agg(F.min("y").alias("y")))
-    return sets, materialize(matched, "matched")
+    marked = classes.join(sure.select(F.col("x").alias("set_id"), F.lit(False).alias("open")), "set_id", "left").withColumn("open", F.coalesce("open", F.lit(True)))
+    rest = verified(materialize(all_pairs(marked), "pairs"), classes, lines, rank)
+    return sets, materialize(sure.unionByName(rest).groupBy("x").agg(F.min("y").alias("y")), "matched")
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
