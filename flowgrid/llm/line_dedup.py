@@ -127,10 +127,14 @@ def all_pairs(classes: DataFrame) -> DataFrame:
         and ((x.p | y.p) & 1) = 1 and {ay} <= {ny} - {_ratio(ny, 2 * NUMERATOR, NUMERATOR + DENOMINATOR)}
         and least({nx} - {ax}, {ny} - {ay}) >= {need} and bit_count(x.bits ^ y.bits) <= {nx} + {ny} - 2 * {need}"""
     pairs = meet.alias("x").join(meet.alias("y"), F.expr(meets)).select(F.col("x.set_id").alias("x"), F.col("y.set_id").alias("y")).distinct()
-    # a second map of words, looked up for the pairs that are left, drops most that aren't similar before whole sets travel
-    maps = lambda k: classes.select(F.col("set_id").alias(k), F.col("n").alias(f"n{k}"), F.col("more_bits").alias(f"m{k}"))
-    pairs = materialize(pairs, "met").join(maps("x"), "x").join(maps("y"), "y")
-    return pairs.filter(f"bit_count(mx ^ my) <= nx + ny - 2 * {_overlap('nx', 'ny')}").select("x", "y")
+    # for the pairs that are left: the later one must be open, and a second map of words must allow the similarity, before
+    # whole sets travel
+    def side(k: str) -> DataFrame:
+        at = F.struct("doc", "line", F.col("set_id").alias("id")).alias(f"at_{k}")
+        return classes.select(F.col("set_id").alias(k), at, F.col("open").alias(f"open_{k}"), F.col("n").alias(f"n{k}"), F.col("more_bits").alias(f"m{k}"))
+
+    pairs = materialize(pairs, "met").join(side("x"), "x").join(side("y"), "y")
+    return pairs.filter(f"if(at_x > at_y, open_x, open_y) and bit_count(mx ^ my) <= nx + ny - 2 * {_overlap('nx', 'ny')}").select("x", "y")
 
 
 def _bit_map(hashes: DataFrame) -> list[int]:
