@@ -1,8 +1,8 @@
-"""Benchmark decontamination: rare n-gram seeds join passages to test items, Smith-Waterman alignment scores them.
+"""Benchmark decontamination: n-gram seeds join passages to test items, Smith-Waterman alignment scores them.
 
-Seeds are the word 3-grams of the items. How often each is in the corpus is counted over all documents; an item's
-seeds are its rarer half, and all that are in fewer than one of a thousand documents. Every document that holds a seed
-is aligned with the item around it, so that edited copies count by the words they keep in order.
+Seeds are all word 3-grams of the items, however often the corpus has them: an edited copy may keep only frequent ones.
+A window of text around a seed is aligned with the item if it holds as many of the item's words as a copy must keep
+(no alignment can match more), so that edited copies count by the words they keep in order.
 
 Items come in blocks of bounded size. Each block is one pass over the corpus, so a benchmark of any size can be used.
 """
@@ -10,6 +10,7 @@ Items come in blocks of bounded size. Each block is one pass over the corpus, so
 from __future__ import annotations
 
 import re
+from collections import Counter
 from itertools import chain
 
 import numpy as np
@@ -29,11 +30,39 @@ BLOCK_WORDS = 500_000
 LEAST_WORDS = 5
 #: Share of the item's words that an alignment must keep, and how far it may stray from the seed's diagonal.
 COVERAGE, BAND = 0.5, 12
-COMMON = 1000
+#: Seeds or words looked at together at most.
+SLICE = 1 << 21
+#: Items that an alignment spans less than: as many unmatched words as use up what its matches gain, and the matches.
+SPAN = 3
 OUT = "doc_id long, item_id long, score long, coverage double, n_matched long, begin_word long, end_word long"
 WORD = re.compile(r"\w+")
 
 
+class _Lists:
+    """Lists of pairs of whole numbers, one after the other in arrays."""
+
+    def __init__(self, lists):
+        lists = [list(x) for x in lists]
+        self.n = np.fromiter(map(len, lists), np.int64, len(lists))
+        self.first = np.cumsum(self.n) - self.n
+        self.pairs = np.array(list(chain.from_iterable(lists)), np.int64).reshape(-1, 2).T
+
+    def of(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The pairs of all lists ``rows``, and for each pair its place in ``rows``."""
+        n = self.n[rows]
+        each = np.repeat(np.arange(len(rows)), n)
+        return each, self.pairs[:, np.arange(len(each)) + (self.first[rows] - np.cumsum(n) + n)[each]]
+
+
+def _slices(ends: np.ndarray):
+    """Ranges that hold SLICE at most, or one; ``ends``: running totals."""
+    lo = 0
+    while lo < len(ends):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + SLICE, "right")))
+        yield lo, hi
+        lo = hi
+
+
 class Items:
     """A block of items: their words as numbers, and their 3-grams as keys."""
 
@@ -42,25 +71,14 @@ class Items:
         words = [WORD.findall(t.lower()) for _, t in rows]
         self.vocabulary = {w: k for k, w in enumerate(dict.fromkeys(chain.from_iterable(words)))}
         self.items = [[self.vocabulary[w] for w in x] for x in words]
+        self.size = np.fromiter(map(len, self.items), np.int64, len(self.items))
         postings: dict[int, list[tuple[int, int]]] = {}
         for k, x in enumerate(self.items):
             for at in range(len(x) - GRAM + 1):
                 postings.setdefault(x[at] << 42 | x[at + 1] << 21 | x[at + 2], []).append((k, at))
-        self.keys, self.postings = np.array(list(postings), np.uint64), list(postings.values())
-        self.table = KeyTable(self.keys)
-
-    def keep(self, often: dict[int, int], documents: int) -> None:
-        """Only the rare seeds from here on. ``often``: documents that hold each key."""
-        n = [often.get(int(k), 0) for k in self.keys]
-        of: dict[int, list[int]] = {}
-        for r, places in enumerate(self.postings):
-            for k in {k for k, _ in places}:
-                of.setdefault(k, []).append(n[r])
-        middle = {k: sorted(v)[(len(v) - 1) // 2] for k, v in of.items()}
-        rare = [(r, [(k, at) for k, at in places if n[r] <= middle[k] or n[r] * COMMON < documents]) for r, places in enumerate(self.postings)]
-        rare = [(r, places) for r, places in rare if places]
-        self.keys, self.postings = self.keys[[r for r, _ in rare]], [p for _, p in rare]
-        self.table = KeyTable(self.keys)
+        self.table = KeyTable(np.array(list(postings), np.uint64))
+        self.holders = _Lists(postings.values())
+        self.bags = _Lists(Counter(x).items() for x in self.items)
 
     def find(self, texts: list[str]):
         """Documents, places and seeds of all hits, and every text's words as numbers (-1: in no item)."""
@@ -82,15 +100,51 @@ class Items:
         hit = row >= 0
         return words, first, count, doc[hit], ok[hit] - first[doc[hit]], row[hit]
 
+    def candidates(self, words, first, count, doc, place, row) -> dict[tuple[int, int], set[int]]:
+        """(text, item): diagonals of the seeds in windows that hold enough of the item's words.
+
+        An alignment costs a point for every word it doesn't match and gains two for every other, so it spans less than
+        SPAN times its item. Window k begins at k * SPAN items and is twice that long: it holds all alignments that
+        begin in its first half.
+        """
+        most = int((count // (SPAN * self.size.min())).max()) + 2 if len(self.items) and len(count) else 2
+        found, ends = [], np.cumsum(self.holders.n[row])
+        for lo, hi in _slices(ends):
+            each, (item, at) = self.holders.of(row[lo:hi])
+            d, p = doc[lo:hi][each], place[lo:hi][each]
+            k = p // (SPAN * self.size[item])
+            pair = (d * len(self.items) + item) * most
+            found.append(np.stack([np.concatenate([pair + k, pair + np.maximum(k - 1, 0)]), np.tile(p - at, 2)], 1))
+        if not found:
+            return {}
+        found = np.concatenate(found)
+        key, which = np.unique(found[:, 0], return_inverse=True)
+        keep = self.enough(words, first, count, *np.divmod(key // most, len(self.items)), key % most)
+        out: dict[tuple[int, int], set[int]] = {}
+        of = keep[which]
+        for x, diagonal in zip((found[of, 0] // most).tolist(), found[of, 1].tolist()):
+            out.setdefault(divmod(x, len(self.items)), set()).add(diagonal)
+        return out
+
+    def enough(self, words, first, count, doc, item, window) -> np.ndarray:
+        """Whether the windows hold COVERAGE of their item's words, each as often as the item at most, in any order."""
+        known = np.flatnonzero(words >= 0)
+        stride = len(words) + 1
+        sorted_places = np.sort(words[known] * stride + known)
+        begin = first[doc] + window * SPAN * self.size[item]
+        end = np.minimum(begin + 2 * SPAN * self.size[item], (first + count)[doc])
+        out = np.zeros(len(doc), bool)
+        for lo, hi in _slices(np.cumsum(self.bags.n[item])):
+            each, (w, n) = self.bags.of(item[lo:hi])
+            held = np.searchsorted(sorted_places, w * stride + end[lo:hi][each]) - np.searchsorted(sorted_places, w * stride + begin[lo:hi][each])
+            out[lo:hi] = np.bincount(each, np.minimum(held, n), hi - lo) >= COVERAGE * self.size[item[lo:hi]]
+        return out
+
     def matches(self, texts: list[str]) -> list[tuple]:
         """(text number, item id, score, coverage, matched words, begin, end) of the best place of each item in each text."""
-        words, first, count, doc, place, row = self.find(texts)
-        diagonals: dict[tuple[int, int], set[int]] = {}
-        for d, p, r in zip(doc.tolist(), place.tolist(), row.tolist()):
-            for k, at in self.postings[r]:
-                diagonals.setdefault((d, k), set()).add(p - at)
+        words, first, count, *hits = self.find(texts)
         out = []
-        for (d, k), found in diagonals.items():
+        for (d, k), found in sorted(self.candidates(words, first, count, *hits).items()):
             a, best, last = self.items[k], None, None
             for x in sorted(found):
                 if last is not None and x <= last + BAND // 2:
@@ -120,28 +174,6 @@ def blocks(items: DataFrame, words: int = BLOCK_WORDS):
         yield Items(block)
 
 
-def seed_counts(docs: DataFrame, items: Items) -> tuple[dict[int, int], int]:
-    """In how many documents each key of the block is, and how many documents there are."""
-    shared = docs.sparkSession.sparkContext.broadcast(items)  # BLOCK_WORDS bounds it
-
-    def run(batches):
-        block = shared.value
-        total, n = np.zeros(len(block.keys), np.int64), 0
-        for pdf in batches:
-            texts = pdf.text.fillna("").tolist()
-            n += len(texts)
-            for lo, hi in in_batches(texts):
-                _, _, _, doc, _, row = block.find(texts[lo:hi])
-                pairs = np.unique(np.stack([doc, row.astype(np.int64)], 1), axis=0)
-                total += np.bincount(pairs[:, 1], minlength=len(total))
-        some = np.flatnonzero(total)
-        yield pd.DataFrame({"seed": np.append(some, -1), "n": np.append(total[some], n)})
-
-    counted = pick(docs, "text").mapInPandas(run, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n"))
-    rows = {r.seed: r.n for r in counted.collect()}  # as many as the block has keys
-    return {int(items.keys[s]): n for s, n in rows.items() if s >= 0}, rows.get(-1, 0)
-
-
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, score, coverage, n_matched, begin_word, end_word: every whole text that holds a copy of an item.
 
@@ -153,7 +185,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     rows = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     out = None
     for items in blocks(benchmark):
-        items.keep(*seed_counts(docs, items))
         shared = spark.sparkContext.broadcast(items)  # BLOCK_WORDS bounds it
 
         def run(batches, shared=shared):

@@ -170,6 +170,29 @@ def test_copies_and_edited_copies(spark, docs, sf):
     assert {(r.doc_id, r.item_id) for r in decontam.contaminated(planted, bench).collect()} == {(1, items[0][0])}
 
 
+@pytest.mark.parametrize(("step", "matched"), [(4, 30), (5, 32)])
+def test_frequent_edited_copies(spark, step, matched):
+    words = [f"w{k}" for k in range(40)]
+    bench = spark.createDataFrame([(7, " ".join(words))], "item_id long, text string")
+    edited = "before " + " ".join(f"changed{k}" if k % step == step - 1 else w for k, w in enumerate(words)) + " after"
+    rows = [(k, edited if k < 20 else f"filler text number {k}") for k in range(1000)]
+    got = decontam.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()
+    assert {(r.doc_id, r.n_matched) for r in got} == {(k, matched) for k in range(20)}
+
+
+def test_windows_lose_no_alignment():
+    r = np.random.default_rng(11)
+    for _ in range(20):
+        item = [f"w{k}" for k in r.integers(0, 30, 20)]
+        text = [f"w{k}" for k in r.integers(0, 60, 300)]
+        at = int(r.integers(0, 250))
+        text[at : at + 20] = [w if r.random() < 0.75 else "x" for w in item]
+        block = decontam.Items([(1, " ".join(item))])
+        held = align.align(item, text, -len(item), len(text))
+        seeds = {tuple(item[k : k + 3]) for k in range(18)} & {tuple(text[k : k + 3]) for k in range(held[4], held[5] - 2)}
+        assert [x[4] for x in block.matches([" ".join(text)])] == ([held[1]] if held[1] >= 10 and seeds else [])
+
+
 def test_copies_odd_rows(spark, odd, none):
     bench = spark.createDataFrame([(1, "the cat sat on the mat"), (2, None), (3, ""), (4, "two words")], "item_id long, text string")
     assert {(r.doc_id, r.item_id) for r in decontam.contaminated(odd, bench).collect()} == {(1, 1)}
