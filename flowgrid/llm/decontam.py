@@ -2,13 +2,15 @@
 
 Seeds are all word 3-grams of the items, however often the corpus has them: an edited copy may keep only frequent ones.
 A window of text around a seed is aligned with the item if it holds as many of the item's words as a copy must keep
-(no alignment can match more), so that edited copies count by the words they keep in order.
+(no alignment can match more). The window has room for every alignment that begins in its first half, and the whole
+table is filled, without a band: edited copies count by the words they keep in order, however far their parts drift.
 
 Items come in blocks of bounded size. Each block is one pass over the corpus, so a benchmark of any size can be used.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from itertools import chain
@@ -18,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowgrid.llm.align import align
+from flowgrid.llm.align import align_whole
 from flowgrid.llm.langid import KeyTable
 from flowgrid.llm.shared import materialize, pick
 from flowgrid.llm.tokens import in_batches
@@ -28,8 +30,8 @@ GRAM = 3
 BLOCK_WORDS = 500_000
 #: Items of fewer words are too short to tell a copy from chance.
 LEAST_WORDS = 5
-#: Share of the item's words that an alignment must keep, and how far it may stray from the seed's diagonal.
-COVERAGE, BAND = 0.5, 12
+#: Share of the item's words that an alignment must keep.
+COVERAGE = 0.5
 #: Seeds or words looked at together at most.
 SLICE = 1 << 21
 #: Items that an alignment spans less than: as many unmatched words as use up what its matches gain, and the matches.
@@ -100,63 +102,49 @@ class Items:
         hit = row >= 0
         return words, first, count, doc[hit], ok[hit] - first[doc[hit]], row[hit]
 
-    def candidates(self, words, first, count, doc, place, row) -> dict[tuple[int, int], set[int]]:
-        """(text, item): diagonals of the seeds in windows that hold enough of the item's words.
+    def candidates(self, words, first, count, doc, place, row) -> tuple[np.ndarray, ...]:
+        """Texts, items, and begins and ends of the windows with a seed that hold enough of the item's words.
 
         An alignment costs a point for every word it doesn't match and gains two for every other, so it spans less than
         SPAN times its item. Window k begins at k * SPAN items and is twice that long: it holds all alignments that
         begin in its first half.
         """
-        most = int((count // (SPAN * self.size.min())).max()) + 2 if len(self.items) and len(count) else 2
-        found, ends = [], np.cumsum(self.holders.n[row])
-        for lo, hi in _slices(ends):
-            each, (item, at) = self.holders.of(row[lo:hi])
-            d, p = doc[lo:hi][each], place[lo:hi][each]
-            k = p // (SPAN * self.size[item])
-            pair = (d * len(self.items) + item) * most
-            found.append(np.stack([np.concatenate([pair + k, pair + np.maximum(k - 1, 0)]), np.tile(p - at, 2)], 1))
-        if not found:
-            return {}
-        found = np.concatenate(found)
-        key, which = np.unique(found[:, 0], return_inverse=True)
-        keep = self.enough(words, first, count, *np.divmod(key // most, len(self.items)), key % most)
-        out: dict[tuple[int, int], set[int]] = {}
-        of = keep[which]
-        for x, diagonal in zip((found[of, 0] // most).tolist(), found[of, 1].tolist()):
-            out.setdefault(divmod(x, len(self.items)), set()).add(diagonal)
-        return out
+        most = int((count // (SPAN * self.size.min())).max()) + 2 if len(row) else 2
+        found = [np.zeros(0, np.int64)]
+        for lo, hi in _slices(np.cumsum(self.holders.n[row])):
+            each, (item, _) = self.holders.of(row[lo:hi])
+            k = place[lo:hi][each] // (SPAN * self.size[item])
+            pair = (doc[lo:hi][each] * len(self.items) + item) * most
+            found.append(np.unique(np.concatenate([pair + k, pair + np.maximum(k - 1, 0)])))
+        pair, k = np.divmod(np.unique(np.concatenate(found)), most)
+        doc, item = np.divmod(pair, len(self.items))
+        begin = first[doc] + k * SPAN * self.size[item]
+        end = np.minimum(begin + 2 * SPAN * self.size[item], (first + count)[doc])
+        keep = self.enough(words, item, begin, end)
+        return doc[keep], item[keep], begin[keep], end[keep]
 
-    def enough(self, words, first, count, doc, item, window) -> np.ndarray:
+    def enough(self, words, item, begin, end) -> np.ndarray:
         """Whether the windows hold COVERAGE of their item's words, each as often as the item at most, in any order."""
         known = np.flatnonzero(words >= 0)
         stride = len(words) + 1
-        sorted_places = np.sort(words[known] * stride + known)
-        begin = first[doc] + window * SPAN * self.size[item]
-        end = np.minimum(begin + 2 * SPAN * self.size[item], (first + count)[doc])
-        out = np.zeros(len(doc), bool)
+        places = np.sort(words[known] * stride + known)
+        out = np.zeros(len(item), bool)
         for lo, hi in _slices(np.cumsum(self.bags.n[item])):
             each, (w, n) = self.bags.of(item[lo:hi])
-            held = np.searchsorted(sorted_places, w * stride + end[lo:hi][each]) - np.searchsorted(sorted_places, w * stride + begin[lo:hi][each])
+            held = np.searchsorted(places, w * stride + end[lo:hi][each]) - np.searchsorted(places, w * stride + begin[lo:hi][each])
             out[lo:hi] = np.bincount(each, np.minimum(held, n), hi - lo) >= COVERAGE * self.size[item[lo:hi]]
         return out
 
     def matches(self, texts: list[str]) -> list[tuple]:
         """(text number, item id, score, coverage, matched words, begin, end) of the best place of each item in each text."""
         words, first, count, *hits = self.find(texts)
-        out = []
-        for (d, k), found in sorted(self.candidates(words, first, count, *hits).items()):
-            a, best, last = self.items[k], None, None
-            for x in sorted(found):
-                if last is not None and x <= last + BAND // 2:
-                    continue  # the band of the one before covers it
-                last = x
-                lo, hi = max(0, x - BAND), max(0, min(int(count[d]), x + len(a) + BAND))
-                score, m, _, _, p, q = align(a, words[first[d] + lo : first[d] + hi].tolist(), x - BAND - lo, x + BAND - lo)
-                if best is None or (score, m) > best[:2]:
-                    best = (score, m, lo + p, lo + q)
-            if best[1] >= COVERAGE * len(a):
-                out.append((d, self.ids[k], best[0], best[1] / len(a), best[1], best[2], best[3]))
-        return out
+        best: dict[tuple[int, int], tuple] = {}
+        for d, k, lo, hi in zip(*(x.tolist() for x in self.candidates(words, first, count, *hits))):
+            a = self.items[k]
+            found = align_whole(np.array(a), words[lo:hi], math.ceil(COVERAGE * len(a)))
+            if found and found[:2] > best.get((d, k), (0, 0))[:2]:
+                best[d, k] = (*found[:2], int(lo - first[d]) + found[2], int(lo - first[d]) + found[3])
+        return [(d, self.ids[k], score, m / len(self.items[k]), m, p, q) for (d, k), (score, m, p, q) in best.items()]
 
 
 def blocks(items: DataFrame, words: int = BLOCK_WORDS):
