@@ -166,19 +166,25 @@ def verified(pairs: DataFrame, classes: DataFrame, lines: DataFrame, rank: list[
     return both.select(F.greatest("at_x", "at_y")["id"].alias("x"), F.least("at_x", "at_y")["id"].alias("y"))
 
 
-def later_matches(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(lines, matched): set_id of every line, and the classes (x) that match an earlier class, with one (y) that they match."""
+def later_matches(docs: DataFrame, links: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(lines, matched): set_id of every line, and the classes (x) that match an earlier class, with one (y) that they match.
+
+    With ``links`` no class is settled by a first round, and matched holds every pair of classes that match.
+    """
     lines = lines_of(docs)
     rank = rarity(lines)
     sets = materialize(line_sets(lines, rank), "line-sets")
     classes = materialize(line_classes(sets), "line-classes")
+    if links:
+        pairs = materialize(all_pairs(classes.withColumn("open", F.lit(True))), "pairs")
+        return sets, materialize(verified(pairs, classes, lines, rank), "matched")
     sure = materialize(verified(materialize(first_round(classes), "pairs"), classes, lines, rank), "matched")
     marked = classes.join(sure.select(F.col("x").alias("set_id"), F.lit(False).alias("open")), "set_id", "left").withColumn("open", F.coalesce("open", F.lit(True)))
     rest = verified(materialize(all_pairs(marked), "pairs"), classes, lines, rank)
     return sets, materialize(sure.unionByName(rest).groupBy("x").agg(F.min("y").alias("y")), "matched")
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
+def dedup_lines(docs: DataFrame, links: bool = False) -> DataFrame:
     """``docs`` with every line removed that matches an earlier one, and n_lines (with a word) and n_removed added.
 
     Earlier: by doc_id, line number, then text. Equal sets match, and so do sets of Jaccard similarity 0.8 or more. All
@@ -186,18 +192,30 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     texts stay null with no lines; null doc_ids come before all others. Repeated rows of one doc_id and text are one
     document here: all get the same lines. Other columns stay as they are, except columns called n_lines or n_removed,
     which are replaced.
+
+    With ``links`` the column line_links is added (or replaced): line_no, class_id (equal for equal sets) and n_links of
+    each line with a word, where n_links counts all other classes, earlier or later, that the line's class matches.
     """
-    sets, matched = later_matches(docs)
+    sets, matched = later_matches(docs, links)
+    added = ["n_lines", "n_removed", *(["line_links"] if links else [])]
     order = F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))), "line_no", "text_hash")
     first = sets.groupBy("set_id").agg(F.min(order).alias("first"))
-    first = first.join(matched.select(F.col("x").alias("set_id"), F.lit(True).alias("again")), "set_id", "left")
+    if links:
+        ends = matched.select(F.explode(F.array(F.struct(F.col("x").alias("set_id"), F.lit(True).alias("later")), F.struct(F.col("y").alias("set_id"), F.lit(False).alias("later")))).alias("e"))
+        per_class = ends.groupBy("e.set_id").agg(F.count("*").alias("n_links"), F.max("e.later").alias("later"))
+        per_class = per_class.select("set_id", "n_links", F.when(F.col("later"), True).alias("again"))
+    else:
+        per_class = matched.select(F.col("x").alias("set_id"), F.lit(True).alias("again"))
+    first = first.join(per_class, "set_id", "left")
     rows = sets.select("doc_id", "text_hash", "line_no", "set_id", order.alias("at")).join(first, "set_id")
     gone = F.col("again").isNotNull() | (F.col("at") != F.col("first"))
-    per_doc = rows.groupBy("doc_id", "text_hash").agg(F.count_distinct("line_no").alias("n_lines"), F.collect_set(F.when(gone, F.col("line_no"))).alias("removed"))
-    keyed = docs.drop("n_lines", "n_removed").withColumn("text_hash__", F.xxhash64("text")).alias("d")
+    one = F.struct("line_no", F.col("set_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")) if links else None
+    of_lines = [F.sort_array(F.collect_set(one)).alias("line_links")] if links else []
+    per_doc = rows.groupBy("doc_id", "text_hash").agg(F.count_distinct("line_no").alias("n_lines"), F.collect_set(F.when(gone, F.col("line_no"))).alias("removed"), *of_lines)
+    keyed = docs.drop(*added).withColumn("text_hash__", F.xxhash64("text")).alias("d")
     out = keyed.join(per_doc.alias("p"), F.expr("d.doc_id <=> p.doc_id and d.text_hash__ = p.text_hash"), "left")
     parts = F.split("d.text", "\n")
     kept = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains(F.col("p.removed"), i)), "\n")
     text = F.when(F.size("p.removed") > 0, kept).otherwise(F.col("d.text"))
-    columns = [text.alias(c) if c == "text" else F.col(f"d.`{c}`") for c in docs.columns if c not in ("n_lines", "n_removed")]
-    return out.select(*columns, F.coalesce("p.n_lines", F.lit(0)).alias("n_lines"), F.coalesce(F.size("p.removed"), F.lit(0)).cast("long").alias("n_removed"))
+    columns = [text.alias(c) if c == "text" else F.col(f"d.`{c}`") for c in docs.columns if c not in added]
+    return out.select(*columns, F.coalesce("p.n_lines", F.lit(0)).alias("n_lines"), F.coalesce(F.size("p.removed"), F.lit(0)).cast("long").alias("n_removed"), *(["p.line_links"] if links else []))

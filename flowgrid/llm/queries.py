@@ -15,8 +15,9 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select("doc_id", "text", "n_lines", "n_removed")
+    out = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), links=True)
+    links = F.array_join(F.transform("line_links", lambda x: F.concat_ws(":", *[x[k].cast("string") for k in ("line_no", "class_id", "n_links")])), ",")
+    return out.select("doc_id", "text", "n_lines", "n_removed", links.alias("line_links"))
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -132,6 +132,28 @@ def test_lines_of_a_dense_group(spark):
     assert {x.doc_id: x.text for x in line_dedup.dedup_lines(df).collect()} == brute_lines(rows)
 
 
+def test_every_link_of_a_line_is_counted(spark):
+    r = np.random.default_rng(4)
+    rows = []
+    for i in range(60):
+        w = [f"w{k}" for k in range(20)]
+        for _ in range(r.integers(0, 4)):
+            w[r.integers(0, 20)] = f"x{r.integers(0, 9)}"
+        rows.append((i, " ".join(w) + f"\nalone{i} {i}"))
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("line_links", F.lit(1))
+    got = line_dedup.dedup_lines(df, links=True).collect()
+    assert {x.doc_id: x.text for x in got} == brute_lines(rows)
+    sets = {(i, n): frozenset(line.split()) for i, t in rows for n, line in enumerate(t.split("\n"))}
+    want = {k: sum(9 * len(a & b) >= 4 * (len(a) + len(b)) for b in set(sets.values()) - {a}) for k, a in sets.items()}
+    assert {(x.doc_id, y.line_no): y.n_links for x in got for y in x.line_links} == want and max(want.values()) > 10
+    class_of = {(x.doc_id, y.line_no): y.class_id for x in got for y in x.line_links}
+    assert len(set(class_of.values())) == len({(class_of[k], a) for k, a in sets.items()}) == len(set(sets.values()))
+
+
+def test_line_query_gives_links(spark, sf):
+    assert "line_links" in queries.op2_line_dedup(spark, sf).columns
+
+
 def test_lines_odd_rows(odd, none):
     got = line_dedup.dedup_lines(odd).collect()
     assert len(got) == 10
