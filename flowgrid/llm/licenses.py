@@ -42,6 +42,66 @@ TEMPLATES = [
     ("unlicense", "Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
     ("cc-by-4.0-line", "CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("cc-by-nc-4.0-line", "CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
+    ("cc-by-1.0-short", "CC-BY-1.0", "Licensed under CC BY 1.0."),
+    ("cc-by-1.0-line", "CC-BY-1.0", "This work is licensed under a Creative Commons Attribution 1.0 Generic License."),
+    ("cc-by-sa-1.0-short", "CC-BY-SA-1.0", "Licensed under CC BY-SA 1.0."),
+    ("cc-by-sa-1.0-line", "CC-BY-SA-1.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 1.0 Generic License."),
+    ("cc-by-nd-1.0-short", "CC-BY-ND-1.0", "Licensed under CC BY-ND 1.0."),
+    ("cc-by-nd-1.0-line", "CC-BY-ND-1.0", "This work is licensed under a Creative Commons Attribution-NoDerivatives 1.0 Generic License."),
+    ("cc-by-nc-1.0-short", "CC-BY-NC-1.0", "Licensed under CC BY-NC 1.0."),
+    ("cc-by-nc-1.0-line", "CC-BY-NC-1.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 1.0 Generic License."),
+    ("cc-by-nc-sa-1.0-short", "CC-BY-NC-SA-1.0", "Licensed under CC BY-NC-SA 1.0."),
+    ("cc-by-nc-sa-1.0-line", "CC-BY-NC-SA-1.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 1.0 Generic License."),
+    ("cc-by-nc-nd-1.0-short", "CC-BY-NC-ND-1.0", "Licensed under CC BY-NC-ND 1.0."),
+    ("cc-by-nc-nd-1.0-line", "CC-BY-NC-ND-1.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 1.0 Generic License."),
+    ("cc-by-2.0-short", "CC-BY-2.0", "Licensed under CC BY 2.0."),
+    ("cc-by-2.0-line", "CC-BY-2.0", "This work is licensed under a Creative Commons Attribution 2.0 Generic License."),
+    ("cc-by-sa-2.0-short", "CC-BY-SA-2.0", "Licensed under CC BY-SA 2.0."),
+    ("cc-by-sa-2.0-line", "CC-BY-SA-2.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 2.0 Generic License."),
+    ("cc-by-nd-2.0-short", "CC-BY-ND-2.0", "Licensed under CC BY-ND 2.0."),
+    ("cc-by-nd-2.0-line", "CC-BY-ND-2.0", "This work is licensed under a Creative Commons Attribution-NoDerivatives 2.0 Generic License."),
+    ("cc-by-nc-2.0-short", "CC-BY-NC-2.0", "Licensed under CC BY-NC 2.0."),
+    ("cc-by-nc-2.0-line", "CC-BY-NC-2.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 2.0 Generic License."),
+    ("cc-by-nc-sa-2.0-short", "CC-BY-NC-SA-2.0", "Licensed under CC BY-NC-SA 2.0."),
+    ("cc-by-nc-sa-2.0-line", "CC-BY-NC-SA-2.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 2.0 Generic License."),
+    ("cc-by-nc-nd-2.0-short", "CC-BY-NC-ND-2.0", "Licensed under CC BY-NC-ND 2.0."),
+    ("cc-by-nc-nd-2.0-line", "CC-BY-NC-ND-2.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 2.0 Generic License."),
+    ("cc-by-3.0-short", "CC-BY-3.0", "Licensed under CC BY 3.0."),
+    ("cc-by-3.0-line", "CC-BY-3.0", "This work is licensed under a Creative Commons Attribution 3.0 Unported License."),
+    ("cc-by-sa-3.0-short", "CC-BY-SA-3.0", "Licensed under CC BY-SA 3.0."),
+    ("cc-by-sa-3.0-line", "CC-BY-SA-3.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 3.0 Unported License."),
+    ("cc-by-nd-3.0-short", "CC-BY-ND-3.0", "Licensed under CC BY-ND 3.0."),
+    ("cc-by-nd-3.0-line", "CC-BY-ND-3.0", "This work is licensed under a Creative Commons Attribution-NoDerivatives 3.0 Unported License."),
+    ("cc-by-nc-3.0-short", "CC-BY-NC-3.0", "Licensed under CC BY-NC 3.0."),
+    ("cc-by-nc-3.0-line", "CC-BY-NC-3.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 3.0 Unported License."),
+    ("cc-by-nc-sa-3.0-short", "CC-BY-NC-SA-3.0", "Licensed under CC BY-NC-SA 3.0."),
+    ("cc-by-nc-sa-3.0-line", "CC-BY-NC-SA-3.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 3.0 Unported License."),
+    ("cc-by-nc-nd-3.0-short", "CC-BY-NC-ND-3.0", "Licensed under CC BY-NC-ND 3.0."),
+    ("cc-by-nc-nd-3.0-line", "CC-BY-NC-ND-3.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 3.0 Unported License."),
+    ("cc-by-4.0-short", "CC-BY-4.0", "Licensed under CC BY 4.0."),
+    ("cc-by-sa-4.0-short", "CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
+    ("cc-by-sa-4.0-line", "CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("cc-by-nd-4.0-short", "CC-BY-ND-4.0", "Licensed under CC BY-ND 4.0."),
+    ("cc-by-nd-4.0-line", "CC-BY-ND-4.0", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."),
+    ("cc-by-nc-4.0-long", "CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+    ("cc-by-nc-sa-4.0-short", "CC-BY-NC-SA-4.0", "Licensed under CC BY-NC-SA 4.0."),
+    ("cc-by-nc-sa-4.0-line", "CC-BY-NC-SA-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License."),
+    ("cc-by-nc-nd-4.0-short", "CC-BY-NC-ND-4.0", "Licensed under CC BY-NC-ND 4.0."),
+    ("cc-by-nc-nd-4.0-line", "CC-BY-NC-ND-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License."),
+    ("cc0-1.0-line", "CC0-1.0", "This work is licensed under CC0 1.0 Universal."),
+    ("gpl-2.0-line", "GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
+    ("lgpl-2-line", "LGPL-2.0", "This work is licensed under the GNU Library General Public License, version 2."),
+    ("agpl-3.0-line", "AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
+    ("lgpl-3-line", "LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
+    ("lgpl-2.1-line", "LGPL-2.1", "This work is licensed under the GNU Lesser General Public License, version 2.1."),
+    ("gpl-2.0-header", "GPL-2.0-or-later", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 2 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."),
+    ("lgpl-2.1-header", "LGPL-2.1-or-later", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 2.1 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details."),
+    ("lgpl-3.0-header", "LGPL-3.0-or-later", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details."),
+    ("agpl-3.0-header", "AGPL-3.0-or-later", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details."),
+    ("epl-1.0-line", "EPL-1.0", "This work is licensed under the Eclipse Public License, version 1.0."),
+    ("epl-2.0-line", "EPL-2.0", "This work is licensed under the Eclipse Public License, version 2.0."),
+    ("bsl-1.0-header", "BSL-1.0", "Distributed under the Boost Software License, Version 1.0."),
+    ("zlib-permission", "Zlib", "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: The origin of this software must not be misrepresented; you must not claim that you wrote the original software."),
 ]
 
 
@@ -115,12 +175,29 @@ class Index:
                     if m >= COVERAGE * len(a):
                         spans = spans or [x.span() for x in WORD.finditer(lower[doc])]
                         out[doc].append((t, m / len(a), m, spans[lo + p][0], spans[lo + q - 1][1]))
+            out[doc] = self.best(out[doc])
         return out
 
+    def best(self, found: list[tuple]) -> list[tuple]:
+        """Without places that another license explains better.
+
+        Better: more of the template's words matched than missed, then the greater coverage. Places are one if they share
+        half of the shorter; places of the same license all stay, as do equally good ones.
+        """
+        rank = lambda x: (2 * x[2] - len(self.words[x[0]]), x[1])
+        order, kept = sorted(found, key=rank, reverse=True), []
+        for x in order:
+            same = (y for y in kept if 2 * (min(x[4], y[4]) - max(x[3], y[3])) >= min(x[4] - x[3], y[4] - y[3]))
+            if all(self.templates[y[0]][1] == self.templates[x[0]][1] or rank(y) == rank(x) for y in same):
+                kept.append(x)
+        return [x for x in found if x in kept]
+
 
 def scan(docs: DataFrame, templates=TEMPLATES) -> DataFrame:
     """doc_id, license, template, coverage, n_matched, begin, end: every place of every whole text that matches a template.
 
+    Of overlapping places of different licenses only the best explained is given (see Index.best).
+
     A place matches if at least COVERAGE of the template's words are aligned there; begin and end are code points of
     the lower-cased text. Texts with none, null and empty texts give no row. Repeated rows give repeated matches; null doc_ids
     are kept; other columns are ignored.

@@ -351,6 +351,29 @@ def test_edited_license_and_lines_in_the_corpus(spark, docs):
     assert want <= {(r.doc_id, r.template) for r in licenses.scan(docs).collect()}
 
 
+@pytest.mark.parametrize(
+    ("text", "license"),
+    [
+        ("Licensed under CC BY 4.0.", "CC-BY-4.0"),
+        ("Licensed under CC BY-SA 3.0.", "CC-BY-SA-3.0"),
+        ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "CC-BY-SA-4.0"),
+        ("This work is licensed under the GNU General Public License, version 2.", "GPL-2.0"),
+        ("This work is licensed under the GNU Lesser General Public License, version 3.", "LGPL-3.0"),
+        ("This work is licensed under the GNU Affero General Public License, version 3.", "AGPL-3.0"),
+        ("Distributed under the Boost Software License, Version 1.0.", "BSL-1.0"),
+    ],
+)
+def test_relatives_come_out_under_their_own_name(text, license):
+    index = licenses.Index()
+    assert {index.templates[x[0]][1] for x in index.scan([f"before {text} after"])[0]} == {license}
+
+
+def test_no_template_comes_out_under_another_name():
+    index = licenses.Index()
+    for (name, lic, _), found in zip(index.templates, index.scan([t for _, _, t in index.templates]), strict=True):
+        assert {index.templates[x[0]][1] for x in found} == {lic}, name
+
+
 def test_licenses_odd_rows(odd, none):
     assert licenses.scan(odd).count() == 0 and licenses.scan(none).count() == 0
 
