@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import gc
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,23 +18,33 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: later stages start from these files, not from lineage."""
+#: Spark's own switch that frees the shuffle files of a query as soon as it has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def _shuffles_freed(spark: SparkSession):
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+
+
+def materialize(df: DataFrame, name: str, options: dict[str, str] | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: later stages start from these files, not from lineage.
+
+    Shuffle files of the job go when the table is written. ``options`` go to the writer.
+    """
     spark, path, schema = df.sparkSession, fresh_path(df.sparkSession, name), df.schema
-    df.write.option("compression", "zstd").parquet(path)
+    with _shuffles_freed(spark):
+        df.write.option("compression", "zstd").options(**options or {}).parquet(path)
     back = spark.read.schema(schema).parquet(path)
     back._stored_at = path
-    del df
-    _collect_garbage(spark)
     return back
 
 
-def _collect_garbage(spark: SparkSession) -> None:
-    """Shuffle files of finished jobs stay on disk until the driver's garbage collector meets their plans."""
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def discard(df: DataFrame) -> None:
     """Remove a table that ``materialize`` wrote and nothing reads any more."""
     if path := getattr(df, "_stored_at", None):
