@@ -5,7 +5,9 @@ Jaccard similarity ``SIMILARITY`` or more share a word among the first few (the
 down by length and by the places where they meet, then verified on whole sets, and every line that matches an
 earlier one is removed. All of it is column expressions: no Python runs on the executors.
 
-Equal sets are one class from the start, so a line that is copied very often counts once in the join.
+Equal sets are one class from the start, so a line that is copied very often counts once in the join. Classes of a
+large family of near copies (equal least word hashes) go through the join in blocks of up to ``BLOCK``, so that its
+pairs are checked inside few rows and only counts come out. Which classes make a block decides nothing but speed.
 """
 
 from __future__ import annotations
@@ -15,13 +17,16 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowgrid.llm.shared import SPACE, materialize, pick
+from flowgrid.llm.shared import discard, materialize, pick
 
 #: Jaccard similarity from which lines match, as a ratio of whole numbers so that ties are exact.
 NUMERATOR, DENOMINATOR = 4, 5
-#: Word frequencies are counted in two rows of so many buckets, and the lesser count holds: the order of rarity needs no
-#: exact counts, only that it is the same everywhere. And the 64-bit words of the candidates' bit map.
-FREQUENCY_BUCKETS, MAP_WORDS = 1 << 17, 1 << 14
+#: Buckets that word frequencies are counted in: the order of rarity needs no exact counts, only that it is the same
+#: everywhere. And the 64-bit words of the bit maps that spare shuffles.
+FREQUENCY_BUCKETS, MAP_WORDS = 1 << 18, 1 << 15
+#: Classes from which a family is put in blocks, classes of a block at most, and in how many bits they may differ from its first.
+FAMILY, BLOCK, RADIUS = 8, 32, 24
+NULL_DOC = -(1 << 63)
 
 
 def _ratio(n: str, up: int, down: int) -> str:
@@ -29,193 +34,194 @@ def _ratio(n: str, up: int, down: int) -> str:
     return f"(({n} * {up} + {down - 1}) div {down})"
 
 
-def lines_of(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, line_no, line: the lines (cut at line feeds) of every text that hold a word."""
-    rows = pick(docs, "doc_id", "text").filter(F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.split("text", "\n").alias("lines"))
-    rows = rows.select("doc_id", "text_hash", F.posexplode("lines").alias("line_no", "line"))
-    return rows.filter(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
+def _overlap(both: str) -> str:
+    """Words that two sets must share to be similar enough; ``both``: the sum of their sizes."""
+    return _ratio(both, NUMERATOR, NUMERATOR + DENOMINATOR)
 
 
-def _words(line: str) -> Column:
-    return F.split(F.btrim(F.lower(line), F.lit(" \t\n\x0b\x0c\r")), SPACE)  # a line here holds a word, so no part is empty
+def word_set(line: str) -> Column:
+    """The 64-bit hashes of a line's distinct words, ascending."""
+    text = F.lower(line)
+    for blank in "\t\x0b\x0c\r":
+        text = F.replace(text, F.lit(blank), F.lit(" "))
+    hashes = F.transform(F.split(text, " "), lambda w: F.xxhash64(w))
+    return F.sort_array(F.array_remove(F.array_distinct(hashes), F.xxhash64(F.lit(""))))
 
 
-def _buckets(h: Column) -> tuple[Column, Column]:
-    """A word hash's bucket in the first row and in the second."""
-    wide = FREQUENCY_BUCKETS - 1
-    return h.bitwiseAND(F.lit(wide)).cast("int"), (F.shiftright(h, 24).bitwiseAND(F.lit(wide)) + FREQUENCY_BUCKETS).cast("int")
+def line_sets(docs: DataFrame) -> DataFrame:
+    """doc_id, text_hash, line_no, s (the word set), id and more_id (128 bits of its hash) of every line with a word.
 
-
-def rarity(lines: DataFrame) -> list[int]:
-    """For every bucket of both rows a number from 0 to 127 that grows with how often its words are in the corpus."""
-    words = lines.select(F.explode(_words("line")).alias("w")).groupBy(F.xxhash64("w").alias("h")).count()
-    both = words.select("count", F.explode(F.array(*_buckets(F.col("h")))).alias("bucket"))
-    out = [0] * 2 * FREQUENCY_BUCKETS
-    for r in both.groupBy("bucket").agg(F.sum("count").alias("n")).collect():  # one row a bucket at most
-        out[r.bucket] = min(127, int(3 * math.log2(r.n)))
-    return out
+    Lines are cut at line feeds.
+    """
+    rows = pick(docs, "doc_id", "text").filter(F.col("text").isNotNull())
+    rows = rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    rows = rows.filter(F.col("line").rlike(r"[^\x20\x09-\x0D]")).select("doc_id", "text_hash", "line_no", word_set("line").alias("s"))
+    return rows.withColumns({"id": F.xxhash64("s"), "more_id": F.xxhash64(F.lit(1), "s")})
 
 
-def _set(line: str, rank: list[int]) -> Column:
-    """A line's set: one long for each distinct word, its rarity above 56 bits of its hash, rarest first."""
-    ranks = F.from_json(F.lit(str(rank)), "array<tinyint>")
+def _bucket(h: Column) -> Column:
+    return h.bitwiseAND(F.lit(FREQUENCY_BUCKETS - 1)).cast("int")
 
-    def key(h: Column) -> Column:
-        a, b = _buckets(h)
-        return F.shiftleft(F.least(F.get(ranks, a), F.get(ranks, b)).cast("long"), 56).bitwiseOR(h.bitwiseAND(F.lit((1 << 56) - 1)))
 
-    return F.sort_array(F.transform(F.array_distinct(F.transform(_words(line), lambda w: F.xxhash64(w))), key))
+def rarity(sets: DataFrame) -> list[int]:
+    """For every bucket a number from 0 to 127 that grows with how many lines hold its words."""
+    out = [0] * FREQUENCY_BUCKETS
+    for r in sets.select(F.explode("s").alias("h")).groupBy(_bucket(F.col("h")).alias("bucket")).count().collect():  # one row a bucket at most
+        out[r.bucket] = min(127, int(3 * math.log2(r["count"])))
+    return out
 
 
-def line_sets(lines: DataFrame, rank: list[int]) -> DataFrame:
-    """doc_id, text_hash, line_no, line_hash, set_id and n (distinct words) of every line, with its prefix.
+def line_classes(sets: DataFrame, rank: list[int]) -> DataFrame:
+    """One row for each distinct set: no (a number of its own), its first line in the order of doc_id, line number and
+    text hash, n (words), bits and more_bits (each of the 128 is the parity of its share of the words), family, and prefix (its rarest words, rarest first).
 
     Sets of up to three words have no prefix: nothing but an equal set can be that similar to them.
     """
-    rows = lines.select("doc_id", "text_hash", "line_no", F.xxhash64("line").alias("line_hash"), _set("line", rank).alias("s"))
+    # a word's place in the order: its bucket's rank above 56 bits of its hash
+    ranks = F.from_json(F.lit(str([r << 56 for r in rank])), "array<bigint>")
+    key = lambda h: F.get(ranks, _bucket(h)).bitwiseOR(h.bitwiseAND(F.lit((1 << 56) - 1)))
+    ordered = F.sort_array(F.transform("s", key))
     size = f"case when size(s) <= 3 then 0 else size(s) - {_ratio('size(s)', NUMERATOR, DENOMINATOR)} + 1 end"
-    prefix = F.expr(f"transform(slice(s, 1, {size}), x -> cast(x & 2147483647 as int))")
-    word_map = lambda low: F.expr(f"aggregate(s, 0L, (b, x) -> b | shiftleft(1L, cast(shiftright(x, {low}) & 63 as int)))")
-    return rows.select("doc_id", "text_hash", "line_no", "line_hash", F.xxhash64("s").alias("set_id"), F.size("s").alias("n"), word_map(0).alias("bits"), word_map(6).alias("more_bits"), prefix.alias("prefix"))
-
-
-def line_classes(sets: DataFrame) -> DataFrame:
-    """One row for each distinct set: its first line in the order of doc_id, line number and text."""
-    first = F.min(F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc"), F.col("line_no").alias("line"), "text_hash", "line_hash"))
-    rows = sets.groupBy("set_id").agg(first.alias("f"), *[F.any_value(c).alias(c) for c in ("n", "bits", "more_bits", "prefix")])
-    return rows.select("set_id", "f.doc", "f.line", "f.line_hash", "n", "bits", "more_bits", "prefix")
-
-
-def _overlap(a: str, b: str) -> str:
-    """Words that sets of the sizes ``a`` and ``b`` must share to be similar enough."""
-    return _ratio(f"({a} + {b})", NUMERATOR, NUMERATOR + DENOMINATOR)
-
-
-#: Words of a prefix that the first round looks at.
-LEADING = 3
-_LATER = "(x.doc > y.doc or (x.doc = y.doc and (x.line > y.line or (x.line = y.line and x.set_id > y.set_id))))"
+    parity = lambda half: F.expr(f"aggregate(s, 0L, (b, x) -> if(x & 64 = {64 * half}, b ^ shiftleft(1L, cast(x & 63 as int)), b))")
+    at = F.struct(F.coalesce("doc_id", F.lit(NULL_DOC)).alias("doc"), F.col("line_no").alias("line"), "text_hash")
+    rows = sets.select("id", "more_id", at.alias("at"), F.size("s").alias("n"), parity(0).alias("bits"), parity(1).alias("more_bits"), F.expr("xxhash64(slice(s, 1, 4))").alias("family"), ordered.alias("o"))
+    rows = rows.withColumn("prefix", F.expr(f"transform(slice(o, 1, {size.replace('size(s)', 'n')}), x -> cast(x & 2147483647 as int))")).drop("o")
+    rows = rows.groupBy("id", "more_id").agg(F.min("at").alias("at"), *[F.any_value(c).alias(c) for c in ("n", "bits", "more_bits", "family", "prefix")])
+    return rows.withColumn("no", F.monotonically_increasing_id())
 
 
-def first_round(classes: DataFrame) -> DataFrame:
-    """x, y: for every class at most one promising earlier one, out of the first class at each of its rarest words.
-
-    It settles most members of a large group of like lines with one pair each instead of all pairs.
-    """
-    rows = classes.select("set_id", "doc", "line", "n", "bits", F.posexplode(F.slice("prefix", 1, LEADING)).alias("at", "word"))
-    lead = rows.groupBy("word").agg(F.min(F.struct("doc", "line", "set_id", "n", "bits", "at")).alias("y")).select("word", "y.*")
-    need = _overlap("x.n", "y.n")
-    meets = f"""x.word = y.word and {_LATER} and least(x.n, y.n) * {DENOMINATOR} >= greatest(x.n, y.n) * {NUMERATOR}
-        and least(x.n - x.at, y.n - y.at) >= {need} and bit_count(x.bits ^ y.bits) <= x.n + y.n - 2 * {need}"""
-    pairs = rows.alias("x").join(lead.alias("y"), F.expr(meets))
-    pairs = pairs.select(F.col("x.set_id").alias("x"), F.struct(F.expr("bit_count(x.bits ^ y.bits)"), F.col("y.set_id").alias("y")).alias("best"))
-    return pairs.groupBy("x").agg(F.min("best").alias("best")).select("x", "best.y")
-
-
-def all_pairs(classes: DataFrame) -> DataFrame:
-    """x, y (in either order): all pairs with an ``open`` class that length, place and map of words leave, each once.
-
-    x is the longer set, or of equally long ones that of less id. Both sides of the join read one shuffle, so size,
-    place and mark travel in one number.
-    """
-    packed = F.expr("shiftleft(cast(n as bigint), 32) | shiftleft(cast(at as bigint), 1) | cast(open as bigint)").alias("p")
-    meet = classes.select("set_id", "open", "n", "bits", F.posexplode("prefix").alias("at", "word")).select("word", "set_id", "bits", packed)
-    n, at = "shiftright({0}.p, 32)", "(shiftright({0}.p, 1) & 2147483647)"
-    nx, ny, ax, ay = n.format("x"), n.format("y"), at.format("x"), at.format("y")
-    need = _overlap(nx, ny)
-    # the shorter set needs a shorter prefix; every bit in which the maps differ is a word that only one set has
-    meets = f"""x.word = y.word and ({nx} > {ny} or ({nx} = {ny} and x.set_id < y.set_id)) and {ny} * {DENOMINATOR} >= {nx} * {NUMERATOR}
-        and ((x.p | y.p) & 1) = 1 and {ay} <= {ny} - {_ratio(ny, 2 * NUMERATOR, NUMERATOR + DENOMINATOR)}
-        and least({nx} - {ax}, {ny} - {ay}) >= {need} and bit_count(x.bits ^ y.bits) <= {nx} + {ny} - 2 * {need}"""
-    pairs = meet.alias("x").join(meet.alias("y"), F.expr(meets)).select(F.col("x.set_id").alias("x"), F.col("y.set_id").alias("y")).distinct()
-    # for the pairs that are left: the later one must be open, and a second map of words must allow the similarity, before
-    # whole sets travel
-    def side(k: str) -> DataFrame:
-        at = F.struct("doc", "line", F.col("set_id").alias("id")).alias(f"at_{k}")
-        return classes.select(F.col("set_id").alias(k), at, F.col("open").alias(f"open_{k}"), F.col("n").alias(f"n{k}"), F.col("more_bits").alias(f"m{k}"))
-
-    pairs = materialize(pairs, "met").join(side("x"), "x").join(side("y"), "y")
-    return pairs.filter(f"if(at_x > at_y, open_x, open_y) and bit_count(mx ^ my) <= nx + ny - 2 * {_overlap('nx', 'ny')}").select("x", "y")
-
-
-def _bit_map(hashes: DataFrame) -> list[int]:
-    """A map of 64 * MAP_WORDS bits with the bits of all hashes set: it lets all of them pass, and few others."""
+def _in_map(hashes: DataFrame, h: Column) -> Column:
+    """Whether ``h`` may be among the hashes (column h): a map of 64 * MAP_WORDS bits lets them all pass, and few others."""
     rows = hashes.select(F.pmod(F.shiftright("h", 6), F.lit(MAP_WORDS)).cast("int").alias("at"), F.expr("shiftleft(1L, cast(h & 63 as int))").alias("bit"))
     out = [0] * MAP_WORDS
     for r in rows.groupBy("at").agg(F.bit_or("bit").alias("bits")).collect():  # MAP_WORDS rows at most
         out[r["at"]] = r.bits
-    return out
+    bits = F.get(F.from_json(F.lit(str(out)), "array<bigint>"), F.pmod(F.shiftright(h, 6), F.lit(MAP_WORDS)).cast("int"))
+    return bits.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))) != 0
 
 
-def verified(pairs: DataFrame, classes: DataFrame, lines: DataFrame, rank: list[int]) -> DataFrame:
-    """The pairs whose whole sets are similar enough, as x (the later class) and y (the earlier one).
+def family_blocks(classes: DataFrame) -> tuple[DataFrame, Column]:
+    """(blocks, a condition that all their classes meet): block, members (no, n, bits, more_bits, prefix) and radius.
 
-    Sets are made again from the lines they came from: a bit map of the hashes of the wanted lines lets those
-    through before the shuffle, and a join drops what else got through.
+    Families of FAMILY classes or more are cut into blocks of up to BLOCK by hash; classes whose bits are
+    far from those of their block's first one stand alone, as do other classes that meet the
+    condition.
+    """
+    sized = classes.filter("size(prefix) > 0").groupBy("family").agg(F.count("*").alias("size")).filter(F.col("size") >= FAMILY)
+    sized = materialize(sized, "families")
+    maybe = _in_map(sized.select(F.col("family").alias("h")), F.col("family")) & (F.size("prefix") > 0)
+    rows = classes.filter(maybe).join(sized, "family", "left")
+    member = F.struct("no", "n", "bits", "more_bits", "prefix")
+    alone = F.col("size").isNull()
+    slot = F.when(alone, F.col("no")).otherwise(F.pmod("more_id", F.ceil(F.col("size") * 2 / BLOCK)))
+    rows = rows.groupBy("family", slot.alias("slot")).agg(F.array_sort(F.collect_list(member)).alias("m"))
+    rows = rows.select(F.explode(F.expr(f"transform(sequence(0, (size(m) - 1) div {BLOCK}), i -> slice(m, i * {BLOCK} + 1, {BLOCK}))")).alias("m"))
+    away, most = "bit_count(x.bits ^ m[0].bits) + bit_count(x.more_bits ^ m[0].more_bits)", f"least({RADIUS}, 2 * m[0].n - 2 * {_overlap('2 * m[0].n')} + 4)"
+    rows = rows.withColumns({"near": F.expr(f"filter(m, x -> {away} <= {most})"), "far": F.expr(f"filter(m, x -> {away} > {most})")})
+    rows = rows.select(F.explode(F.expr("concat(array(near), transform(far, x -> array(x)))")).alias("m"))
+    radius = F.expr(f"array_max(transform(m, x -> {away}))").alias("radius")
+    return materialize(rows.select(F.expr("m[0].no").alias("block"), F.col("m").alias("members"), radius), "blocks"), maybe
+
+
+def candidates(classes: DataFrame, blocks: DataFrame, maybe: Column) -> DataFrame:
+    """x, y (x < y): all pairs of blocks that length, place and map of words leave, each once. A class outside ``blocks`` is a block.
+
+    What holds for pairs of classes is asked of the most favourable sizes and places that the two blocks have.
     """
-    ids = pairs.select(F.explode(F.array("x", "y")).alias("set_id")).distinct()
-    wanted = materialize(classes.join(ids, "set_id", "left_semi").select("set_id", "doc", "line", F.col("line_hash").alias("h")), "wanted")
-    passes = F.from_json(F.lit(str(_bit_map(wanted))), "array<bigint>")
-    found = lines.select(F.xxhash64("line").alias("h"), "line").filter(F.get(passes, F.pmod(F.shiftright("h", 6), F.lit(MAP_WORDS)).cast("int")).bitwiseAND(F.expr("shiftleft(1L, cast(h & 63 as int))")) != 0)
-    found = found.groupBy("h").agg(F.min("line").alias("line_text")).join(wanted, "h")
-    sets = materialize(found.select("set_id", "doc", "line", _set("line_text", rank).alias("s")), "sets")
-    side = lambda k: sets.select(F.col("set_id").alias(k), F.struct("doc", "line", F.col("set_id").alias("id")).alias(f"at_{k}"), F.col("s").alias(f"s{k}"))
-    both = pairs.join(side("x"), "x").join(side("y"), "y")
-    shared = F.size(F.array_intersect("sx", "sy"))
-    # shared / (n + m - shared) >= NUMERATOR / DENOMINATOR
-    both = both.filter(shared * (NUMERATOR + DENOMINATOR) >= (F.size("sx") + F.size("sy")) * NUMERATOR)
-    return both.select(F.greatest("at_x", "at_y")["id"].alias("x"), F.least("at_x", "at_y")["id"].alias("y"))
-
-
-def later_matches(docs: DataFrame, links: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(lines, matched): set_id of every line, and the classes (x) that match an earlier class, with one (y) that they match.
-
-    With ``links`` no class is settled by a first round, and matched holds every pair of classes that match.
+    alone = classes.filter(~maybe & (F.size("prefix") > 0)).select(F.col("no").alias("block"), F.col("n").alias("low"), F.col("n").alias("high"), "bits", "more_bits", F.lit(0).alias("radius"), F.posexplode("prefix").alias("place", "word"))
+    one = "size(members) = 1"
+    words = f"if({one}, transform(members[0].prefix, (w, i) -> named_struct('place', i, 'word', w)), transform(array_distinct(flatten(members.prefix)), w -> named_struct('place', 0, 'word', w)))"
+    grouped = blocks.select("block", F.expr("array_min(members.n)").alias("low"), F.expr("array_max(members.n)").alias("high"), F.expr("members[0].bits").alias("bits"), F.expr("members[0].more_bits").alias("more_bits"), "radius", F.expr(f"inline({words})"))
+    meet = alone.unionByName(grouped).select("word", "block", "bits", "more_bits", F.expr("shiftleft(cast(low as bigint), 32) | high").alias("size"), F.expr("shiftleft(cast(place as bigint), 8) | radius").alias("at"))
+    low, high, place, radius = "shiftright({0}.size, 32)", "({0}.size & 4294967295)", "shiftright({0}.at, 8)", "({0}.at & 255)"
+    x, y = ([v.format(k) for v in (low, high, place, radius)] for k in "xy")
+    need = _overlap(f"({x[0]} + {y[0]})")
+    meets = f"""x.word = y.word and x.block < y.block and {x[0]} * {NUMERATOR} <= {y[1]} * {DENOMINATOR} and {y[0]} * {NUMERATOR} <= {x[1]} * {DENOMINATOR}
+        and bit_count(x.bits ^ y.bits) + bit_count(x.more_bits ^ y.more_bits) <= {x[1]} + {y[1]} - 2 * {need} + {x[3]} + {y[3]}
+        and least({x[1]} - {x[2]}, {y[1]} - {y[2]}) >= {need}"""  # every bit that differs is a word that only one set has
+    return meet.alias("x").join(meet.alias("y"), F.expr(meets)).select(F.col("x.block").alias("x"), F.col("y.block").alias("y")).distinct()
+
+
+def block_sets(ends: DataFrame, classes: DataFrame, blocks: DataFrame, maybe: Column, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(block, m (no, at and s of each of its classes) of the blocks in ``ends`` (column block, each once); a helper table).
+
+    A bit map of the wanted sets' hashes lets their lines through before the shuffle, and a join drops what else got through.
     """
-    lines = lines_of(docs)
-    rank = rarity(lines)
-    sets = materialize(line_sets(lines, rank), "line-sets")
-    classes = materialize(line_classes(sets), "line-classes")
-    if links:
-        pairs = materialize(all_pairs(classes.withColumn("open", F.lit(True))), "pairs")
-        return sets, materialize(verified(pairs, classes, lines, rank), "matched")
-    sure = materialize(verified(materialize(first_round(classes), "pairs"), classes, lines, rank), "matched")
-    marked = classes.join(sure.select(F.col("x").alias("set_id"), F.lit(False).alias("open")), "set_id", "left").withColumn("open", F.coalesce("open", F.lit(True)))
-    rest = verified(materialize(all_pairs(marked), "pairs"), classes, lines, rank)
-    return sets, materialize(sure.unionByName(rest).groupBy("x").agg(F.min("y").alias("y")), "matched")
+    inside = blocks.join(ends, "block", "left_semi").select("block", F.explode("members.no").alias("no"))
+    wanted = classes.filter(~maybe).join(ends.select(F.col("block").alias("no")), "no", "left_semi").select(F.col("no").alias("block"), "no", "at", "id", "more_id")
+    wanted = wanted.unionByName(classes.filter(maybe).join(inside, "no").select("block", "no", "at", "id", "more_id"))
+    wanted = materialize(wanted, "wanted")
+    found = sets.select("id", "more_id", "s").filter(_in_map(wanted.select(F.col("id").alias("h")), F.col("id")))
+    found = found.groupBy("id", "more_id").agg(F.any_value("s").alias("s"))
+    return materialize(wanted.join(found, ["id", "more_id"]).groupBy("block").agg(F.sort_array(F.collect_list(F.struct("no", "at", "s"))).alias("m")), "block-sets"), wanted
+
+
+def class_links(classes: DataFrame, sets: DataFrame) -> DataFrame:
+    """no, n_links (other classes that match, verified on whole sets) and later (one of them is earlier) of every class with a match."""
+    blocks, maybe = family_blocks(classes)
+    met = materialize(candidates(classes, blocks, maybe), "met")
+    own = blocks.filter("size(members) > 1").select(F.col("block").alias("x"), F.col("block").alias("y"))
+    ends = met.select(F.explode(F.array("x", "y")).alias("block")).union(own.select("x")).distinct()
+    whole, wanted = block_sets(ends, classes, blocks, maybe, sets)
+    side = lambda k: whole.select(F.col("block").alias(k), F.col("m").alias(f"m{k}"))
+    both = met.unionByName(own).join(side("x"), "x").join(side("y"), "y")
+    # shared / (n + m - shared) >= NUMERATOR / DENOMINATOR; for each class of one side: are its partners of the other earlier?
+    partners = lambda a, b: f"transform({a}, a -> transform(filter({b}, b -> a.no != b.no and size(array_intersect(a.s, b.s)) * {NUMERATOR + DENOMINATOR} >= (size(a.s) + size(b.s)) * {NUMERATOR}), b -> b.at < a.at))"
+    count = "transform({0}, f -> named_struct('n', size(f), 'later', array_contains(f, true)))"
+    both = both.select("x", "y", F.expr(f"transform(mx, a -> a.no)").alias("nx"), F.expr(f"transform(my, a -> a.no)").alias("ny"), F.expr(partners("mx", "my")).alias("fx"), F.expr(f"if(x = y, array(), {partners('my', 'mx')})").alias("fy"))
+    both = materialize(both.select("x", "y", "nx", "ny", F.expr(count.format("fx")).alias("cx"), F.expr(count.format("fy")).alias("cy")), "verified")
+    for done in (met, whole, wanted):
+        discard(done)
+    per_side = both.select(F.col("x").alias("block"), F.col("nx").alias("no"), F.col("cx").alias("c")).unionByName(both.filter("x != y").select(F.col("y").alias("block"), F.col("ny").alias("no"), F.col("cy").alias("c")))
+    # sums by a class's place in its block, so that a block takes one row from each task
+    single = per_side.filter("size(no) = 1").groupBy("block").agg(F.sum(F.expr("c[0].n")).alias("n_links"), F.max(F.expr("c[0].later")).alias("later")).withColumnRenamed("block", "no")
+    sums = [F.sum(F.expr(f"get(c, {i}).n")).alias(f"n{i}") for i in range(BLOCK)] + [F.max(F.expr(f"get(c, {i}).later")).alias(f"l{i}") for i in range(BLOCK)]
+    several = per_side.filter("size(no) > 1").groupBy("block", "no").agg(*sums)
+    several = several.select(F.posexplode("no").alias("i", "no"), F.array(*[f"n{i}" for i in range(BLOCK)]).alias("n"), F.array(*[f"l{i}" for i in range(BLOCK)]).alias("l"))
+    several = several.select("no", F.expr("n[i]").alias("n_links"), F.expr("l[i]").alias("later"))
+    out = materialize(single.unionByName(several).filter("n_links > 0"), "links")
+    for done in (both, blocks):
+        discard(done)
+    return out
 
 
 def dedup_lines(docs: DataFrame, links: bool = False) -> DataFrame:
     """``docs`` with every line removed that matches an earlier one, and n_lines (with a word) and n_removed added.
 
-    Earlier: by doc_id, line number, then text. Equal sets match, and so do sets of Jaccard similarity 0.8 or more. All
-    matches with earlier lines count, whether or not those are removed themselves. Lines without a word stay. Null
-    texts stay null with no lines; null doc_ids come before all others. Repeated rows of one doc_id and text are one
+    Earlier: by doc_id, line number, then the text's hash. Equal sets match, and so do sets of Jaccard similarity 0.8 or
+    more. All matches with earlier lines count, whether or not those are removed themselves. Lines without a word stay.
+    Null texts stay null with no lines; null doc_ids come before all others. Repeated rows of one doc_id and text are one
     document here: all get the same lines. Other columns stay as they are, except columns called n_lines or n_removed,
     which are replaced.
 
     With ``links`` the column line_links is added (or replaced): line_no, class_id (equal for equal sets) and n_links of
     each line with a word, where n_links counts all other classes, earlier or later, that the line's class matches.
+
+    Words are compared by 64-bit hash and sets are classes by 128-bit hash.
     """
-    sets, matched = later_matches(docs, links)
+    sets = materialize(line_sets(docs), "line-sets", {"parquet.dictionary.page.size": str(16 << 20)})
+    classes = materialize(line_classes(sets, rarity(sets)), "line-classes")
+    found = class_links(classes, sets)
     added = ["n_lines", "n_removed", *(["line_links"] if links else [])]
-    order = F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))), "line_no", "text_hash")
-    first = sets.groupBy("set_id").agg(F.min(order).alias("first"))
-    if links:
-        ends = matched.select(F.explode(F.array(F.struct(F.col("x").alias("set_id"), F.lit(True).alias("later")), F.struct(F.col("y").alias("set_id"), F.lit(False).alias("later")))).alias("e"))
-        per_class = ends.groupBy("e.set_id").agg(F.count("*").alias("n_links"), F.max("e.later").alias("later"))
-        per_class = per_class.select("set_id", "n_links", F.when(F.col("later"), True).alias("again"))
-    else:
-        per_class = matched.select(F.col("x").alias("set_id"), F.lit(True).alias("again"))
-    first = first.join(per_class, "set_id", "left")
-    rows = sets.select("doc_id", "text_hash", "line_no", "set_id", order.alias("at")).join(first, "set_id")
-    gone = F.col("again").isNotNull() | (F.col("at") != F.col("first"))
-    one = F.struct("line_no", F.col("set_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")) if links else None
+    # from here on without word sets and prefixes
+    known = materialize(classes.select("no", "id", "more_id", F.col("at").alias("first")).join(found, "no", "left").drop("no"), "known")
+    lines = materialize(sets.drop("s"), "lines")
+    for done in (classes, found, sets):
+        discard(done)
+    at = F.struct(F.coalesce("doc_id", F.lit(NULL_DOC)).alias("doc"), F.col("line_no").alias("line"), "text_hash")
+    rows = lines.join(known, ["id", "more_id"])
+    gone = F.coalesce("later", F.lit(False)) | (at != F.col("first"))
+    one = F.struct("line_no", F.col("id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")) if links else None
     of_lines = [F.sort_array(F.collect_set(one)).alias("line_links")] if links else []
-    per_doc = rows.groupBy("doc_id", "text_hash").agg(F.count_distinct("line_no").alias("n_lines"), F.collect_set(F.when(gone, F.col("line_no"))).alias("removed"), *of_lines)
-    keyed = docs.drop(*added).withColumn("text_hash__", F.xxhash64("text")).alias("d")
-    out = keyed.join(per_doc.alias("p"), F.expr("d.doc_id <=> p.doc_id and d.text_hash__ = p.text_hash"), "left")
+    per_doc = rows.groupBy("doc_id", "text_hash").agg(F.size(F.collect_set("line_no")).cast("long").alias("n_lines"), F.collect_set(F.when(gone, F.col("line_no"))).alias("removed"), *of_lines)
+    per_doc = materialize(per_doc, "per-doc")
+    discard(known)
+    discard(lines)
+    # one row of the input, however its columns are called
+    keyed = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("d"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash")).alias("k")
+    out = keyed.join(per_doc.alias("p"), F.expr("k.doc_id <=> p.doc_id and k.text_hash = p.text_hash"), "left")
     parts = F.split("d.text", "\n")
     kept = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains(F.col("p.removed"), i)), "\n")
     text = F.when(F.size("p.removed") > 0, kept).otherwise(F.col("d.text"))
-    columns = [text.alias(c) if c == "text" else F.col(f"d.`{c}`") for c in docs.columns if c not in added]
+    columns = [text.alias(c) if c == "text" else F.col(f"d.`{c}`").alias(c) for c in docs.columns if c not in added]
     return out.select(*columns, F.coalesce("p.n_lines", F.lit(0)).alias("n_lines"), F.coalesce(F.size("p.removed"), F.lit(0)).cast("long").alias("n_removed"), *(["p.line_links"] if links else []))
