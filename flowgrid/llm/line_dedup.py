@@ -23,7 +23,7 @@ from flowgrid.llm.shared import discard, materialize, pick
 NUMERATOR, DENOMINATOR = 4, 5
 #: Buckets that word frequencies are counted in: the order of rarity needs no exact counts, only that it is the same
 #: everywhere. And the 64-bit words of the bit maps that spare shuffles.
-FREQUENCY_BUCKETS, MAP_WORDS = 1 << 18, 1 << 15
+FREQUENCY_BUCKETS, MAP_WORDS = 1 << 17, 1 << 14
 #: Classes from which a family is put in blocks, classes of a block at most, and in how many bits they may differ from its first.
 FAMILY, BLOCK, RADIUS = 8, 32, 24
 NULL_DOC = -(1 << 63)
@@ -66,7 +66,7 @@ def _bucket(h: Column) -> Column:
 def rarity(sets: DataFrame) -> list[int]:
     """For every bucket a number from 0 to 127 that grows with how many lines hold its words."""
     out = [0] * FREQUENCY_BUCKETS
-    for r in sets.select(F.explode("s").alias("h")).groupBy(_bucket(F.col("h")).alias("bucket")).count().collect():  # one row a bucket at most
+    for r in sets.select(F.explode("s").alias("h")).groupBy(_bucket(F.col("h")).alias("bucket")).count().toLocalIterator():  # one row a bucket at most
         out[r.bucket] = min(127, int(3 * math.log2(r["count"])))
     return out
 
@@ -78,8 +78,8 @@ def line_classes(sets: DataFrame, rank: list[int]) -> DataFrame:
     Sets of up to three words have no prefix: nothing but an equal set can be that similar to them.
     """
     # a word's place in the order: its bucket's rank above 56 bits of its hash
-    ranks = F.from_json(F.lit(str([r << 56 for r in rank])), "array<bigint>")
-    key = lambda h: F.get(ranks, _bucket(h)).bitwiseOR(h.bitwiseAND(F.lit((1 << 56) - 1)))
+    ranks = F.from_json(F.lit(str(rank)), "array<tinyint>")
+    key = lambda h: F.shiftleft(F.get(ranks, _bucket(h)).cast("long"), 56).bitwiseOR(h.bitwiseAND(F.lit((1 << 56) - 1)))
     ordered = F.sort_array(F.transform("s", key))
     size = f"case when size(s) <= 3 then 0 else size(s) - {_ratio('size(s)', NUMERATOR, DENOMINATOR)} + 1 end"
     parity = lambda half: F.expr(f"aggregate(s, 0L, (b, x) -> if(x & 64 = {64 * half}, b ^ shiftleft(1L, cast(x & 63 as int)), b))")
@@ -94,7 +94,7 @@ def _in_map(hashes: DataFrame, h: Column) -> Column:
     """Whether ``h`` may be among the hashes (column h): a map of 64 * MAP_WORDS bits lets them all pass, and few others."""
     rows = hashes.select(F.pmod(F.shiftright("h", 6), F.lit(MAP_WORDS)).cast("int").alias("at"), F.expr("shiftleft(1L, cast(h & 63 as int))").alias("bit"))
     out = [0] * MAP_WORDS
-    for r in rows.groupBy("at").agg(F.bit_or("bit").alias("bits")).collect():  # MAP_WORDS rows at most
+    for r in rows.groupBy("at").agg(F.bit_or("bit").alias("bits")).toLocalIterator():  # MAP_WORDS rows at most
         out[r["at"]] = r.bits
     bits = F.get(F.from_json(F.lit(str(out)), "array<bigint>"), F.pmod(F.shiftright(h, 6), F.lit(MAP_WORDS)).cast("int"))
     return bits.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))) != 0
