@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from flowgrid.functions.storage import materialize
 from flowgrid.operators.tiling import haversine_km
 
 
@@ -51,8 +54,9 @@ def assign_nodes(persons: DataFrame, members: DataFrame, seed: int = 11) -> Data
 
 
 def kept_lost(assigned: DataFrame) -> DataFrame:
+    """One row: persons with both nodes, persons without, and their share (null if there is no person)."""
     ok = F.col("origin_node").isNotNull() & F.col("destination_node").isNotNull()
-    return assigned.agg(F.count_if(ok).alias("kept"), F.count_if(~ok).alias("lost"), (F.count_if(~ok) / F.count("*")).alias("loss"))
+    return assigned.agg(F.count_if(ok).alias("kept"), F.count_if(~ok).alias("lost"), F.try_divide(F.count_if(~ok), F.count("*")).alias("loss"))
 
 
 def day_demand(hours: DataFrame, control: int, rate: int) -> DataFrame:
@@ -108,7 +112,24 @@ def uci_coverage(scenarios: DataFrame, width: float = 0.1, most: int = 4) -> Dat
     return b.withColumn("place", F.row_number().over(w.orderBy("scenario"))).withColumn("full", F.count("*").over(w) >= most).filter(F.col("place") <= most)
 
 
+def scenario_search(block: Callable[[int], DataFrame], blocks: int, width: float = 0.1, most: int = 4) -> DataFrame:
+    """``uci_coverage`` of the scenarios (scenario, uci) of one seed block after the other.
+
+    A block comes in as long as some bucket that was reached isn't full, ``blocks`` blocks at most. What has been kept
+    is stored after each one, so no block is made twice.
+    """
+    kept = None
+    for k in range(blocks):
+        new = block(k).select("scenario", "uci")
+        rows = new if kept is None else kept.select("scenario", "uci").unionByName(new)
+        kept = materialize(uci_coverage(rows, width, most), "kept")
+        if kept.filter("not full").isEmpty():
+            break
+    return kept
+
+
 def departures(persons: DataFrame) -> DataFrame:
+    """hour, n: persons by the hour they leave in; a null departure is an hour of its own."""
     return persons.groupBy(F.floor(F.col("departure") / F.lit(3600.0)).alias("hour")).agg(F.count("*").alias("n"))
 
 

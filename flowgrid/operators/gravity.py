@@ -15,12 +15,12 @@ def flow_features(tij: DataFrame, pairs: DataFrame, cells: DataFrame) -> DataFra
 
 
 def usable(features: DataFrame) -> DataFrame:
-    """Flows with people and both masses above 0, over some distance."""
-    return features.filter("w > 0 and mi > 0 and mj > 0 and d > 0")
+    """Flows with people and both masses above 0; those inside a cell (no distance) count."""
+    return features.filter("w > 0 and mi > 0 and mj > 0")
 
 
 def usable_share(features: DataFrame) -> DataFrame:
-    ok = F.expr("w > 0 and mi > 0 and mj > 0 and d > 0")
+    ok = F.expr("w > 0 and mi > 0 and mj > 0")
     return features.agg(F.count_if(ok).alias("kept"), F.count("*").alias("flows"), (F.count_if(ok) / F.count("*")).alias("share"))
 
 

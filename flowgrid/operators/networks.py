@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 from flowgrid.functions.storage import discard, materialize
 from flowgrid.operators.components import components
 
-ROUNDS = 200
-
 
 def grouped_components(edges: DataFrame, by: list[str], u: str = "u", v: str = "v") -> DataFrame:
     """by columns, node, component: connected components of every group's undirected graph, all groups in one job."""
@@ -37,52 +35,51 @@ def percolation_sweep(classes: DataFrame, thresholds: list[float], k: int) -> Da
 
 
 def is_connected(edges: DataFrame) -> DataFrame:
+    """One row: the number of components and whether it is one; no edge: 0 and false."""
     return components(edges).agg(F.count_distinct("component").alias("components"), (F.count_distinct("component") == 1).alias("connected"))
 
 
-def _reach(edges: DataFrame, seeds: DataFrame) -> DataFrame:
-    """color, node: everything that each seed (color = node) reaches along the edges' direction."""
-    have = materialize(seeds.select("color", "node"), "reach")
-    front = have
-    for _ in range(ROUNDS):
-        step = front.join(edges.select(F.col("u").alias("node"), F.col("v").alias("to")), "node").select("color", F.col("to").alias("node")).distinct()
-        new = materialize(step.join(have, ["color", "node"], "left_anti"), "front")
-        if new.isEmpty():
-            return have
-        have, front = materialize(have.unionByName(new), "reach"), new
-    raise RuntimeError(f"reach: no end after {ROUNDS} rounds")
+def _least_reaching(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node, least: the least node that reaches each node along the edges (u, v), itself included.
+
+    Every round a node takes the least of its predecessors' and of its own least one's, so that what is known reaches
+    twice as far each time; rounds go on until nothing changes.
+    """
+    now = materialize(nodes.select("node", F.col("node").alias("least")), "least")
+    while True:
+        pulled = edges.join(now.select(F.col("node").alias("u"), "least"), "u").select(F.col("v").alias("node"), "least")
+        jumped = now.join(now.select(F.col("node").alias("least"), F.col("least").alias("next")), "least").select("node", F.col("next").alias("least"))
+        rows = now.withColumn("old", F.col("least")).unionByName(pulled.unionByName(jumped).withColumn("old", F.lit(None).cast(now.schema["least"].dataType)))
+        new = materialize(rows.groupBy("node").agg(F.min("least").alias("least"), F.max("old").alias("old")), "least")
+        settled = new.filter("least <> old").isEmpty()
+        discard(now)
+        now = new.select("node", "least")
+        now._stored_at = new._stored_at
+        if settled:
+            return now
 
 
 def strong_components(edges: DataFrame) -> DataFrame:
     """node, component (its least node): nodes that reach each other along directed edges.
 
-    In each round every node takes the least node that reaches it as its color; what a color's root can be reached
-    from inside its color is one component, and leaves the graph.
+    Nodes of a component have the same least node that reaches them and the same least node that they reach. Where both
+    are one node its component is complete; the others go on with only the edges inside a group of equal pairs.
     """
-    nodes = edges.select(F.col("u").alias("node")).union(edges.select("v")).distinct()
-    left, done = materialize(edges.select("u", "v").filter("u <> v").distinct(), "scc-edges"), None
-    everything = materialize(nodes, "scc-nodes")
-    open_ = everything
-    for _ in range(ROUNDS):
-        color = materialize(open_.select("node", F.col("node").alias("color")), "color")
-        for _ in range(ROUNDS):
-            pulled = left.join(color.select(F.col("node").alias("u"), "color"), "u").select(F.col("v").alias("node"), "color")
-            new = materialize(color.unionByName(pulled.select("node", "color")).groupBy("node").agg(F.min("color").alias("color")), "color")
-            changed = new.join(color.withColumnRenamed("color", "old"), "node").filter("color <> old").isEmpty()
-            discard(color)
-            color = new
-            if changed:
-                break
-        ends = left.join(color.select(F.col("node").alias("u"), F.col("color").alias("cu")), "u").join(color.select(F.col("node").alias("v"), F.col("color").alias("cv")), "v").filter("cu = cv")
-        back = _reach(materialize(ends.select(F.col("v").alias("u"), F.col("u").alias("v")), "back"), color.filter("node = color"))
-        same = back.join(color.select("node", F.col("color").alias("own")), "node").filter("color = own").select("node", F.col("color").alias("component"))
-        same = materialize(same, "scc")
-        done = same if done is None else done.unionByName(same)
-        open_ = materialize(open_.join(same, "node", "left_anti"), "scc-nodes")
-        if open_.isEmpty():
-            return done
-        left = materialize(left.join(open_.select(F.col("node").alias("u")), "u", "left_semi").join(open_.select(F.col("node").alias("v")), "v", "left_semi"), "scc-edges")
-    raise RuntimeError(f"strong components: no end after {ROUNDS} rounds")
+    ends = edges.select(F.col("u").alias("node")).union(edges.select("v")).filter("node is not null").distinct()
+    left, open_, done = materialize(edges.select("u", "v").filter("u <> v").distinct(), "scc-edges"), materialize(ends, "scc-nodes"), None
+    while not open_.isEmpty():
+        to, back = _least_reaching(left, open_), _least_reaching(left.select(F.col("v").alias("u"), F.col("u").alias("v")), open_)
+        pairs = materialize(to.join(back.withColumnRenamed("least", "reached"), "node"), "scc-pairs")
+        found = materialize(pairs.filter("least = reached").select("node", F.col("least").alias("component")), "scc")
+        done = found if done is None else done.unionByName(found)
+        rest = pairs.filter("least <> reached")
+        side = lambda k: rest.select(F.col("node").alias(k), F.struct("least", "reached").alias(f"group_{k}"))  # noqa: B023, E731
+        old = (left, open_, to, back)
+        left = materialize(left.join(side("u"), "u").join(side("v"), "v").filter("group_u = group_v").select("u", "v"), "scc-edges")
+        open_ = materialize(rest.select("node"), "scc-nodes")
+        for x in (*old, pairs):
+            discard(x)
+    return done if done is not None else open_.withColumn("component", F.col("node"))
 
 
 def largest_scc(edges: DataFrame) -> DataFrame:
@@ -99,6 +96,7 @@ def degree_distribution(edges: DataFrame) -> DataFrame:
 
 
 def neighbour_lists(edges: DataFrame) -> DataFrame:
+    """u and its distinct successors in ascending order; null ones are left out."""
     return edges.groupBy("u").agg(F.array_sort(F.collect_set("v")).alias("neighbours"))
 
 

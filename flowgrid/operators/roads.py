@@ -7,9 +7,35 @@ from pyspark.sql import functions as F
 
 from flowgrid.operators.trajectory import KM_PER_MILE_ROADS
 
-# Lanes, km/h and vehicles per lane and hour by road class.
-DEFAULTS = [("motorway", 3, 110, 2000), ("trunk", 2, 90, 1800), ("primary", 2, 70, 1600), ("secondary", 1, 50, 1400), ("tertiary", 1, 50, 1200), ("unclassified", 1, 40, 800), ("residential", 1, 30, 600)]
-MINOR = ("residential", "unclassified", "service", "living_street")
+# Road classes that are kept, in the order of importance.
+TYPES = ("motorway", "motorway_link", "trunk", "trunk_link", "primary", "primary_link", "secondary", "secondary_link", "tertiary", "tertiary_link", "unclassified", "road")
+
+# Lanes of a class where none are known.
+LANES = {
+    "motorway": 4, "motorway_link": 1, "trunk": 3, "trunk_link": 1, "primary": 3, "primary_link": 1,
+    "secondary": 3, "secondary_link": 1, "tertiary": 2, "tertiary_link": 1, "unclassified": 2, "road": 1,
+}
+
+# Miles an hour of a class with 1, 2, 3 and 4 lanes, and with an unknown number.
+SPEEDS = {
+    "motorway": (50, 50, 65, 65, 57.5), "motorway_link": (50, 50, 65, 65, 57.5), "trunk": (45, 45, 45, 45, 45), "trunk_link": (45, 45, 45, 45, 45),
+    "primary": (30, 30, 30, 30, 30), "primary_link": (30, 30, 30, 30, 30), "secondary": (25, 25, 25, 25, 25), "secondary_link": (25, 25, 25, 25, 25),
+    "tertiary": (20, 20, 20, 20, 20), "tertiary_link": (20, 20, 20, 20, 20), "unclassified": (20, 20, 20, 20, 20), "road": (30, 30, 30, 30, 30),
+}
+
+# Vehicles an hour on each lane of a class with 1, 2, 3 and 4 lanes, and with an unknown number.
+CAPACITIES = {
+    "motorway": (1900, 2000, 2000, 2200, 2025), "motorway_link": (1900, 2000, 2000, 2200, 2025), "trunk": (1900, 2000, 2000, 2000, 1975), "trunk_link": (1900, 2000, 2000, 2000, 1975),
+    "primary": (1000, 1000, 1000, 1000, 1000), "primary_link": (1000, 1000, 1000, 1000, 1000), "secondary": (900, 900, 900, 900, 900), "secondary_link": (900, 900, 900, 900, 900),
+    "tertiary": (900, 900, 900, 900, 900), "tertiary_link": (900, 900, 900, 900, 900), "unclassified": (800, 800, 800, 800, 800), "road": (900, 900, 900, 900, 900),
+}
+
+# Vehicles an hour on each lane by class; classes that aren't here carry none.
+US_CAPACITIES = {
+    "motorway": 2000, "motorway_link": 1800, "trunk": 1800, "trunk_link": 1600, "primary": 1600, "primary_link": 1400, "secondary": 1400, "secondary_link": 1200,
+    "tertiary": 1200, "tertiary_link": 1000, "unclassified": 800, "residential": 600, "living_street": 300, "service": 400, "track": 200, "road": 1000,
+    "bus_guideway": 1000, "byway": 200, "busway": 1000,
+}
 
 
 def items(text: Column) -> Column:
@@ -58,12 +84,17 @@ def parse_lanes_first(text: Column) -> Column:
 
 def collapse_highway(text: Column) -> Column:
     """Of several classes the first that has defaults, else the first."""
-    known = F.filter(items(text), lambda x: x.isin(*[d[0] for d in DEFAULTS]))
+    known = F.filter(items(text), lambda x: x.isin(*TYPES))
     return F.coalesce(F.get(known, F.lit(0)), F.get(items(text), F.lit(0)))
 
 
-def _lookup(spark, column: int, name: str, kind: str) -> DataFrame:
-    return F.broadcast(spark.createDataFrame([(d[0], float(d[column])) for d in DEFAULTS], f"highway string, {name} double").withColumn(name, F.col(name).cast(kind)))  # a table of fixed size
+def _lookup(spark, values: dict[str, float | tuple], name: str) -> DataFrame:
+    """highway and the value, or with lanes from 1 to 4 (-1: unknown) as a further key; a table of fixed size."""
+    if isinstance(next(iter(values.values())), tuple):
+        rows, keys = [(k, n, float(x)) for k, v in values.items() for n, x in zip((1, 2, 3, 4, -1), v)], "highway string, of_lanes long"
+    else:
+        rows, keys = [(k, float(v)) for k, v in values.items()], "highway string"
+    return F.broadcast(spark.createDataFrame(rows, f"{keys}, {name} double"))
 
 
 def impute_lanes(roads: DataFrame, source: str = "constant") -> DataFrame:
@@ -71,7 +102,7 @@ def impute_lanes(roads: DataFrame, source: str = "constant") -> DataFrame:
     if source == "median":
         fill = roads.groupBy("highway").agg(F.percentile("lanes", 0.5).alias("fill"))
     else:
-        fill = _lookup(roads.sparkSession, 1, "fill", "double")
+        fill = _lookup(roads.sparkSession, LANES, "fill")
     return roads.join(fill, "highway", "left").withColumn("lanes", F.coalesce("lanes", F.col("fill").cast("bigint"), F.lit(1))).drop("fill")
 
 
@@ -81,25 +112,36 @@ def allocate_lanes(roads: DataFrame, most: int = 4) -> DataFrame:
     return roads.withColumn("lanes", F.greatest(half, F.lit(1))).withColumn("lanes_capped", F.least("lanes", F.lit(most)))
 
 
+def _by_lanes(roads: DataFrame, values: dict[str, tuple], name: str) -> DataFrame:
+    known = F.when(F.col("lanes_capped").between(1, 4), F.col("lanes_capped")).otherwise(F.lit(-1)).cast("long")
+    return roads.withColumn("of_lanes", known).join(_lookup(roads.sparkSession, values, name), ["highway", "of_lanes"], "left").drop("of_lanes")
+
+
 def infer_speed(roads: DataFrame) -> DataFrame:
-    """Adds speed_kmh: the known limit, else the class's."""
-    return roads.join(_lookup(roads.sparkSession, 2, "fill", "double"), "highway", "left").withColumn("speed_kmh", F.coalesce("maxspeed", "fill")).drop("fill")
+    """Adds speed_mph: the known limit (maxspeed), else that of the class with lanes_capped lanes; null for classes without one."""
+    return _by_lanes(roads, SPEEDS, "fill").withColumn("speed_mph", F.coalesce("maxspeed", "fill")).drop("fill")
+
+
+def infer_capacity(roads: DataFrame) -> DataFrame:
+    """Adds capacity: what each lane of the class with lanes_capped lanes carries, times lanes; null for classes without one."""
+    return _by_lanes(roads, CAPACITIES, "per_lane").withColumn("capacity", F.col("per_lane") * F.col("lanes")).drop("per_lane")
 
 
-def infer_capacity(roads: DataFrame, unknown: float | None = None) -> DataFrame:
-    """Adds capacity: vehicles per lane and hour of the class times lanes; ``unknown`` classes get that many (None: null)."""
-    out = roads.join(_lookup(roads.sparkSession, 3, "per_lane", "double"), "highway", "left")
-    return out.withColumn("capacity", F.coalesce("per_lane", F.lit(unknown).cast("double")) * F.col("lanes")).drop("per_lane")
+def capacity_us(roads: DataFrame) -> DataFrame:
+    """Adds capacity: what each lane of the class carries, times lanes; 0 for classes that the table doesn't know."""
+    out = roads.join(_lookup(roads.sparkSession, US_CAPACITIES, "per_lane"), "highway", "left")
+    return out.withColumn("capacity", F.coalesce("per_lane", F.lit(0.0)) * F.col("lanes")).drop("per_lane")
 
 
 def clean_edges(raw: DataFrame) -> DataFrame:
     """uniqueid, u, v, highway, lanes, speed_kmh, capacity of raw roads."""
     rows = raw.select("uniqueid", "u", "v", collapse_highway(F.col("highway")).alias("highway"), parse_lanes_first(F.col("lanes")).alias("lanes"), speed_limit_kmh(F.col("maxspeed")).alias("speed_kmh"))
-    return infer_capacity(rows, 0.0)
+    return capacity_us(rows)
 
 
-def major_roads(edges: DataFrame, minor: tuple[str, ...] = MINOR) -> DataFrame:
-    return edges.filter(~F.col("highway").isin(*minor))
+def major_roads(edges: DataFrame, types: tuple[str, ...] = TYPES) -> DataFrame:
+    """Only roads of the given classes; a null class goes."""
+    return edges.filter(F.col("highway").isin(*types))
 
 
 def nodes_of(nodes: DataFrame, edges: DataFrame, key: str = "index") -> DataFrame:
@@ -146,3 +188,17 @@ def bbox(df: DataFrame, x: str, y: str, box: tuple[float, float, float, float])
 def restrict_pairs(pairs: DataFrame, cells: DataFrame, i: str = "i", j: str = "j", key: str = "idx") -> DataFrame:
     """Pairs with both ends among the cells."""
     return pairs.join(cells.select(F.col(key).alias(i)), i, "left_semi").join(cells.select(F.col(key).alias(j)), j, "left_semi")
+
+
+def subsample(tij: DataFrame, cells: list[int] | None = None) -> DataFrame:
+    """kind, cell and all columns of the flows out of a cell (kind origin), into it (destination) and of both (cell), for each cell or the listed ones.
+
+    A flow from a cell to itself is one row of each kind. Flows with a null end belong to their other end only.
+    """
+    kinds = F.array(
+        F.struct(F.lit("origin").alias("kind"), F.col("origin").alias("cell")), F.struct(F.lit("destination").alias("kind"), F.col("destination").alias("cell")),
+        F.struct(F.lit("cell").alias("kind"), F.col("origin").alias("cell")),
+        F.struct(F.lit("cell").alias("kind"), F.when(~F.col("origin").eqNullSafe(F.col("destination")), F.col("destination")).alias("cell")),
+    )
+    rows = tij.select(F.explode(kinds).alias("of"), *tij.columns).select("of.kind", "of.cell", *tij.columns).filter("cell is not null")
+    return rows if cells is None else rows.filter(F.col("cell").isin(*cells))

@@ -140,6 +140,31 @@ def point_in_polygon(points: DataFrame, polygons: DataFrame, tile: float, x: str
     return at.join(listed, ["tx", "ty"]).filter(crosses).drop("tx", "ty", "ring")
 
 
+def metric_grid(polygons: DataFrame, size: float) -> DataFrame:
+    """component, i, j, x, y, inside: squares of ``size`` metres over the polygons' common bounds, once for each component.
+
+    ``polygons``: component (0, 1, ...) and ring in metres. x and y are a square's lower corner; inside: one polygon holds
+    all four corners. The numbers i and j of a component start at the squares before it times its own number. An empty
+    table gives no square; polygons without a ring are left out.
+    """
+    xs, ys = F.transform("ring", lambda p: p["x"]), F.transform("ring", lambda p: p["y"])
+    shapes = polygons.filter(F.size("ring") > 0)
+    ext = shapes.agg(F.min(F.array_min(xs)).alias("x0"), F.min(F.array_min(ys)).alias("y0"), F.max(F.array_max(xs)).alias("x1"), F.max(F.array_max(ys)).alias("y1"))
+    steps = lambda a, b: F.ceil((F.col(b) - F.col(a)) / F.lit(size))
+    ext = ext.filter("x0 is not null").withColumns({"nx": steps("x0", "x1"), "ny": steps("y0", "y1")})
+    squares = ext.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nx") - 1))).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("ny") - 1)))
+    squares = squares.withColumns({"x": F.col("x0") + F.col("i") * size, "y": F.col("y0") + F.col("j") * size})
+    # a hair inwards, so that a square that ends on the outline counts
+    e = size * 1e-9
+    corner = F.explode(F.array(*[F.struct((F.col("x") + a).alias("px"), (F.col("y") + b).alias("py")) for a in (e, size - e) for b in (e, size - e)])).alias("c")
+    corners = squares.select("i", "j", corner).select("i", "j", "c.px", "c.py")
+    held = point_in_polygon(corners, shapes.select(F.col("component").alias("polygon"), "ring"), 10 * size, "px", "py")
+    inside = held.groupBy("i", "j", "polygon").count().filter("count = 4").select("i", "j", F.lit(True).alias("holds")).distinct()
+    rows = squares.join(inside, ["i", "j"], "left").crossJoin(F.broadcast(shapes.select("component").distinct()))  # a city's components
+    shift = F.col("nx") * F.col("ny") * F.col("component") * F.col("component")
+    return rows.select("component", (F.col("i") + shift).alias("i"), (F.col("j") + shift).alias("j"), "x", "y", F.coalesce("holds", F.lit(False)).alias("inside"))
+
+
 def zonal_sum(pixels: DataFrame, box, size: float) -> DataFrame:
     """cell, value: sum of the pixels (x, y, value) inside each cell, negative ones as 0."""
     return locate(pixels, box, size).filter("cell is not null").groupBy("cell").agg(F.sum(F.greatest("value", F.lit(0))).alias("value"))

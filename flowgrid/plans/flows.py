@@ -20,7 +20,7 @@ def features(spark, d):
 
 
 FEATURES = "SELECT origin, destination, number_people::double AS w, a.population::double AS mi, b.population::double AS mj, distance AS d FROM tij JOIN pairs ON origin = i AND destination = j JOIN cells a ON a.idx = origin JOIN cells b ON b.idx = destination"
-USABLE = f"SELECT * FROM ({FEATURES}) WHERE w > 0 AND mi > 0 AND mj > 0 AND d > 0"
+USABLE = f"SELECT * FROM ({FEATURES}) WHERE w > 0 AND mi > 0 AND mj > 0"
 
 
 @query("j05_flow_features", f"SELECT origin, destination, w, mi, mj, round(d, 6) AS d FROM ({FEATURES})")

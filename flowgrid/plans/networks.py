@@ -69,10 +69,13 @@ def classes(spark, d):
 
 
 def moderate(spark, d):
-    return classes(spark, d).filter("moderate and k in (30, 34, 36)").select("k", "u", "v")
+    return classes(spark, d).filter("moderate").select("k", "u", "v")
 
 
-CLOSED = f"lk AS (SELECT DISTINCT k, u, v FROM ({CLASSED}) WHERE ratio < 0.5 AND k IN (30, 34, 36)), bw AS (SELECT k, u, v FROM lk UNION SELECT k, v, u FROM lk), rec AS (SELECT k, u AS root, u AS node FROM bw UNION SELECT r.k, r.root, w.v FROM rec r JOIN bw w ON w.k = r.k AND w.u = r.node), comp AS (SELECT k, node, min(root) AS component FROM rec GROUP BY k, node)"
+# links of each slice, both ways, and the least node of each component by steps that only keep each node's least one
+LINKED = """bw AS (SELECT k, u, v FROM lk UNION SELECT k, v, u FROM lk), comp(k, node, component) USING KEY (k, node) AS (SELECT k, u, min(least(u, v)) FROM bw GROUP BY k, u
+    UNION SELECT c.k, c.node, min(n.component) FROM comp n JOIN bw ON bw.k = n.k AND bw.u = n.node JOIN recurring.comp c ON c.k = bw.k AND c.node = bw.v WHERE n.component < c.component GROUP BY c.k, c.node)"""
+CLOSED = f"lk AS (SELECT DISTINCT k, u, v FROM ({CLASSED}) WHERE ratio < 0.5), {LINKED}"
 
 
 @query("c02_components", f"WITH RECURSIVE {CLOSED} SELECT k, node, component FROM comp")
@@ -84,14 +87,12 @@ GIANTS = f"nd AS (SELECT k, component, count(*) AS nodes FROM comp GROUP BY ALL)
 for _n in ("c03_giant_sizes", "t06_two_largest"):
     query(_n, f"WITH RECURSIVE {CLOSED}, {GIANTS} SELECT k, rank, component, nodes, links FROM ranked WHERE rank <= 2")(lambda spark, d: networks.giant_sizes(moderate(spark, d), ["k"]))
 
-SWEPT = CLOSED.replace(f"SELECT DISTINCT k, u, v FROM ({CLASSED}) WHERE ratio < 0.5 AND k IN (30, 34, 36)", f"SELECT DISTINCT q AS k, u, v FROM ({CLASSED}) c CROSS JOIN (SELECT unnest([0.2, 0.3, 0.4, 0.45])::DOUBLE AS q) z WHERE ratio < q AND c.k = 34")
+SWEPT = f"lk AS (SELECT DISTINCT q AS k, u, v FROM ({CLASSED}) c CROSS JOIN (SELECT unnest(range(1, 21)) / 20.0::DOUBLE AS q) z WHERE ratio < q AND c.k = 34), {LINKED}"
 
 
 @query("c04_percolation_sweep", f"WITH RECURSIVE {SWEPT}, {GIANTS} SELECT k AS q, rank, component, nodes, links FROM ranked WHERE rank <= 2")
 def c04(spark, d):
-    return networks.percolation_sweep(classes(spark, d), [0.2, 0.3, 0.4, 0.45], 34)
-
-
+    return networks.percolation_sweep(classes(spark, d), [k / 20 for k in range(1, 21)], 34)
 
 
 @query("c05_largest_scc", "WITH RECURSIVE dir AS (SELECT DISTINCT u, v FROM edges WHERE u <> v), rec AS (SELECT u AS root, u AS node FROM (SELECT u FROM dir UNION SELECT v FROM dir) x UNION SELECT rec.root, dir.v FROM rec JOIN dir ON dir.u = rec.node), comp AS (SELECT a.root AS node, min(a.node) AS component FROM rec a JOIN rec b ON b.root = a.node AND b.node = a.root GROUP BY a.root), best AS (SELECT component FROM comp GROUP BY component ORDER BY count(*) DESC, component LIMIT 1) SELECT node, component FROM comp JOIN best USING (component)")

@@ -125,11 +125,20 @@ def g13(spark, d):
     return tiling.refine(view(spark, d, "nodes"), BOX, [0.02, 0.01])
 
 
-@query("g14_metric_grid")
+METRES = "6e4::double * (1.85533::double - 0.006222::double * sin(radians(42.19::double)))"
+G14_SQL = f"""WITH part AS (SELECT idx // 6 AS component, {METRES} * cos(radians(42.19::double)) * (minx + 71.21::double) AS x0, {METRES} * cos(radians(42.19::double)) * (maxx + 71.21::double) AS x1,
+    {METRES} * (miny - 42.19::double) AS y0, {METRES} * (maxy - 42.19::double) AS y1 FROM boxes WHERE idx % 6 = 1),
+    ext AS (SELECT min(x0) AS x, min(y0) AS y, cast(ceil((max(x1) - min(x0)) / 500) AS BIGINT) AS nx, cast(ceil((max(y1) - min(y0)) / 500) AS BIGINT) AS ny FROM part),
+    sq AS (SELECT component, i, j, x + i * 500 AS x, y + j * 500 AS y, nx * ny * component * component AS shift FROM part, ext, (SELECT unnest(range(100)) AS i) a, (SELECT unnest(range(100)) AS j) b WHERE i < nx AND j < ny)
+    SELECT component, i + shift AS i, j + shift AS j, EXISTS (SELECT 1 FROM part p WHERE sq.x >= p.x0 AND sq.x + 500 <= p.x1 AND sq.y >= p.y0 AND sq.y + 500 <= p.y1) AS inside FROM sq"""
+
+
+@query("g14_metric_grid", G14_SQL)
 def g14(spark, d):
-    x, y = tiling.tangent_xy(F.col("y"), F.col("x"), F.lit(42.19), F.lit(-71.21))
-    metres = view(spark, d, "nodes").select("index", x.alias("x"), y.alias("y"))
-    return tiling.locate(metres, (0.0, 0.0, 9000.0, 12000.0), 1500.0)
+    metre = lambda x, y: F.struct(*[c.alias(k) for k, c in zip("xy", tiling.tangent_xy(F.col(y), F.col(x), F.lit(42.19), F.lit(-71.21)))])
+    ring = F.array(metre("minx", "miny"), metre("maxx", "miny"), metre("maxx", "maxy"), metre("minx", "maxy"))
+    shapes = view(spark, d, "boxes").filter("idx % 6 = 1").select(F.expr("idx div 6").alias("component"), ring.alias("ring"))
+    return tiling.metric_grid(shapes, 500.0).select("component", "i", "j", "inside")
 
 
 @query("g15_zonal_sum", f"SELECT cell, cast(sum(greatest(index % 11 - 3, 0)) AS BIGINT) AS value FROM ({LOCATED}) WHERE cell IS NOT NULL GROUP BY cell")
@@ -145,15 +154,13 @@ def j12(spark, d):
     return tiling.area_overlap(s, b, SIZE).select("idx", F.round("population", 4).alias("population"))
 
 
-@query("j11_point_in_polygon", "SELECT index, idx AS polygon FROM nodes JOIN boxes ON x - minx + y - miny < 0.02 - 1e-9 AND x > minx AND y > miny")
+@query("j11_point_in_polygon", "SELECT index, idx AS polygon FROM (SELECT index, x + 0.00003::double AS px, y + 0.00005::double AS py FROM nodes) n JOIN boxes ON px - minx + py - miny < 0.02 AND px > minx AND py > miny")
 def j11(spark, d):
-    b = view(spark, d, "boxes")
     corner = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
-    triangles = b.select(F.col("idx").alias("polygon"), F.array(corner("minx", "miny"), corner("maxx", "miny"), corner("minx", "maxy")).alias("ring"))
-    n = view(spark, d, "nodes")
-    inside = tiling.point_in_polygon(n, triangles, SIZE).join(b.select(F.col("idx").alias("polygon"), "minx", "miny"), "polygon")
-    # points on an edge are no one's
-    return inside.filter("x - minx + y - miny < 0.02 - 1e-9 and x > minx and y > miny").select("index", "polygon")
+    triangles = view(spark, d, "boxes").select(F.col("idx").alias("polygon"), F.array(corner("minx", "miny"), corner("maxx", "miny"), corner("minx", "maxy")).alias("ring"))
+    # moved off the triangles' edges
+    n = view(spark, d, "nodes").select("index", (F.col("x") + 0.00003).alias("x"), (F.col("y") + 0.00005).alias("y"))
+    return tiling.point_in_polygon(n, triangles, SIZE).select("index", "polygon")
 
 
 @query("m10_polar", "SELECT idx, round(sqrt(pow(cx + 71.161::double, 2) + pow(cy - 42.241::double, 2)), 9) AS r, round(atan((cy - 42.241::double) / (cx + 71.161::double)), 6) AS theta FROM cells")
@@ -223,11 +230,11 @@ def s07(spark, d):
     return rounded(files.stored_and_read(p, files.write_cell_pairs, files.read_cell_pairs))
 
 
-@query("s08_read_cells")
+@query("s08_read_cells", "SELECT idx, population, round(minx, 6) AS minx, round(miny, 6) AS miny, round(maxx, 6) AS maxx, round(maxy, 6) AS maxy FROM boxes")
 def s08(spark, d):
     from flowgrid.sources import files
 
-    return files.stored_and_read(view(spark, d, "boxes"), files.write_cells, files.read_cells)
+    return rounded(files.stored_and_read(view(spark, d, "boxes"), files.write_cells, files.read_cells))
 
 
 @query("m03_parse_vector", "SELECT i, j, round(dx, 6) AS x, round(dy, 6) AS y FROM pairs")

@@ -147,9 +147,9 @@ def a17(spark, d):
     return slices.gamma(trajectory.control_group(traj(spark, d))).select(F.round("gamma", 12).alias("gamma"))
 
 
-@query("a18_mfd_road_time", f"SELECT e.uniqueid AS route, t.k, round(coalesce(s.speed_kmh, e.speed_mph * 1.6::double), 6) AS speed_kmh, coalesce(s.flux, 0) AS people FROM edges e CROSS JOIN (SELECT unnest(range(24, 56)) AS k) t LEFT JOIN ({SLICES}) s ON s.route = e.uniqueid AND s.k = t.k")
+@query("a18_mfd_road_time", f"SELECT e.uniqueid AS route, t.k, round(coalesce(s.speed_kmh, e.speed_mph * 1.6::double), 6) AS speed_kmh, coalesce(s.flux, 0) AS people FROM edges e CROSS JOIN (SELECT unnest(range(96)) AS k) t LEFT JOIN ({SLICES}) s ON s.route = e.uniqueid AND s.k = t.k")
 def a18(spark, d):
-    return rounded(slices.road_time_table(view(spark, d, "edges"), slices.edge_slices(traj(spark, d)), spark.range(24, 56).withColumnRenamed("id", "k")))
+    return rounded(slices.road_time_table(view(spark, d, "edges"), slices.edge_slices(traj(spark, d)), spark.range(96).withColumnRenamed("id", "k")))
 
 
 @query("a19_mfd", f"SELECT k, cast(sum(flux) AS BIGINT) AS people, round(sum(speed_kmh * flux), 4) AS flow FROM ({SLICES}) GROUP BY k")

@@ -21,9 +21,10 @@ def _case(column: int) -> str:
 
 
 VIEWS = {
-    "edges": f"""SELECT p_partkey AS uniqueid, (37 * p_partkey + 11) % 1000 AS u, (101 * p_partkey + 17 * p_size + 53) % 1000 AS v,
+    "node_count": "SELECT count(*) AS n_nodes FROM part",
+    "edges": f"""SELECT p_partkey AS uniqueid, (37 * p_partkey + 11) % n_nodes AS u, (101 * p_partkey + 17 * p_size + 53) % n_nodes AS v,
         cast(1000 + 200 * p_size AS double) AS length, cast(1 + p_size % 4 AS bigint) AS lanes, {_case(1)} AS highway,
-        cast({_case(2)} AS bigint) AS speed_mph, cast({_case(3)} * (1 + p_size % 4) AS bigint) AS capacity FROM part""",
+        cast({_case(2)} AS bigint) AS speed_mph, cast({_case(3)} * (1 + p_size % 4) AS bigint) AS capacity FROM part CROSS JOIN node_count""",
     "routes": """SELECT l_orderkey AS p, l_partkey AS route, cast(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1 AS bigint) AS pos FROM lineitem""",
     "people": """SELECT o_orderkey AS p, o_custkey, cast(21600 + (7919 * o_orderkey) % 10800 AS bigint) AS time_departure, coalesce(d, cast(0 AS double)) AS distance,
         cast(floor(coalesce(d, cast(0 AS double)) / (3 + o_custkey % 12)) AS bigint) AS num_steps,
@@ -40,11 +41,12 @@ VIEWS = {
         FROM nation LEFT JOIN (SELECT c_nationkey, sum(cast(1 + floor(abs(c_acctbal) / 100) AS bigint)) AS population FROM customer GROUP BY c_nationkey) AS q ON c_nationkey = n_nationkey""",
     "tij": """SELECT cast(c_nationkey AS bigint) AS origin, cast(s_nationkey AS bigint) AS destination, count(*) AS number_people
         FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY c_nationkey, s_nationkey""",
-    "ids": "SELECT p_partkey - 1 AS k FROM part WHERE p_partkey <= 1000",
-    "nodes": "SELECT cast(k AS bigint) AS index, cast(1000000 + 17 * k AS bigint) AS osmid, cast(-71.21 AS double) + cast(0.0001 AS double) * k AS x, cast(42.19 AS double) + cast(0.0001 AS double) * ((k * 7) % 1000) AS y FROM ids",
-    "raw_roads": f"""SELECT p_partkey AS uniqueid, (37 * p_partkey + 11) % 1000 AS u, (101 * p_partkey + 17 * p_size + 53) % 1000 AS v, {_case(1)} AS highway, p_size % 2 = 0 AS oneway,
+    "nodes": """SELECT cast(p_partkey AS bigint) AS index, cast(1000000 + 17 * p_partkey AS bigint) AS osmid, cast(-71.21 AS double) + cast(0.0001 AS double) * (p_partkey % 1000) AS x,
+        cast(42.19 AS double) + cast(0.0001 AS double) * ((p_partkey * 7 + cast(floor(p_partkey / 1000) AS bigint)) % 1000) AS y FROM part""",
+    "raw_roads": f"""SELECT p_partkey AS uniqueid, (37 * p_partkey + 11) % n_nodes AS u, (101 * p_partkey + 17 * p_size + 53) % n_nodes AS v, CASE WHEN p_partkey % 11 = 3 THEN 'road' WHEN p_partkey % 11 = 7 THEN 'service' WHEN p_partkey % 11 = 8 THEN 'living_street'
+        WHEN p_partkey % 11 = 5 AND p_type <> 'SMALL' THEN concat({_case(1)}, '_link') ELSE {_case(1)} END AS highway, p_size % 2 = 0 AS oneway,
         CASE p_partkey % 6 WHEN 0 THEN '35 mph' WHEN 1 THEN '40' WHEN 2 THEN '["30 mph", "40 mph"]' WHEN 3 THEN '35;45' WHEN 4 THEN 'signals' END AS maxspeed,
-        CASE p_partkey % 5 WHEN 0 THEN '2' WHEN 1 THEN '["2", "3"]' WHEN 2 THEN '3-4' WHEN 3 THEN '2;3' END AS lanes FROM part""",
+        CASE p_partkey % 5 WHEN 0 THEN '2' WHEN 1 THEN '["2", "3"]' WHEN 2 THEN '3-4' WHEN 3 THEN '2;3' END AS lanes FROM part CROSS JOIN node_count""",
     "boxes": "SELECT idx, cx - cast(0.01 AS double) AS minx, cy - cast(0.01 AS double) AS miny, cx + cast(0.01 AS double) AS maxx, cy + cast(0.01 AS double) AS maxy, population FROM cells",
 }
 #: The oracles' own statements of results that many of them start from.

@@ -12,6 +12,7 @@ from flowgrid.functions.storage import fresh_path
 TRIPS = "p long, o_custkey long, time_departure long, distance double, num_steps long, last_time_simulated long"
 ROUTES = "p long, distance double, route string"
 EDGES = "uniqueid long, u long, v long, length double, speed_mph long, lanes long"
+NODES = "index long, osmid long, x double, y double"
 PAIRS = "i long, j long, dir_vector string, distance double"
 FITS = "uci10 long, r long, t0 long, t double, n long, alpha_pl double, a_pl double, err_pl double, alpha_exp double, a_exp double, err_exp double"
 CELLS = "features array<struct<properties: struct<idx: long, population: long>, geometry: struct<type: string, coordinates: array<array<array<double>>>>>>"
@@ -50,6 +51,20 @@ def write_edges(df: DataFrame, path: str) -> None:
     df.write.option("header", True).csv(path)
 
 
+def read_nodes(spark: SparkSession, path: str) -> DataFrame:
+    """index, osmid, x, y of a network's nodes."""
+    return spark.read.schema(NODES).option("header", True).csv(path)
+
+
+def write_nodes(df: DataFrame, path: str) -> None:
+    df.select("index", "osmid", "x", "y").write.option("header", True).csv(path)
+
+
+def read_network(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of a network's folder: nodes.csv and edges.csv."""
+    return read_nodes(spark, f"{folder}/nodes.csv"), read_edges(spark, f"{folder}/edges.csv")
+
+
 def _numbers() -> list:
     part = F.split(F.trim("line"), r"\s+")
     return [F.get(part, F.lit(k)).cast("double").cast("bigint").alias(c) for k, c in enumerate(("origin", "destination", "number_people"))]
@@ -57,16 +72,26 @@ def _numbers() -> list:
 
 def read_od_text(spark: SparkSession, path: str, skip: int = 6) -> DataFrame:
     """o, d, n of every line after the first ``skip`` of each file; a file has one city's flows of one hour."""
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("at", "line"))
+    lines = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("at", "line"))
     return lines.filter((F.col("at") >= skip) & (F.trim("line") != "")).select(*_numbers())
 
 
-def write_od_text(df: DataFrame, path: str) -> None:
-    """Six header lines, then ``o d n``: as many files as the table has partitions."""
+HEADER = 6
+
+
+def _with_headers(lines: DataFrame, keys: list[str], files: int) -> DataFrame:
+    """keys, slice, at, value: the lines dealt to ``files`` slices of each key by hash, HEADER lines before each slice's."""
+    dealt = lines.withColumns({"slice": F.pmod(F.xxhash64("value"), F.lit(files)).cast("int"), "at": F.lit(0)})
+    heads = dealt.select(*keys, "slice").distinct().withColumn("at", F.explode(F.sequence(F.lit(-HEADER), F.lit(-1))))
+    heads = heads.withColumn("value", F.format_string("* header %d", F.col("at") + HEADER))
+    both = dealt.select(*keys, "slice", "at", "value").unionByName(heads.select(*keys, "slice", "at", "value"))
+    return both.repartition(*keys, "slice").sortWithinPartitions(*keys, "slice", "at").drop("at")
+
+
+def write_od_text(df: DataFrame, path: str, files: int = 4) -> None:
+    """Six header lines, then ``o d n``, in ``files`` files: one row a line, never a file in a row."""
     line = F.concat_ws(" ", "origin", "destination", F.concat(F.col("number_people").cast("string"), F.lit(".75")))
-    head = "\n".join(f"* header {k}" for k in range(6))
-    parts = df.withColumn("file", F.spark_partition_id()).groupBy("file").agg(F.array_join(F.collect_list(line), "\n").alias("body"))
-    parts.select(F.concat(F.lit(head + "\n"), "body").alias("value")).repartition("value").write.text(path)
+    _with_headers(df.select(line.alias("value")), [], files).write.partitionBy("slice").text(path)
 
 
 def read_od_by_hour(spark: SparkSession, path: str, skip: int = 6) -> DataFrame:
@@ -77,11 +102,11 @@ def read_od_by_hour(spark: SparkSession, path: str, skip: int = 6) -> DataFrame:
     return lines.filter((F.col("at") >= skip) & (F.trim("line") != "")).select("hour", *_numbers())
 
 
-def write_od_by_hour(df: DataFrame, path: str) -> None:
-    """One folder for each hour (here the origin's number modulo 24)."""
-    head = "\n".join(f"* header {k}" for k in range(6))
-    parts = df.withColumn("hour", F.col("origin") % 24).groupBy("hour").agg(F.array_join(F.collect_list(F.concat_ws(" ", "origin", "destination", "number_people")), "\n").alias("body"))
-    parts.select("hour", F.concat(F.lit(head + "\n"), "body").alias("value")).write.partitionBy("hour").text(path)
+def write_od_by_hour(df: DataFrame, path: str, files: int = 2) -> None:
+    """A folder for each hour (the column hour, else the origin's number modulo 24) with up to ``files`` files of lines."""
+    hour = F.col("hour") if "hour" in df.columns else F.col("origin") % 24
+    lines = df.select(hour.alias("hour"), F.concat_ws(" ", "origin", "destination", "number_people").alias("value"))
+    _with_headers(lines, ["hour"], files).write.partitionBy("hour", "slice").text(path)
 
 
 def run_catalog(paths: DataFrame) -> DataFrame:
