@@ -1,13 +1,16 @@
 """Exact tokenisation of whole texts with a public vocabulary, at the cost of encoding each distinct word once.
 
-The vocabulary drops white space and none of its pre-tokens spans a blank, so the ids of a text are the
-ids of its blank-separated chunks, one after another. Each Python worker keeps the ids of the chunks it met.
+A vocabulary that drops white space and has no pre-token that spans a blank gives a text the ids of its
+blank-separated chunks, one after another. Each Python worker keeps the ids of the chunks it met. Other vocabularies
+(told by their normaliser and pre-tokeniser) encode whole texts.
 """
 
 from __future__ import annotations
 
+import json
 import os
 from itertools import chain, repeat
+from pathlib import Path
 
 import numpy as np
 
@@ -17,6 +20,15 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 DEFAULT_VOCABULARY = "word_bpe_49k.json"
 #: Marks that may close a chunk.
 MARKS = ".,"
+# The normaliser and the pre-tokeniser for which chunks can be encoded one by one, in any letter case.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
 #: Chunks kept per worker (about 150 MB) and the longest one kept; others are encoded when met.
 CACHE_CHUNKS, CACHE_CHUNK_CHARS = 800_000, 48
 #: Characters worked on at once.
@@ -42,6 +54,8 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.keep = Tokenizer.from_file(path), keep
+        rules = json.loads(Path(path).read_text(encoding="utf-8"))
+        self.by_chunk = rules.get("normalizer") == NORMALIZER and rules.get("pre_tokenizer") == PRE_TOKENIZER and not rules.get("post_processor")
         self.index: dict[str, int] = {}
         self.ids, self.start = np.zeros(1 << 16, np.int32), np.zeros(1 << 14, np.int64)
         self.chunks = 0
@@ -60,14 +74,17 @@ class ChunkEncoder:
         self.chunks += n
 
     def _encode_chunks(self, chunks: list[str]) -> list[list[int]]:
-        """The library's ids of each chunk. Chunks that differ in case or in one closing mark share one call:
+        """The library's ids of each chunk. Plain chunks that differ in case or in one closing mark share one call:
         the vocabulary lower-cases, and a mark after a letter is a pre-token of its own."""
         parts, unknown = [], {}
         for w in chunks:
-            plain = "<|" not in w and "\u03a3" not in w  # special tokens keep their case; a last capital sigma depends on its place
-            core, mark = w.lower() if plain else w, ""
-            if plain and len(core) > 1 and core[-1] in MARKS and core[-2].isalpha():
-                core, mark = core[:-1], core[-1]
+            core, mark = w, ""
+            if "<|" not in w:  # special tokens stay as they are
+                if w.isascii():
+                    core = w.lower()
+                # letters of old scripts only: every Unicode version knows them, and none ends in a combining mark in lower case
+                if len(w) > 1 and w[-1] in MARKS and w[-2] < "\u0530" and w[-2].lower()[-1].isalpha():
+                    core, mark = core[:-1], core[-1]
             parts.append((core, mark))
             if core not in self.index and core not in unknown:
                 unknown[core] = len(unknown)
@@ -82,6 +99,9 @@ class ChunkEncoder:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of all texts, and where each text's ids begin (one entry more than texts)."""
+        if not self.by_chunk:
+            coded = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            return np.fromiter(chain.from_iterable(coded), np.int32), np.cumsum([0, *map(len, coded)])
         split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
         words = list(chain.from_iterable(split))
         per_text = np.fromiter(map(len, split), np.int64, len(split))
