@@ -12,10 +12,10 @@ import re
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowgrid.llm.shared import pick
+from flowgrid.llm.shared import bounded_sample, pick
 from flowgrid.llm.tokens import in_batches
 
 #: Bytes of context at most.
@@ -151,18 +151,15 @@ class PPM:
 
 
 def training_sample(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
-    """lang and text of at most ``per_language`` documents of each language whose crc32(doc_id) mod 3 isn't 1."""
+    """lang, h (a hash) and text of at most ``per_language`` documents of each language whose crc32(doc_id) mod 3 isn't 1."""
     rows = pick(docs, "doc_id", "text", "lang").filter((F.crc32(F.col("doc_id").cast("string")) % 3 != 1) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")  # cut in each task before the shuffle
-    ids = rows.select("doc_id", "lang").withColumn("n", F.row_number().over(order)).filter(F.col("n") <= per_language)
-    # per_language rows for each language at most
-    return rows.join(F.broadcast(ids.select("doc_id").distinct()), "doc_id", "left_semi").select("lang", "text")
+    return bounded_sample(rows, "lang", per_language)
 
 
 def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> PPM:
     """Count and freeze the trees of all languages on a bounded sample of labelled documents."""
     texts: dict[str, list[str]] = {}
-    for r in training_sample(docs, per_language).toLocalIterator():
+    for r in sorted(training_sample(docs, per_language).toLocalIterator(), key=lambda r: r.h):
         texts.setdefault(r.lang, []).append(r.text)
     return PPM(texts)
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 from flowgrid.functions.storage import discard, fresh_path, materialize, shared_dir
 
-__all__ = ["SPACE", "discard", "fresh_path", "materialize", "pick", "shared_dir", "table"]
+__all__ = ["SPACE", "bounded_sample", "discard", "fresh_path", "materialize", "pick", "shared_dir", "table"]
 
 #: Words are maximal runs of anything but ASCII white space.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -19,3 +20,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def pick(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns, so that extra columns of the input can't clash with an operator's own."""
     return df.select(*[df[f"`{n}`"] for n in names])
+
+
+def bounded_sample(rows: DataFrame, by: str, most: int, parts: int = 64) -> DataFrame:
+    """``by`` and text of at most ``most`` rows (doc_id, text, ``by``) for each value of ``by``: those of least hash.
+
+    Rows with one doc_id, text and value count once, however often they come. Chosen in two steps, so that a value that
+    most rows share is cut by many tasks before one task sees what is left.
+    """
+    keyed = rows.select(by, "text", F.xxhash64("doc_id", "text").alias("h"))
+    least = lambda df, *keys: df.withColumn("n", F.row_number().over(Window.partitionBy(*keys).orderBy("h"))).filter(F.col("n") <= most).drop("n")
+    some = least(least(keyed.select(by, "h").distinct().withColumn("part", F.pmod(F.shiftright("h", 32), F.lit(parts))), by, "part"), by).select(by, "h")
+    # ``most`` rows for each value of ``by``
+    return keyed.join(F.broadcast(some), [by, "h"]).groupBy(by, "h").agg(F.any_value("text").alias("text")).select(by, "h", "text")
