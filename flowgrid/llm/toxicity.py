@@ -12,10 +12,10 @@ from itertools import chain
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowgrid.llm.shared import pick
+from flowgrid.llm.shared import bounded_sample, pick
 from flowgrid.llm.tokens import in_batches
 
 WINDOW, STRIDE = 32, 24
@@ -23,8 +23,10 @@ WINDOW, STRIDE = 32, 24
 WORD_ROWS, CHAR_ROWS, WIDE, STATE = 1 << 15, 1 << 15, 8, 8
 #: Training texts that a word or character row must be in to be learned; others stay zero.
 LEAST_TEXTS = 5
-#: Labelled documents of each label used for training at most: those of least hash; windows of one of them at most.
-PER_LABEL, TRAIN_WINDOWS = 1000, 200
+#: Labelled documents of each label used for training at most: those of least hash.
+PER_LABEL = 1000
+#: Windows whose states are held at once.
+SLICE = 4096
 STEPS, BATCH, THRESHOLD, SEED = 180, 48, 0.3, 7
 EDGES = ".,;:!?|\"'()[]{}*#$%&<>-"
 OUT = "doc_id long, held_out boolean, score double, predicted int"
@@ -121,6 +123,11 @@ class Network:
             keep |= {"both": both, "w": w, "pooled": pooled}
         return pooled @ self.p["out"] + self.p["bias"][0]
 
+    def logits(self, words: Words, win: np.ndarray) -> np.ndarray:
+        """The logit of each of any number of windows."""
+        features = words.features(self.p["word"], self.p["char"])
+        return np.concatenate([self.forward(features, win[k : k + SLICE]) for k in range(0, len(win), SLICE)])
+
     def gradients(self, words: Words, win: np.ndarray, label: np.ndarray) -> dict:
         p, keep, h = self.p, {}, STATE
         features = words.features(p["word"], p["char"])
@@ -173,15 +180,14 @@ class Network:
             words = Words([texts[i] for i in some])
             win, doc, n = words.windows()
             y = np.array([labels[i] for i in some], np.float32)
-            fits = np.flatnonzero(np.arange(len(win)) - np.repeat(np.cumsum(n) - n, n) < TRAIN_WINDOWS)
             if 4 * step >= steps:
-                logit = self.forward(words.features(self.p["word"], self.p["char"]), win[fits])
-                top = fits[np.lexsort((-logit, doc[fits]))]
+                logit = self.logits(words, win)
+                top = np.lexsort((-logit, doc))
                 first = np.unique(doc[top], return_index=True)[1]
-                other = r.permutation(fits)[: len(some)]
+                other = r.permutation(len(win))[: len(some)]
                 chosen = np.concatenate([top[first], other[y[doc[other]] == 0]])
             else:
-                chosen = r.permutation(fits)[:512]
+                chosen = r.permutation(len(win))[:512]
             g, step = self.gradients(words, win[chosen], y[doc[chosen]]), step + 1
             for k, v in g.items():
                 v = v * learned[k] if k in learned else v
@@ -194,24 +200,20 @@ class Network:
         """The probability of each whole text's highest window."""
         words = Words(texts)
         win, doc, n = words.windows()
-        features = words.features(self.p["word"], self.p["char"])
-        logit = np.concatenate([self.forward(features, win[k : k + 4096]) for k in range(0, len(win), 4096)])
+        logit = self.logits(words, win)
         return _sigmoid(np.maximum.reduceat(logit, np.cumsum(n) - n).astype(np.float64))
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> DataFrame:
-    """doc_id, text and toxic of at most ``per_label`` documents of each label whose crc32(doc_id) mod 4 isn't 2."""
+    """toxic, h (a hash) and text of at most ``per_label`` documents of each label whose crc32(doc_id) mod 4 isn't 2."""
     marks = pick(labels, "doc_id", "toxic").filter(F.col("toxic").isin(0, 1) & (F.crc32(F.col("doc_id").cast("string")) % 4 != 2))
     marks = marks.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    order = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")  # cut in each task before the shuffle
-    some = marks.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= per_label).select("doc_id", "toxic")
-    # twice per_label rows at most
-    return pick(docs, "doc_id", "text").filter(F.col("text").isNotNull()).join(F.broadcast(some), "doc_id")
+    return bounded_sample(pick(docs, "doc_id", "text").filter(F.col("text").isNotNull()).join(marks, "doc_id"), "toxic", per_label)
 
 
 def train(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, steps: int = STEPS) -> Network:
     """Train on a bounded sample of labelled documents; the same tables give the same network."""
-    rows = sorted((r.doc_id, r.text, r.toxic) for r in training_sample(docs, labels, per_label).toLocalIterator())
+    rows = sorted((r.h, r.text, r.toxic) for r in training_sample(docs, labels, per_label).toLocalIterator())
     net = Network()
     if len({t for _, _, t in rows}) == 2:
         net.fit([t for _, t, _ in rows], [y for _, _, y in rows], steps)
