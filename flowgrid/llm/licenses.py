@@ -2,8 +2,8 @@
 
 Templates and texts are word sequences. Hashed word ``GRAM``-grams are winnowed (of every ``WINDOW`` neighbours the
 least stays), so any run of GRAM + WINDOW - 1 equal words shares a fingerprint. The templates' fingerprints form an
-inverted index; each hit proposes a template at a diagonal, hits of near diagonals are one candidate, and a local
-alignment in a band around it gives the matched words and their span.
+inverted index; each hit proposes a template at a diagonal, chained hits of near diagonals are one candidate, and a local
+alignment in a band around them gives the matched words and their span.
 """
 
 from __future__ import annotations
@@ -114,21 +114,34 @@ def _grams(hashes: np.ndarray) -> np.ndarray:
     return out
 
 
-def _winnow(grams: np.ndarray) -> np.ndarray:
-    """Places of the grams that are the least of some WINDOW neighbours; all, if there are fewer."""
-    if len(grams) <= WINDOW:
-        return np.arange(len(grams))
-    least = np.lib.stride_tricks.sliding_window_view(grams, WINDOW).min(1)
+def _winnow(grams: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """Places of the grams that are the least of some WINDOW neighbours in one text (``of``: each gram's text); all of a text that has fewer."""
     kept = np.zeros(len(grams), bool)
-    for k in range(WINDOW):
-        kept[k : k + len(least)] |= grams[k : k + len(least)] == least
-    return np.flatnonzero(kept)
+    if len(grams) >= WINDOW:
+        least = np.lib.stride_tricks.sliding_window_view(grams, WINDOW).min(1)
+        inside = of[: len(least)] == of[WINDOW - 1 :]
+        for k in range(WINDOW):
+            kept[k : k + len(least)] |= inside & (grams[k : k + len(least)] == least)
+    texts, n = np.unique(of, return_counts=True)
+    return np.flatnonzero(kept | np.isin(of, texts[n < WINDOW]))
 
 
 def _hash(words: np.ndarray) -> np.ndarray:
     return pd.util.hash_array(words, categorize=False) if len(words) else np.zeros(0, np.uint64)
 
 
+def chains(diagonals: list[int], most: int):
+    """Runs (first, last) of ascending diagonals with steps of BAND at most, none wider than ``most``: one candidate each."""
+    first = last = None
+    for d in diagonals:
+        if last is not None and (d - last > BAND or d - first > most):
+            yield first, last
+            first = None
+        first, last = d if first is None else first, d
+    if last is not None:
+        yield first, last
+
+
 class Index:
     """The inverted index of the templates' fingerprints."""
 
@@ -138,44 +151,43 @@ class Index:
         postings: dict[int, list[tuple[int, int]]] = {}
         for t, w in enumerate(self.words):
             g = _grams(_hash(np.array(w, object)))
-            for at in range(len(g)):  # every gram of a template is listed: short templates are found however their neighbours fall
+            for at in _winnow(g, np.zeros(len(g), int)).tolist():
                 postings.setdefault(int(g[at]), []).append((t, at))
         self.postings = list(postings.values())
         self.table = KeyTable(np.array(list(postings), np.uint64))
 
     def scan(self, texts: list[str]) -> list[list[tuple]]:
         """For each text its matches: (template number, coverage, matched words, begin, end) with places in code points."""
-        lower = [t.lower() for t in texts]
-        split = [WORD.findall(t) for t in lower]
+        split = [WORD.findall(t) for t in texts]
         count = np.fromiter(map(len, split), np.int64, len(split))
         at, seen = pd.factorize(np.array(list(chain.from_iterable(split)), object))
         out: list[list[tuple]] = [[] for _ in texts]
         if not len(at):
             return out
-        grams = _grams(_hash(np.asarray(seen, object))[at])
-        chosen = _winnow(grams)
+        grams = _grams(_hash(np.array([w.lower() for w in seen], object))[at])
+        ends = np.cumsum(count)
+        of = np.searchsorted(ends, np.arange(len(grams)), "right")
+        whole = np.flatnonzero(np.arange(len(grams)) + GRAM <= ends[of])  # not across the limits of texts
+        chosen = whole[_winnow(grams[whole], of[whole])]
         row = self.table.find(grams[chosen])
         hits: dict[int, dict] = {}
-        first = np.cumsum(count) - count
+        first = ends - count
         for place, r in zip(chosen[row >= 0].tolist(), row[row >= 0].tolist()):
-            doc = int(np.searchsorted(first, place, "right")) - 1
+            doc = int(of[place])
             for t, k in self.postings[r]:
                 hits.setdefault(doc, {}).setdefault(t, []).append(place - int(first[doc]) - k)
         for doc, by_template in hits.items():
-            spans, b = None, split[doc]
+            spans, b, found = None, [w.lower() for w in split[doc]], {}
             for t, diagonals in by_template.items():
-                a, last = self.words[t], None
-                for d in sorted(set(diagonals)):
-                    if last is not None and d <= last + BAND:
-                        continue  # inside the band of the one before
-                    last = d
-                    lo = max(0, d - BAND)
-                    region = b[lo : d + len(a) + BAND]
-                    score, m, _, _, p, q = align(a, region, d - BAND - lo, d + BAND - lo)
+                a = self.words[t]
+                for low, high in chains(sorted(set(diagonals)), len(a)):
+                    lo = max(0, low - BAND)
+                    score, m, _, _, p, q = align(a, b[lo : high + len(a) + BAND], low - BAND - lo, high + BAND - lo)
                     if m >= COVERAGE * len(a):
-                        spans = spans or [x.span() for x in WORD.finditer(lower[doc])]
-                        out[doc].append((t, m / len(a), m, spans[lo + p][0], spans[lo + q - 1][1]))
-            out[doc] = self.best(out[doc])
+                        spans = spans or [x.span() for x in WORD.finditer(texts[doc])]
+                        place = (t, spans[lo + p][0], spans[lo + q - 1][1])
+                        found[place] = max(m, found.get(place, 0))
+            out[doc] = self.best([(t, m / len(self.words[t]), m, begin, end) for (t, begin, end), m in found.items()])
         return out
 
     def best(self, found: list[tuple]) -> list[tuple]:
@@ -199,7 +211,7 @@ def scan(docs: DataFrame, templates=TEMPLATES) -> DataFrame:
     Of overlapping places of different licenses only the best explained is given (see Index.best).
 
     A place matches if at least COVERAGE of the template's words are aligned there; begin and end are code points of
-    the lower-cased text. Texts with none, null and empty texts give no row. Repeated rows give repeated matches; null doc_ids
+    the text. Texts with none, null and empty texts give no row. Repeated rows give repeated matches; null doc_ids
     are kept; other columns are ignored.
     """
 
