@@ -28,8 +28,8 @@ from flowgrid.llm.tokens import in_batches
 GRAM = 3
 #: Words of items in a block at most: what is held by each worker at once (a longer item is a block of its own).
 BLOCK_WORDS = 500_000
-#: Items of fewer words are too short to tell a copy from chance.
-LEAST_WORDS = 5
+#: Items of fewer words have no seed.
+LEAST_WORDS = GRAM
 #: Share of the item's words that an alignment must keep.
 COVERAGE = 0.5
 #: Seeds or words looked at together at most.
@@ -166,7 +166,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, score, coverage, n_matched, begin_word, end_word: every whole text that holds a copy of an item.
 
     One row for each text and item, for the best alignment; begin and end count the text's words. Texts without a
-    copy, null and empty texts give no row, as do items that are null or of fewer than LEAST_WORDS words. Ties go to
+    copy, null and empty texts give no row, as do items that are null or of fewer than LEAST_WORDS words;
+    a null item_id is kept. Ties go to
     the first place. Repeated rows give repeated results; other columns are ignored.
     """
     spark = docs.sparkSession
@@ -182,7 +183,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 for lo, hi in in_batches(texts):
                     m = block.matches(texts[lo:hi])
                     ids = pdf.doc_id.astype("Int64").array[[lo + x[0] for x in m]]
-                    yield pd.DataFrame({"doc_id": ids, "item_id": [x[1] for x in m], "score": [x[2] for x in m], "coverage": np.round([float(x[3]) for x in m], 9), "n_matched": [x[4] for x in m], "begin_word": [x[5] for x in m], "end_word": [x[6] for x in m]})
+                    yield pd.DataFrame({"doc_id": ids, "item_id": pd.array([x[1] for x in m], "Int64"), "score": [x[2] for x in m], "coverage": np.round([float(x[3]) for x in m], 9), "n_matched": [x[4] for x in m], "begin_word": [x[5] for x in m], "end_word": [x[6] for x in m]})
 
         part = materialize(rows.mapInPandas(run, OUT), "contaminated")
         out = part if out is None else out.unionByName(part)
