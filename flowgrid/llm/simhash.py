@@ -109,8 +109,8 @@ def keep_one(docs: DataFrame, most_bits: int = MOST_BITS) -> DataFrame:
 
     Of repeated rows of that doc_id one stays. Rows with a null doc_id can't be told apart by it and all stay.
     """
-    groups = near_duplicates(docs, most_bits)
-    stay = groups.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text")
-    kept = docs.join(stay, "doc_id", "left_semi").withColumn("_place", F.row_number().over(order)).filter("_place = 1").drop("_place")
-    return kept.unionByName(docs.filter(F.col("doc_id").isNull())).select(*docs.columns)
+    stay = near_duplicates(docs, most_bits).filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("stays")).distinct()
+    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"))  # whole, however its columns are called
+    order = Window.partitionBy("row.doc_id").orderBy(F.xxhash64("row.text"), "row.text")
+    kept = rows.join(stay, F.col("row.doc_id") == F.col("stays"), "left_semi").withColumn("place", F.row_number().over(order)).filter("place = 1")
+    return kept.select("row").unionByName(rows.filter("row.doc_id is null")).select(*[F.col(f"row.`{c}`") for c in docs.columns])
