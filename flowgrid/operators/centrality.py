@@ -10,13 +10,13 @@ def inhabited(cells: DataFrame) -> DataFrame:
     return cells.filter("population > 0")
 
 
-def proximity_index(pairs: DataFrame, cells: DataFrame, column: str, by: list[str] | None = None) -> DataFrame:
+def proximity_index(pairs: DataFrame, cells: DataFrame, column: str, by: list[str] | None = None, potential: bool = False) -> DataFrame:
     """pi = 1 - v / vmax for each group: v is the mean distance between two people of inhabited inner cells, vmax that of
-    equal masses on the edge cells."""
+    equal masses on the edge cells. A ``potential`` is spread over all cells, and counts in all inner ones."""
     keys = by or []
     f = F.col(column).cast("double")
-    cells = cells.withColumns({"f": f, "inner": F.expr("position = 'inside' and population > 0"), "rim": F.expr("relation_to_line = 'edge'")})
-    sums = cells.groupBy(*keys).agg(F.sum(F.when(F.col("inner"), F.col("f"))).alias("total"), F.count_if("rim").alias("rims"))
+    cells = cells.withColumns({"f": f, "inner": F.expr("position = 'inside'" + " and population > 0" * (not potential)), "rim": F.expr("relation_to_line = 'edge'")})
+    sums = cells.groupBy(*keys).agg(F.sum(F.when(F.col("inner") | F.lit(potential), F.col("f"))).alias("total"), F.count_if("rim").alias("rims"))
     a = cells.select(*keys, F.col("idx").alias("i"), F.col("f").alias("fi"), F.col("inner").alias("ini"), F.col("rim").alias("ri"))
     b = cells.select(*keys, F.col("idx").alias("j"), F.col("f").alias("fj"), F.col("inner").alias("inj"), F.col("rim").alias("rj"))
     rows = pairs.select("i", "j", "distance").join(a, "i").join(b, ["j", *keys])
@@ -47,10 +47,10 @@ def lorenz_index(cells: DataFrame, column: str, by: list[str] | None = None) ->
     return s.select(*keys, "n", f.alias("f_star"), (f / F.col("n")).alias("lc"))
 
 
-def uci(pairs: DataFrame, cells: DataFrame, column: str, by: list[str] | None = None) -> DataFrame:
-    """pi, lc and uci = pi * lc of each group; concentration is that of all cells."""
+def uci(pairs: DataFrame, cells: DataFrame, column: str, by: list[str] | None = None, potential: bool = False) -> DataFrame:
+    """pi, lc and uci = pi * lc of each group, of people or of a ``potential``; concentration is that of all cells."""
     keys = by or []
-    p, c = proximity_index(pairs, cells, column, by), lorenz_index(cells, column, by)
+    p, c = proximity_index(pairs, cells, column, by, potential), lorenz_index(cells, column, by)
     out = p.join(c, keys) if keys else p.crossJoin(c)  # one row each
     return out.select(*keys, "pi", "lc", (F.col("pi") * F.col("lc")).alias("uci"))
 

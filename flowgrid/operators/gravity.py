@@ -96,9 +96,13 @@ def fit_error_summary(predicted: DataFrame) -> DataFrame:
 
 
 def initial_guesses(features: DataFrame) -> DataFrame:
-    """logk and inverse_d0 from means, with unit exponents."""
+    """One row of starting values with unit exponents: logk from the mean logarithm, log_mean_k from the mean of people
+    over the squared population of the origin, inverse_d0 from the mean distance of flows between cells. Null without a flow."""
     u = usable(features)
-    return u.agg(F.avg(F.ln("w") - F.ln("mi") - F.ln("mj")).alias("logk"), (F.lit(1.0) / F.avg("d")).alias("inverse_d0"))
+    return u.agg(
+        F.avg(F.ln("w") - F.ln("mi") - F.ln("mj")).alias("logk"), F.ln(F.avg(F.col("w") / (F.col("mi") * F.col("mi")))).alias("log_mean_k"),
+        F.try_divide(F.lit(1.0), F.avg(F.when(F.col("d") != 0, F.col("d")))).alias("inverse_d0"),
+    )
 
 
 def od_matrix(tij: DataFrame, cells: DataFrame) -> DataFrame:

@@ -39,22 +39,28 @@ def is_connected(edges: DataFrame) -> DataFrame:
     return components(edges).agg(F.count_distinct("component").alias("components"), (F.count_distinct("component") == 1).alias("connected"))
 
 
+#: Steps along the edges between two stored tables.
+STEPS = 3
+
+
 def _least_reaching(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """node, least: the least node that reaches each node along the edges (u, v), itself included.
 
-    Every round a node takes the least of its predecessors' and of its own least one's, so that what is known reaches
-    twice as far each time; rounds go on until nothing changes.
+    In a step a node takes the least of its predecessors' and of its own least one's; every STEPS of them what is known
+    is stored, until nothing changes, however long the paths are.
     """
     now = materialize(nodes.select("node", F.col("node").alias("least")), "least")
     while True:
-        pulled = edges.join(now.select(F.col("node").alias("u"), "least"), "u").select(F.col("v").alias("node"), "least")
-        jumped = now.join(now.select(F.col("node").alias("least"), F.col("least").alias("next")), "least").select("node", F.col("next").alias("least"))
-        rows = now.withColumn("old", F.col("least")).unionByName(pulled.unionByName(jumped).withColumn("old", F.lit(None).cast(now.schema["least"].dataType)))
-        new = materialize(rows.groupBy("node").agg(F.min("least").alias("least"), F.max("old").alias("old")), "least")
+        new = now
+        for _ in range(STEPS):
+            pulled = edges.join(new.select(F.col("node").alias("u"), "least"), "u").select(F.col("v").alias("node"), "least")
+            jumped = new.join(now.select(F.col("node").alias("least"), F.col("least").alias("next")), "least").select("node", F.col("next").alias("least"))
+            new = new.unionByName(pulled).unionByName(jumped).groupBy("node").agg(F.min("least").alias("least"))
+        new = materialize(new.join(now.withColumnRenamed("least", "old"), "node"), "least")
         settled = new.filter("least <> old").isEmpty()
         discard(now)
-        now = new.select("node", "least")
-        now._stored_at = new._stored_at
+        now, path = new.select("node", "least"), new._stored_at
+        now._stored_at = path
         if settled:
             return now
 

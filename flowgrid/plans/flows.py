@@ -95,7 +95,7 @@ def f09(spark, d):
     return rounded(modelled(spark, d), 5)
 
 
-@query("f10_initial_guesses", f"SELECT round(avg(ln(w) - ln(mi) - ln(mj)), 6) AS logk, round(1 / avg(d), 6) AS inverse_d0 FROM ({USABLE})")
+@query("f10_initial_guesses", f"SELECT round(avg(ln(w) - ln(mi) - ln(mj)), 6) AS logk, round(ln(avg(w / (mi * mi))), 6) AS log_mean_k, round(1 / avg(d) FILTER (d <> 0), 6) AS inverse_d0 FROM ({USABLE})")
 def f10(spark, d):
     return rounded(gravity.initial_guesses(features(spark, d)))
 

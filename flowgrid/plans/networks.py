@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from flowgrid.operators import field, networks, roads, slices
+from flowgrid.operators import centrality, field, networks, roads, slices
 from flowgrid.plans.catalogue import query
 from flowgrid.plans.flows import pairs
 from flowgrid.plans.tiling import LATTICE, lattice
@@ -58,10 +58,36 @@ def c09(spark, d):
     return rounded(field.smooth(potential(spark, d), lattice(spark, d), "potential"), 2)
 
 
-@query("c10_potential_table", f"WITH {WITH}, {POT} SELECT fc.idx, population, round(potential, 2) AS v_out, round(harmonic, 4) AS harmonic_out FROM fc JOIN pot ON pot.idx = fc.idx JOIN ({HARMONIC}) h ON h.idx = fc.idx")
+def _side(tag):
+    """idx, potential, rotor and harmonic of the field out of the cells or into them, as one SELECT with its own WITH."""
+    mine = WITH.replace("out_x", f"{tag}_x").replace("out_y", f"{tag}_y") if tag != "out" else WITH
+    mine = mine.replace(FIELD.replace("out_x", f"{tag}_x").replace("out_y", f"{tag}_y"), FIELD)
+    rotor = f"SELECT b, (q.y - p.y) * {INV.format('dx')} - (q.x - p.x) * {INV.format('dy')} AS r FROM lat JOIN fc p ON p.idx = a JOIN fc q ON q.idx = b WHERE way = 'j' OR q.j = 0"
+    return f"WITH {mine}, {POT} SELECT fc.idx, population, potential, coalesce(r, 0) AS rotor, harmonic FROM fc JOIN pot ON pot.idx = fc.idx JOIN ({HARMONIC}) h ON h.idx = fc.idx LEFT JOIN ({rotor}) z ON z.b = fc.idx"
+
+
+C10_SQL = f"""SELECT o.idx, o.population, round(o.potential, 2) AS v_out, round(n.potential, 2) AS v_in, round(o.rotor, 5) AS rotor_out, round(n.rotor, 5) AS rotor_in, round(o.harmonic, 4) AS harmonic_out, round(n.harmonic, 4) AS harmonic_in
+    FROM ({_side('out')}) o JOIN ({_side('in')}) n USING (idx)"""
+
+
+@query("c10_potential_table", C10_SQL)
 def c10(spark, d):
     t = field.potential_table(the_field(spark, d), view(spark, d, "cells"), lattice(spark, d))
-    return t.select("idx", "population", F.round("v_out", 2).alias("v_out"), F.round("harmonic_out", 4).alias("harmonic_out"))
+    return t.select("idx", "population", *[F.round(c, n).alias(c) for c, n in (("v_out", 2), ("v_in", 2), ("rotor_out", 5), ("rotor_in", 5), ("harmonic_out", 4), ("harmonic_in", 4))])
+
+
+A16_SQL = f"""WITH {WITH}, {POT}, pc AS (SELECT c.*, round(potential, 6) AS v FROM cells c JOIN pot ON pot.idx = c.idx),
+    prox AS (SELECT 1 - sum(distance * a.v * b.v) FILTER (a.position = 'inside' AND b.position = 'inside') / pow((SELECT sum(v) FROM pc), 2)
+        / (sum(distance) FILTER (a.relation_to_line = 'edge' AND b.relation_to_line = 'edge') / pow((SELECT count(*) FROM pc WHERE relation_to_line = 'edge'), 2)) AS pi FROM pairs z JOIN pc a ON a.idx = z.i JOIN pc b ON b.idx = z.j),
+    conc AS (SELECT floor(round(count(*) + 1 - (sum(v) - least(min(v), 0) * count(*)) / (max(v) - least(min(v), 0)), 9)) / count(*) AS lc FROM pc)
+    SELECT round(pi, 6) AS pi, round(lc, 9) AS lc, round(pi * lc, 6) AS uci FROM prox, conc"""
+
+
+@query("a16_uci_potential", A16_SQL)
+def a16_potential(spark, d):
+    v = potential(spark, d).select("idx", F.round("potential", 6).alias("v"))
+    out = centrality.uci(pairs(spark, d), view(spark, d, "cells").join(v, "idx"), "v", potential=True)
+    return out.select(F.round("pi", 6).alias("pi"), F.round("lc", 9).alias("lc"), F.round("uci", 6).alias("uci"))
 
 
 def classes(spark, d):

@@ -242,8 +242,9 @@ DECIDED = """SELECT g.uci10, g.r, CASE WHEN jam IS NULL THEN 'undecided' WHEN ja
     FROM (SELECT *, bool_or(err_pl <= err_exp) OVER (PARTITION BY uci10, r) AS jam FROM fits) f GROUP BY uci10, r, jam) x ON x.uci10 = g.uci10 AND x.r = g.r"""
 
 
-def decisions(spark, d):
-    c = unload(spark, d)
+def decisions(spark, d, stored=None):
+    """The decision of every run, from the unloading curve: it is read three times, so it is stored (95 rows a run)."""
+    c = materialize(unload(spark, d), "unload") if stored is None else stored
     return fits.jam_decision(c, fits.expanding_fits(fits.curve_positions(c, RUN), RUN), RUN)
 
 
@@ -279,8 +280,9 @@ def w07(spark, d):
 TAU = f"SELECT x.uci10, x.r, verdict, CASE verdict WHEN 'jam' THEN c.tau WHEN 'no jam' THEN -1 / nullif(alpha, 0) END AS tau FROM ({DECIDED}) x LEFT JOIN ({CURVE_TAU}) c ON c.uci10 = x.uci10 AND c.r = x.r"
 
 
-def taus(spark, d):
-    return fits.tau(decisions(spark, d), fits.tau_from_curve(slices.fractions(unload(spark, d), RUN), RUN), RUN)
+def taus(spark, d, fact=None):
+    c = materialize(unload(spark, d) if fact is None else slices.unload_curve(fact, RUN), "unload")
+    return fits.tau(decisions(spark, d, c), fits.tau_from_curve(slices.fractions(c, RUN), RUN), RUN)
 
 
 @query("f04_tau", f"SELECT uci10, r, verdict, round(tau, 4) AS tau FROM ({TAU})")
@@ -290,8 +292,8 @@ def f04(spark, d):
 
 @query("f17_gamma_tau", f"SELECT uci10, r, round(gamma, 12) AS gamma, round(tau, 4) AS tau FROM ({TAU}) JOIN (SELECT uci10, r, sum(length) / sum(capacity * length) AS gamma FROM traj JOIN runs USING (p) WHERE {CONTROL} GROUP BY uci10, r) USING (uci10, r)")
 def f17(spark, d):
-    g = slices.gamma(run_traj(spark, d), RUN)
-    return taus(spark, d).join(g, RUN).select(*RUN, F.round("gamma", 12).alias("gamma"), F.round("tau", 4).alias("tau"))
+    fact = materialize(run_traj(spark, d), "trajectory")
+    return taus(spark, d, fact).join(slices.gamma(fact, RUN), RUN).select(*RUN, F.round("gamma", 12).alias("gamma"), F.round("tau", 4).alias("tau"))
 
 
 @query("t04_critical_rate", f"SELECT uci10, min(r) FILTER (verdict = 'jam') AS r_critical FROM ({DECIDED}) GROUP BY uci10")
