@@ -153,7 +153,7 @@ class PPM:
 def training_sample(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
     """lang, h (a hash) and text of at most ``per_language`` documents of each language whose crc32(doc_id) mod 3 isn't 1."""
     rows = pick(docs, "doc_id", "text", "lang").filter((F.crc32(F.col("doc_id").cast("string")) % 3 != 1) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    return bounded_sample(rows, "lang", per_language)
+    return bounded_sample(rows, None, "lang", per_language)
 
 
 def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> PPM:

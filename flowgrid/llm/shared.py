@@ -22,14 +22,16 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[df[f"`{n}`"] for n in names])
 
 
-def bounded_sample(rows: DataFrame, by: str, most: int, parts: int = 64) -> DataFrame:
-    """``by`` and text of at most ``most`` rows (doc_id, text, ``by``) for each value of ``by``: those of least hash.
+def bounded_sample(docs: DataFrame, marks: DataFrame | None, by: str, most: int, parts: int = 64) -> DataFrame:
+    """``by``, h (a hash) and text of at most ``most`` rows of ``docs`` (doc_id, text) for each value of ``by``: those of least hash.
 
-    Rows with one doc_id, text and value count once, however often they come. Chosen in two steps, so that a value that
-    most rows share is cut by many tasks before one task sees what is left.
+    ``by`` is a column of ``docs``, or comes by doc_id from ``marks``. Rows with one doc_id, text and value count once,
+    however often they come. Only hashes travel until the rows are chosen, and they are chosen in two steps, so that a value
+    that most rows share is cut by many tasks before one task sees what is left.
     """
-    keyed = rows.select(by, "text", F.xxhash64("doc_id", "text").alias("h"))
+    hashed = docs.withColumn("h", F.xxhash64("doc_id", "text"))
+    slim = hashed.select("h", by) if marks is None else hashed.select("doc_id", "h").join(marks.select("doc_id", by), "doc_id").select("h", by)
     least = lambda df, *keys: df.withColumn("n", F.row_number().over(Window.partitionBy(*keys).orderBy("h"))).filter(F.col("n") <= most).drop("n")
-    some = least(least(keyed.select(by, "h").distinct().withColumn("part", F.pmod(F.shiftright("h", 32), F.lit(parts))), by, "part"), by).select(by, "h")
+    some = least(least(slim.distinct().withColumn("part", F.pmod(F.shiftright("h", 32), F.lit(parts))), by, "part"), by).select(by, "h")
     # ``most`` rows for each value of ``by``
-    return keyed.join(F.broadcast(some), [by, "h"]).groupBy(by, "h").agg(F.any_value("text").alias("text")).select(by, "h", "text")
+    return hashed.select("h", "text").join(F.broadcast(some), "h").groupBy(by, "h").agg(F.any_value("text").alias("text"))

@@ -208,7 +208,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, per_label: int = PER_LAB
     """toxic, h (a hash) and text of at most ``per_label`` documents of each label whose crc32(doc_id) mod 4 isn't 2."""
     marks = pick(labels, "doc_id", "toxic").filter(F.col("toxic").isin(0, 1) & (F.crc32(F.col("doc_id").cast("string")) % 4 != 2))
     marks = marks.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    return bounded_sample(pick(docs, "doc_id", "text").filter(F.col("text").isNotNull()).join(marks, "doc_id"), "toxic", per_label)
+    return bounded_sample(pick(docs, "doc_id", "text").filter(F.col("text").isNotNull()), marks, "toxic", per_label)
 
 
 def train(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, steps: int = STEPS) -> Network:
