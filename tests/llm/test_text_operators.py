@@ -89,6 +89,20 @@ def test_language_odd_rows(odd, none):
     assert langid.identify(none, langid.train(none)).count() == 0
 
 
+def test_samples_are_bounded_by_rows(spark):
+    """One doc_id with very many rows, equal and different ones, gives no more rows than the bound."""
+    i = next(i for i in range(50) if zlib.crc32(str(i).encode()) % 3 != 1 and zlib.crc32(str(i).encode()) % 4 != 2)
+    same = spark.range(20_000).select(F.lit(i).cast("long").alias("doc_id"), F.lit("the same text").alias("text"), F.lit("en").alias("lang"))
+    other = spark.range(3_000).select(F.lit(i).cast("long").alias("doc_id"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"), F.lit("en").alias("lang"))
+    few = spark.range(60, 90).select(F.col("id").alias("doc_id"), F.lit("un texte").alias("text"), F.lit("fr").alias("lang"))
+    docs = same.unionByName(other).unionByName(few)
+    got = Counter(r.lang for r in langid.training_sample(docs, 40).collect())
+    assert got["en"] == 40 and 0 < got["fr"] <= 30
+    labels = docs.select("doc_id", F.lit(1).alias("quality"), (F.col("lang") == "en").cast("int").alias("toxic"))
+    kinds = Counter(r.toxic for r in toxicity.training_sample(docs, labels, 40).collect())
+    assert kinds[1] == 40 and 0 < kinds[0] <= 30
+
+
 # 2: lines
 
 
@@ -129,7 +143,14 @@ def test_lines_of_a_dense_group(spark):
             w[r.integers(0, 40)] = f"x{r.integers(0, 30)}"
         rows.append((i, " ".join(w) + "\nlast " + str(i % 4)))
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    assert {x.doc_id: x.text for x in line_dedup.dedup_lines(df).collect()} == brute_lines(rows)
+    got = line_dedup.dedup_lines(df, links=True).collect()
+    assert {x.doc_id: x.text for x in got} == brute_lines(rows)
+    sets = {i: frozenset(t.split("\n")[0].split()) for i, t in rows}
+    want = {i: sum(9 * len(a & b) >= 4 * (len(a) + len(b)) for b in set(sets.values()) - {a}) for i, a in sets.items()}
+    assert {x.doc_id: y.n_links for x in got for y in x.line_links if y.line_no == 0} == want
+    stored = line_dedup.materialize(line_dedup.line_sets(df), "test-sets")
+    blocks, _ = line_dedup.family_blocks(line_dedup.materialize(line_dedup.line_classes(stored, line_dedup.rarity(stored)), "test-classes"))
+    assert 1 < blocks.agg(F.max(F.size("members"))).first()[0] <= line_dedup.BLOCK
 
 
 def test_every_link_of_a_line_is_counted(spark):
@@ -240,6 +261,30 @@ def test_windows_lose_no_alignment():
         assert not got or (got[0][0] <= held[0] and got[0][1] >= 10)
 
 
+def test_query_against_whole_tables(spark, docs, sf):
+    """Every text against every item with the whole alignment table: the copies of the query and no others but for want of a seed."""
+    items = [(r.item_id, re.findall(r"\w+", r.text.lower())) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    number = {w: k for k, w in enumerate(dict.fromkeys(w for _, x in items for w in x))}
+    want = {}
+    for i, t in texts_of(docs):
+        text = re.findall(r"\w+", (t or "").lower())
+        b, seeds = np.array([number.get(w, -1) for w in text], np.int64), set(zip(text, text[1:], text[2:]))
+        held = Counter(text)
+        for k, x in items:
+            if sum(min(n, held[w]) for w, n in Counter(x).items()) >= math.ceil(len(x) / 2) and seeds & set(zip(x, x[1:], x[2:])):
+                found = align.align_whole(np.array([number[w] for w in x]), b, math.ceil(decontam.COVERAGE * len(x)))
+                if found:
+                    want[i, k] = found[:2]
+    got = {(r.doc_id, r.item_id): (r.score, r.n_matched) for r in queries.op3_decontamination(spark, sf).collect()}
+    assert want and got == want
+
+
+def test_short_items_and_items_without_an_id(spark):
+    bench = spark.createDataFrame([(None, "one two three"), (5, "only two"), (6, "alpha beta gamma delta")], "item_id long, text string")
+    df = spark.createDataFrame([(1, "x one two three y"), (2, "only two"), (3, "alpha beta gamma")], "doc_id long, text string")
+    assert {(r.doc_id, r.item_id, r.n_matched) for r in decontam.contaminated(df, bench).collect()} == {(1, None, 3), (3, 6, 3)}
+
+
 def test_copies_odd_rows(spark, odd, none):
     bench = spark.createDataFrame([(1, "the cat sat on the mat"), (2, None), (3, ""), (4, "two words")], "item_id long, text string")
     assert {(r.doc_id, r.item_id) for r in decontam.contaminated(odd, bench).collect()} == {(1, 1)}
@@ -314,6 +359,24 @@ def test_windows_cover_every_word():
         assert seen == set(w.index[first[d] : first[d] + size].tolist())
 
 
+def test_scores_against_one_window_at_a_time():
+    net, r = toxicity.Network(), np.random.default_rng(8)
+    net.p = {k: (v + r.standard_normal(v.shape) * 0.2).astype(np.float32) for k, v in net.p.items()}
+    texts = [" ".join(f"w{int(x)}" for x in r.integers(0, 50, n)) for n in (1, 20, 33, 90, 300)]
+    for text, got in zip(texts, net.score(texts)):
+        words = text.split()
+        starts = range(0, max(1, -(-(len(words) - toxicity.WINDOW) // toxicity.STRIDE) + 1) * toxicity.STRIDE, toxicity.STRIDE)
+        alone = [float(net.score([" ".join(words[k : k + toxicity.WINDOW])])[0]) for k in starts]
+        assert abs(max(alone) - got) < 1e-5
+
+
+def test_the_last_window_of_a_long_text_trains():
+    clean, bad = " ".join(["calm"] * 6000), " ".join(["calm"] * 5980 + ["vile"] * 20)
+    net = toxicity.Network()
+    net.fit([clean, bad] * 6, [0, 1] * 6, 40)
+    assert net.score([bad])[0] > net.score([clean])[0] + 0.2
+
+
 def test_toxicity_learns(spark):
     d = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
@@ -374,6 +437,40 @@ def test_no_template_comes_out_under_another_name():
         assert {index.templates[x[0]][1] for x in found} == {lic}, name
 
 
+def test_spans_count_the_text_as_given():
+    index, text = licenses.Index(), "İİİİ notes. Released under the MIT License. End"
+    ((_, _, _, begin, end),) = index.scan([text])[0]
+    assert text[begin:end] == "Released under the MIT License"
+
+
+def test_inserts_stay_one_place():
+    words = next(t for n, _, t in licenses.TEMPLATES if n == "mit-permission").split()
+    put = ["six", "quite", "other", "words", "stand", "here"]
+    text = " ".join(["start", *words[:25], *put, *words[25:50], *put, *words[50:], "stop"])
+    index = licenses.Index()
+    found = [x for x in index.scan([text])[0] if index.templates[x[0]][0] == "mit-permission"]
+    assert len(found) == 1 and found[0][1] == 1 and text[found[0][3] : found[0][4]] == " ".join(text.split()[1:-1]).rstrip(".")
+
+
+def test_a_text_s_licenses_depend_on_nothing_else(docs):
+    index, texts = licenses.Index(), [t or "" for _, t in sorted(texts_of(docs))]
+    assert index.scan(texts) == [index.scan([t])[0] for t in texts]
+
+
+def test_licenses_against_whole_alignments(docs):
+    """Every template against every whole text without a band: what is found there and shares a run of four words is found."""
+    index = licenses.Index()
+    for _, t in sorted(texts_of(docs))[:60]:
+        t = (t or "") + "\nReleased under the MIT License.\n"
+        words, got = [w.lower() for w in licenses.WORD.findall(t)], index.scan([t])[0]
+        places, runs = {(x[0]) for x in got}, {tuple(words[k : k + 4]) for k in range(len(words) - 3)}
+        for k, a in enumerate(index.words):
+            if runs & {tuple(a[j : j + 4]) for j in range(len(a) - 3)}:
+                found = align.align(a, words, -len(a), len(words))
+                covered = any(2 * found[1] - len(a) <= 2 * x[2] - len(index.words[x[0]]) for x in got)
+                assert found[1] < licenses.COVERAGE * len(a) or k in places or covered
+
+
 def test_licenses_odd_rows(odd, none):
     assert licenses.scan(odd).count() == 0 and licenses.scan(none).count() == 0
 
@@ -394,6 +491,26 @@ def test_chunks_encode_like_whole_texts():
         assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:])] == [e[:-1].tolist() for e in encoded(texts, 0)]
 
 
+def test_fuzzed_texts_encode_like_the_library(tmp_path):
+    r = np.random.default_rng(12)
+    parts = [*"aZéÉİıſßΣσς.,'-3²٣\u0301\u0307\u0328\u0344\u212b\ufb01日한", "\u1112\u1161\u11ab", "<|endoftext|>", "<|", "'S", "I'LL", " ", " ", "  ", "\n", "\t", "\x0b", "\x85", "\u00a0", "\u2003", "\u3000"]
+    texts = ["".join(parts[k] for k in r.integers(0, len(parts), r.integers(1, 14))) for _ in range(20_000)] + ["3Aİ\u0327", "a İ. b", "Ǆ. ŉ. ẞ,"]
+    want = [e[:-1].tolist() for e in encoded(texts, 0)]
+    ids, at = tokens.ChunkEncoder(VOCABULARY).encode(texts)
+    assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:])] == want
+    # a vocabulary that keeps case is told by its rules and encodes whole texts
+    import json
+
+    rules = json.loads(open(VOCABULARY, encoding="utf-8").read())
+    rules["normalizer"]["normalizers"] = rules["normalizer"]["normalizers"][:2]
+    path = tmp_path / "cased.json"
+    path.write_text(json.dumps(rules), encoding="utf-8")
+    from tokenizers import Tokenizer
+
+    ids, at = tokens.ChunkEncoder(str(path)).encode(texts[:300])
+    assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:])] == [e.ids for e in Tokenizer.from_file(str(path)).encode_batch(texts[:300], add_special_tokens=False)]
+
+
 def test_token_files_round_trip(spark, docs):
     path = fresh_path(spark, "test-tokens")
     store.write_tokens(docs, path, VOCABULARY)
@@ -529,6 +646,12 @@ def test_links_near_the_limit(spark):
     assert got == want and want
 
 
+def test_one_of_a_group_keeps_all_columns(spark):
+    df = spark.createDataFrame([(1, "a b c d e", 7, 8), (2, "a b c d e", 9, 1), (None, "a b c d e", 1, 1)], "doc_id long, text string, _place int, stays int")
+    kept = simhash.keep_one(df)
+    assert kept.columns == df.columns and sorted(map(str, kept.collect())) == sorted(map(str, df.filter("doc_id is null or doc_id = 1").collect()))
+
+
 def test_simhash_odd_rows(odd, none):
     got = simhash.near_duplicates(odd).collect()
     assert len(got) == 10 and {r.component_id for r in got if r.doc_id in (2, 3, 4)} == {2}
@@ -560,7 +683,6 @@ def test_quality_base_and_ratio(spark, docs, sf):
     ratios = quality.log_ratios(counts)
     got, texts = {r.doc_id: r for r in quality.judge(docs, ratios).collect()}, dict(texts_of(docs))
     trusted = {r.doc_id for r in quality.trusted_ids(labels).collect()}
-    one = {w: b for w, b in docs.select(F.explode(quality.words(F.col("text"))).alias("w")).distinct().select("w", F.pmod(F.xxhash64("w"), F.lit(quality.BUCKETS))).collect()}
     raw = sum(max(0, 2 * len(WORD.findall(t)) - 1) for t in texts.values())
     assert counts.agg(F.sum("raw")).first()[0] == raw
     assert counts.agg(F.sum("target")).first()[0] == sum(max(0, 2 * len(WORD.findall(t)) - 1) for i, t in texts.items() if i in trusted)
@@ -569,9 +691,24 @@ def test_quality_base_and_ratio(spark, docs, sf):
         assert base(r) == brute_base(t)
         assert r.base_failed == (r.n_words < 50 or 100 * r.n_repeat_words > 50 * r.n_words)
         assert r.kept == (not r.base_failed and r.log_ratio >= quality.THRESHOLD)
-    short = next(i for i, t in texts.items() if len(WORD.findall(t)) == 1) if any(len(WORD.findall(t)) == 1 for t in texts.values()) else None
-    if short is not None:
-        assert abs(got[short].log_ratio - ratios[one[WORD.findall(texts[short])[0]]] / quality.MICRO) < 1e-9
+    # every ratio again, from words and pairs hashed one by one
+    import xxhash
+
+    def grams(t):
+        h = [xxhash.xxh64_intdigest(w.encode(), 42) for w in WORD.findall(t or "")]
+        pairs = [xxhash.xxh64_intdigest(w.encode(), a) for a, w in zip(h, WORD.findall(t or "")[1:])]
+        return [((x + (1 << 63)) % (1 << 64) - (1 << 63)) % quality.BUCKETS for x in h + pairs]
+
+    all_of, of_trusted = Counter(), Counter()
+    for i, t in texts.items():
+        all_of.update(grams(t))
+        of_trusted.update(grams(t) if i in trusted else [])
+    n, m = sum(all_of.values()), sum(of_trusted.values())
+    share = [(all_of[b] + 1) / (n + quality.BUCKETS) for b in range(quality.BUCKETS)]
+    assert ratios == [round(quality.MICRO * math.log((of_trusted[b] + quality.PRIOR * share[b]) / (m + quality.PRIOR) / share[b])) for b in range(quality.BUCKETS)]
+    for i, t in texts.items():
+        g = grams(t)
+        assert abs(got[i].log_ratio - (sum(ratios[b] for b in g) / len(g) / quality.MICRO if g else 0)) < 2e-9
 
 
 def test_repeated_windows(spark):
@@ -608,3 +745,16 @@ def test_pipeline_stages(spark, sf):
         now = out
     packed = p.STAGES[-1][1](spark, now, sf).collect()
     assert {x.doc_id for x in packed} == set(after) and is_packed(packed, 4096)
+
+
+def test_pipeline_stages_on_odd_rows(spark, odd, none, sf):
+    import corpus_pipeline as p
+
+    for docs in (none, odd):
+        now = docs
+        for name, stage in p.STAGES[:-1]:
+            now = line_dedup.materialize(stage(spark, now, sf), "test-odd")
+            assert now.columns == docs.columns, name
+        packed = p.STAGES[-1][1](spark, now, sf).collect()
+        assert {x.doc_id for x in packed} == {r.doc_id for r in now.select("doc_id").collect()}
+    assert {2, 5, 6, 7, None} <= {x.doc_id for x in packed}
