@@ -80,7 +80,8 @@ class ChunkEncoder:
         for w in chunks:
             core, mark = w, ""
             if "<|" not in w:  # special tokens stay as they are
-                if w.isascii():
+                # Latin letters as single characters: nothing to compose, and each has one letter as its lower case (but for one)
+                if w.isascii() or (max(w) < "\u0250" and "\u0130" not in w):
                     core = w.lower()
                 # letters of old scripts only: every Unicode version knows them, and none ends in a combining mark in lower case
                 if len(w) > 1 and w[-1] in MARKS and w[-2] < "\u0530" and w[-2].lower()[-1].isalpha():

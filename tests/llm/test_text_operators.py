@@ -493,7 +493,7 @@ def test_chunks_encode_like_whole_texts():
 
 def test_fuzzed_texts_encode_like_the_library(tmp_path):
     r = np.random.default_rng(12)
-    parts = [*"aZéÉİıſßΣσς.,'-3²٣\u0301\u0307\u0328\u0344\u212b\ufb01日한", "\u1112\u1161\u11ab", "<|endoftext|>", "<|", "'S", "I'LL", " ", " ", "  ", "\n", "\t", "\x0b", "\x85", "\u00a0", "\u2003", "\u3000"]
+    parts = [*"aZéÉÜñÅŸŊǅŉǰİıſßΣσς.,'-3²٣\u0301\u0307\u0328\u0344\u212b\ufb01日한", "\u1112\u1161\u11ab", "<|endoftext|>", "<|", "'S", "I'LL", " ", " ", "  ", "\n", "\t", "\x0b", "\x85", "\u00a0", "\u2003", "\u3000"]
     texts = ["".join(parts[k] for k in r.integers(0, len(parts), r.integers(1, 14))) for _ in range(20_000)] + ["3Aİ\u0327", "a İ. b", "Ǆ. ŉ. ẞ,"]
     want = [e[:-1].tolist() for e in encoded(texts, 0)]
     ids, at = tokens.ChunkEncoder(VOCABULARY).encode(texts)
