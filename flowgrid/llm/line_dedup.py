@@ -130,17 +130,20 @@ def candidates(classes: DataFrame, blocks: DataFrame, maybe: Column) -> DataFram
     """
     # before: the word before this one in a class's prefix, -1 if there is none or in a block of several
     ordered = "transform({0}, (w, i) -> named_struct('place', i, 'word', w, 'before', if(i = 0, -1, {0}[i - 1])))"
-    alone = classes.filter(~maybe & (F.size("prefix") > 0)).select(F.col("no").alias("block"), F.col("n").alias("low"), F.col("n").alias("high"), "bits", "more_bits", F.lit(0).alias("radius"), F.expr(f"inline({ordered.format('prefix')})"))
+    alone = classes.filter(~maybe & (F.size("prefix") > 0)).select(F.col("no").alias("block"), F.col("n").alias("low"), F.col("n").alias("high"), "bits", "more_bits", F.lit(0).alias("radius"), F.lit(None).cast("array<int>").alias("all_words"), F.expr(f"inline({ordered.format('prefix')})"))
     words = f"if(size(members) = 1, {ordered.format('members[0].prefix')}, transform(array_distinct(flatten(members.prefix)), w -> named_struct('place', 0, 'word', w, 'before', -1)))"
-    grouped = blocks.select("block", F.expr("array_min(members.n)").alias("low"), F.expr("array_max(members.n)").alias("high"), F.expr("members[0].bits").alias("bits"), F.expr("members[0].more_bits").alias("more_bits"), "radius", F.expr(f"inline({words})"))
-    meet = alone.unionByName(grouped).select("word", "before", "block", "bits", "more_bits", F.expr("shiftleft(cast(low as bigint), 32) | high").alias("size"), F.expr("shiftleft(cast(place as bigint), 8) | radius").alias("at"))
+    grouped = blocks.select("block", F.expr("array_min(members.n)").alias("low"), F.expr("array_max(members.n)").alias("high"), F.expr("members[0].bits").alias("bits"), F.expr("members[0].more_bits").alias("more_bits"), "radius", F.expr("if(size(members) > 1, array_distinct(flatten(members.prefix)), null)").alias("all_words"), F.expr(f"inline({words})"))
+    meet = alone.unionByName(grouped).select("word", "before", "all_words", "block", "bits", "more_bits", F.expr("shiftleft(cast(low as bigint), 32) | high").alias("size"), F.expr("shiftleft(cast(place as bigint), 8) | radius").alias("at"))
     low, high, place, radius = "shiftright({0}.size, 32)", "({0}.size & 4294967295)", "shiftright({0}.at, 8)", "({0}.at & 255)"
     x, y = ([v.format(k) for v in (low, high, place, radius)] for k in "xy")
     need = _overlap(f"({x[0]} + {y[0]})")
-    # a pair with the same word before this one has met there already, at better places
+    # a pair with the same word before this one has met there already, at better places, and so has a block that holds
+    # the other's word before; two blocks of several meet at their least common word
     meets = f"""x.word = y.word and x.block < y.block and (x.before < 0 or x.before != y.before) and {x[0]} * {NUMERATOR} <= {y[1]} * {DENOMINATOR} and {y[0]} * {NUMERATOR} <= {x[1]} * {DENOMINATOR}
         and bit_count(x.bits ^ y.bits) + bit_count(x.more_bits ^ y.more_bits) <= {x[1]} + {y[1]} - 2 * {need} + {x[3]} + {y[3]}
-        and least({x[1]} - {x[2]}, {y[1]} - {y[2]}) >= {need}"""  # every bit that differs is a word that only one set has
+        and least({x[1]} - {x[2]}, {y[1]} - {y[2]}) >= {need}
+        and not coalesce(array_contains(x.all_words, y.before) or array_contains(y.all_words, x.before), false)
+        and coalesce(x.word = array_min(array_intersect(x.all_words, y.all_words)), true)"""  # every bit that differs is a word that only one set has
     return meet.alias("x").join(meet.alias("y"), F.expr(meets)).select(F.col("x.block").alias("x"), F.col("y.block").alias("y")).distinct()
 
 
