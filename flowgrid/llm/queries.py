@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowgrid.llm import chat, crosstok, decontam, langid, licenses, line_dedup, packing, quality, repair, simhash, store, tokens, toxicity
+from flowgrid.llm import chat, crosstok, decontam, langid, licenses, line_dedup, packing, pages, quality, repair, simhash, store, tokens, toxicity
 from flowgrid.llm.shared import fresh_path, table
 
 
@@ -79,12 +79,16 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.repair(table(spark, sf_dir, "conversations"))
 
 
+def op12_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.extract(table(spark, sf_dir, "pages"))
+
+
 def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crosstok.align_tokens(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict:
-    found = (op1_language_id, op2_line_dedup, op3_decontamination, op4_chat_rotation, op5_toxicity, op6_license_scan, op7_token_store, op8_simhash, op9_best_fit_packing, op10_quality_rules, op11_conversation_repair, op13_token_alignment)
+    found = (op1_language_id, op2_line_dedup, op3_decontamination, op4_chat_rotation, op5_toxicity, op6_license_scan, op7_token_store, op8_simhash, op9_best_fit_packing, op10_quality_rules, op11_conversation_repair, op12_html_extraction, op13_token_alignment)
     return {f.__name__: f for f in found}
 
 
