@@ -1,33 +1,44 @@
-"""Power-law against exponential decay of unloading curves, and what follows from it. Every fit is a grouped sum."""
+"""Power-law against exponential decay of unloading curves, and what follows from it. Every fit is a grouped sum, exact in any order."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from flowgrid.functions import exact
 from flowgrid.operators.slices import bin_start
 
 FIRST, BASE, LEAST_WINDOW = 4, 3, 10
 
 
-def ols(y: Column, x: Column) -> dict[str, Column]:
-    """slope, intercept and rmse of a straight line, as aggregates."""
-    residual = F.regr_syy(y, x) - F.regr_sxy(y, x) * F.regr_sxy(y, x) / F.nullif(F.regr_sxx(y, x), F.lit(0.0))
-    return {"slope": F.regr_slope(y, x), "intercept": F.regr_intercept(y, x), "rmse": F.sqrt(F.greatest(residual / F.regr_count(y, x), F.lit(0.0)))}
+#: Errors are compared after rounding, so that equal ones are equal however they were added up.
+PLACES = 12
 
 
-def _finite(x: Column) -> Column:
-    """Spark's decimal-free ln of a positive number, null otherwise."""
+def _log(x: Column) -> Column:
+    """ln of a positive number, null otherwise."""
     return F.when(x > 0, F.ln(x))
 
 
+def _laws(x: str, y: str) -> dict[str, tuple[Column, Column]]:
+    return {"pl": (_log(F.col(y)), _log(F.col(x))), "exp": (_log(F.col(y)), F.col(x))}
+
+
+def _named(tags) -> list[Column]:
+    """alpha, amplitude and rounded error of each law."""
+    return [c for t in tags for c in (F.col(f"slope_{t}").alias(f"alpha_{t}"), F.exp(f"intercept_{t}").alias(f"a_{t}"), F.round(f"rmse_{t}", PLACES).alias(f"err_{t}"))]
+
+
+def ols(points: DataFrame, by: list[str], y: str, x: str) -> DataFrame:
+    """``by``, n, slope, intercept and rmse of a straight line for each group (null slope where x has one value)."""
+    out = exact.fit_lines(points, by, {"": (F.col(y), F.col(x))})
+    return out.select(*by, "n", *[F.col(f"{c}_").alias(c) for c in ("slope", "intercept", "rmse")])
+
+
 def compare_pl_exp(points: DataFrame, by: list[str], x: str = "x", y: str = "y") -> DataFrame:
     """Both fits of ln y for each group: error, amplitude and exponent of either."""
-    pl, ex = ols(_finite(F.col(y)), _finite(F.col(x))), ols(_finite(F.col(y)), F.col(x))
-    out = [F.count("*").alias("n")]
-    for tag, fit in (("pl", pl), ("exp", ex)):
-        out += [fit["slope"].alias(f"alpha_{tag}"), F.exp(fit["intercept"]).alias(f"a_{tag}"), fit["rmse"].alias(f"err_{tag}")]
-    return points.groupBy(*by).agg(*out)
+    laws = _laws(x, y)
+    return exact.fit_lines(points, by, laws).select(*by, "n", *_named(laws))
 
 
 def curve_positions(unload: DataFrame, run: list[str]) -> DataFrame:
@@ -36,22 +47,24 @@ def curve_positions(unload: DataFrame, run: list[str]) -> DataFrame:
     return unload.filter("n_rows > 0").select(*run, i.cast("bigint").alias("i"), "k", (bin_start(F.col("k")) / F.lit(3600.0)).alias("t"), F.col("n_rows").cast("double").alias("n"))
 
 
-def window_points(curve: DataFrame, run: list[str], lag: int = 1, least: int = LEAST_WINDOW) -> DataFrame:
-    """run columns, t0, t (where the window ends), x, y: positions 4 to t0 of every window, values ``lag`` places before.
-
-    A run has 95 bins at most, so the self-join is small for each run.
-    """
+def window_points(curve: DataFrame, run: list[str], lag: int = 1) -> DataFrame:
+    """run columns, i, t, x, y: the hours since position 3 and the value ``lag`` places before, at every position."""
     w = Window.partitionBy(*run)
     x = F.col("t") - F.max(F.when(F.col("i") == BASE, F.col("t"))).over(w)
     y = F.lag("n", lag).over(w.orderBy("i")) if lag else F.col("n")
-    points = curve.select(*run, "i", x.alias("x"), y.alias("y")).filter(F.col("i") >= FIRST)
-    ends = curve.filter(F.col("i") >= least).select(*run, F.col("i").alias("t0"), "t")
-    return points.join(ends, run).filter("i < t0")
+    return curve.select(*run, "i", "t", x.alias("x"), y.alias("y"))
 
 
-def expanding_fits(curve: DataFrame, run: list[str], lag: int = 1) -> DataFrame:
-    """Both fits for every window of every run."""
-    return compare_pl_exp(window_points(curve, run, lag), [*run, "t0", "t"])
+def expanding_fits(curve: DataFrame, run: list[str], lag: int = 1, least: int = LEAST_WINDOW) -> DataFrame:
+    """Both fits for every window of every run: run columns, t0, t (where the window ends), n and the laws' columns.
+
+    A window holds positions 4 to t0 - 1, so its sums are running sums of the run; they are exact, and so the same in any run of the job.
+    """
+    points = window_points(curve, run, lag).filter(F.col("i") >= FIRST)
+    group = Window.partitionBy(*run)
+    laws = _laws("x", "y")
+    fitted = exact.running_lines(points, group, group.orderBy("i").rowsBetween(Window.unboundedPreceding, -1), laws)
+    return fitted.filter(F.col("i") >= least).select(*run, F.col("i").alias("t0"), "t", "n", *_named(laws))
 
 
 def jam_decision(runs: DataFrame, fits: DataFrame, run: list[str]) -> DataFrame:
@@ -62,8 +75,8 @@ def jam_decision(runs: DataFrame, fits: DataFrame, run: list[str]) -> DataFrame:
     pl = F.col("err_pl") <= F.col("err_exp")
     best = fits.groupBy(*run).agg(
         F.bool_or(pl).alias("jam"),
-        F.min(F.when(pl, F.struct(F.round("err_pl", 12).alias("e"), "t", F.col("alpha_pl").alias("a")))).alias("b_pl"),
-        F.min(F.when(~pl, F.struct(F.round("err_exp", 12).alias("e"), "t", F.col("alpha_exp").alias("a")))).alias("b_exp"),
+        F.min(F.when(pl, F.struct(F.col("err_pl").alias("e"), "t", F.col("alpha_pl").alias("a")))).alias("b_pl"),
+        F.min(F.when(~pl, F.struct(F.col("err_exp").alias("e"), "t", F.col("alpha_exp").alias("a")))).alias("b_exp"),
     )
     b = F.when(F.col("jam"), F.col("b_pl")).otherwise(F.col("b_exp"))
     verdict = F.when(F.col("jam").isNull(), "undecided").when(F.col("jam"), "jam").otherwise("no jam")
@@ -103,9 +116,11 @@ def fitted_curve(curve: DataFrame, fits: DataFrame, run: list[str]) -> DataFrame
 def windowed_alpha(unload: DataFrame, run: list[str], start: int = 28, least: int = 4) -> DataFrame:
     """run columns, k, alpha, error: exponential fits from bin ``start`` on over windows of ``least`` bins or more, the one of least error."""
     rows = unload.filter(F.col("k") >= start).filter("n_rows > 0").select(*run, "k", ((F.col("k") - start + 1) / F.lit(4.0)).alias("x"), F.col("n_rows").cast("double").alias("y"))
-    ends = rows.select(*run, F.col("k").alias("end")).filter(F.col("end") >= start + least - 1)
-    fit = compare_pl_exp(rows.join(ends, run).filter("k <= end"), [*run, "end"]).filter(F.col("n") >= least)
-    best = fit.groupBy(*run).agg(F.min(F.struct(F.round("err_exp", 12).alias("e"), "end", "alpha_exp")).alias("b"))
+    group = Window.partitionBy(*run)
+    law = {"exp": _laws("x", "y")["exp"]}
+    fit = exact.running_lines(rows, group, group.orderBy("k").rowsBetween(Window.unboundedPreceding, 0), law)
+    fit = fit.filter((F.col("n") >= least) & (F.col("k") >= start + least - 1)).select(*run, F.col("k").alias("end"), *_named(law))
+    best = fit.groupBy(*run).agg(F.min(F.struct(F.col("err_exp").alias("e"), "end", "alpha_exp")).alias("b"))
     return best.select(*run, F.col("b.end").alias("k"), F.col("b.alpha_exp").alias("alpha"), F.col("b.e").alias("error"))
 
 
@@ -114,8 +129,7 @@ def beta(unload: DataFrame, critical: DataFrame) -> DataFrame:
     rows = unload.join(critical, "uci10").filter("r > r_critical and n_rows > 0")
     e = (F.col("r") * F.col("r") - F.col("r_critical") * F.col("r_critical")) / (F.col("r_critical") * F.col("r_critical"))
     rows = rows.select("uci10", "k", F.ln(e.cast("double")).alias("x"), F.ln(F.col("n_rows").cast("double")).alias("y"))
-    line = ols(F.col("y"), F.col("x"))
-    return rows.groupBy("uci10", "k").agg(F.count("*").alias("n"), line["slope"].alias("beta"), line["rmse"].alias("error")).filter("n > 1")
+    return ols(rows, ["uci10", "k"], "y", "x").filter("n > 1").select("uci10", "k", "n", F.col("slope").alias("beta"), F.col("rmse").alias("error"))
 
 
 def nonlinear_fit(points: DataFrame, by: str, model: str, steps: int = 60) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from flowgrid.functions import exact
+
 
 def flow_features(tij: DataFrame, pairs: DataFrame, cells: DataFrame) -> DataFrame:
     """origin, destination, w (people), mi, mj (populations), d (km) of all flows between known cells."""
@@ -27,16 +29,11 @@ def usable_share(features: DataFrame) -> DataFrame:
 def gravity_fit(features: DataFrame, by: list[str] | None = None) -> DataFrame:
     """logk, alpha, gamma, inverse_d0 (and n) of ln w on ln mi, ln mj and d, for each group.
 
-    One pass makes the centred sums of products; the three slopes follow by elimination on them.
+    Values are placed between the ends of their range as whole numbers, whose products add up exactly; the three slopes follow by
+    elimination on the centred sums, so equal rows give equal bits in any order.
     """
-    y, xs = F.ln("w"), {"a": F.ln("mi"), "b": F.ln("mj"), "c": F.col("d")}
-    terms = xs | {"y": y}
-    names, aggregates = list(terms), [F.count("*").alias("n")] + [F.avg(v).alias(f"m{k}") for k, v in terms.items()]
-    for i, p in enumerate(names):
-        for q in names[i:]:
-            if (p, q) != ("y", "y"):
-                aggregates.append((F.covar_pop(terms[p], terms[q])).alias(p + q))
-    s = usable(features).groupBy(*(by or [])).agg(*aggregates)
+    terms = {"a": F.ln("mi"), "b": F.ln("mj"), "c": F.col("d"), "y": F.ln("w")}
+    s = exact.moments(usable(features), by or [], terms)
     # eliminate a, then b
     s = s.withColumns({"f1": F.try_divide("ab", "aa"), "f2": F.try_divide("ac", "aa")})
     s = s.withColumns({"bb1": F.expr("bb - f1 * ab"), "bc1": F.expr("bc - f1 * ac"), "by1": F.expr("`by` - f1 * ay"), "cc1": F.expr("cc - f2 * ac"), "cy1": F.expr("cy - f2 * ay")})

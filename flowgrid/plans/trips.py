@@ -262,8 +262,8 @@ def t03(spark, d):
 
 @query("f01_ols", "SELECT route % 10 AS g, round(regr_slope(kmh, length), 9) AS slope, round(regr_intercept(kmh, length), 6) AS intercept FROM traj GROUP BY 1")
 def f01(spark, d):
-    line = fits.ols(F.col("kmh"), F.col("length"))
-    return traj(spark, d).groupBy((F.col("route") % 10).alias("g")).agg(F.round(line["slope"], 9).alias("slope"), F.round(line["intercept"], 6).alias("intercept"))
+    out = fits.ols(traj(spark, d).withColumn("g", F.col("route") % 10), ["g"], "kmh", "length")
+    return out.select("g", F.round("slope", 9).alias("slope"), F.round("intercept", 6).alias("intercept"))
 
 
 CURVE_TAU = """SELECT uci10, r, min(CASE WHEN h > top AND f <= peak / exp(1.0::double) THEN h END) - min(top) AS tau FROM (

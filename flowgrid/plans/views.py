@@ -65,9 +65,9 @@ DERIVED = {
         (SELECT uci10, r, ((last_time_simulated + 1) * 95 - 1) // 86400 AS k, count(*) AS n_rows, count(DISTINCT p) AS n_people FROM traj JOIN runs USING (p)
          WHERE time_departure >= 25200 AND time_departure < 28800 GROUP BY ALL) x ON x.uci10 = g.uci10 AND x.r = g.r AND x.k = s.k AND s.k < 94""",
     "fits": """SELECT uci10, r, w.t0, w.t AS t, count(*) AS n, regr_slope(ln(y), ln(x)) AS alpha_pl, exp(regr_intercept(ln(y), ln(x))) AS a_pl,
-        sqrt(greatest((regr_syy(ln(y), ln(x)) - pow(regr_sxy(ln(y), ln(x)), 2) / regr_sxx(ln(y), ln(x))) / count(*), 0)) AS err_pl,
+        round(sqrt(greatest((regr_syy(ln(y), ln(x)) - pow(regr_sxy(ln(y), ln(x)), 2) / regr_sxx(ln(y), ln(x))) / count(*), 0)), 12) AS err_pl,
         regr_slope(ln(y), x) AS alpha_exp, exp(regr_intercept(ln(y), x)) AS a_exp,
-        sqrt(greatest((regr_syy(ln(y), x) - pow(regr_sxy(ln(y), x), 2) / regr_sxx(ln(y), x)) / count(*), 0)) AS err_exp
+        round(sqrt(greatest((regr_syy(ln(y), x) - pow(regr_sxy(ln(y), x), 2) / regr_sxx(ln(y), x)) / count(*), 0)), 12) AS err_exp
         FROM (SELECT uci10, r, i, t - max(CASE WHEN i = 3 THEN t END) OVER (PARTITION BY uci10, r) AS x, lag(n) OVER (PARTITION BY uci10, r ORDER BY i) AS y FROM curve) c
         JOIN (SELECT uci10, r, i AS t0, t FROM curve WHERE i >= 10) w USING (uci10, r) WHERE c.i >= 4 AND c.i < w.t0 GROUP BY ALL""",
     "curve": """SELECT uci10, r, cast(row_number() OVER (PARTITION BY uci10, r ORDER BY k) - 1 AS BIGINT) AS i, k, cast(cast(floor(k * 86400 / 95.0) AS BIGINT) AS DOUBLE) / 3600 AS t, cast(n_rows AS DOUBLE) AS n FROM unload WHERE n_rows > 0""",
