@@ -96,19 +96,6 @@ def rings(points: DataFrame, center: tuple[float, float], radius: float, n: int,
     return points.withColumn("r_km", r).withColumn("ring", F.when(ring < n, ring))
 
 
-def boundary_class(cells: DataFrame, outline: list[tuple[float, float]]) -> DataFrame:
-    """Adds position (centroid in the convex outline, corners in order) and relation_to_line (a corner in, another out)."""
-    def inside(x: Column, y: Column) -> Column:
-        test = F.lit(True)
-        for (px, py), (qx, qy) in zip(outline, outline[1:] + outline[:1]):
-            test = test & ((F.lit(qx - px) * (y - F.lit(py)) - F.lit(qy - py) * (x - F.lit(px))) >= 0)
-        return test
-
-    corners = [inside(F.col(x), F.col(y)).cast("int") for x in ("minx", "maxx") for y in ("miny", "maxy")]
-    n = sum(corners[1:], corners[0])
-    return cells.withColumns({"position": F.when(inside(F.col("cx"), F.col("cy")), "inside").otherwise("outside"), "relation_to_line": F.when((n > 0) & (n < 4), "edge").otherwise("none")})
-
-
 def area_overlap(source: DataFrame, target: DataFrame, tile: float) -> DataFrame:
     """idx, population: what each target box gets of the source boxes' population by shared area.
 
@@ -125,21 +112,6 @@ def area_overlap(source: DataFrame, target: DataFrame, tile: float) -> DataFrame
     return pairs.groupBy(F.col("idx_t").alias("idx")).agg(F.sum(F.col("population_s") * share).alias("population"))
 
 
-def point_in_polygon(points: DataFrame, polygons: DataFrame, tile: float, x: str = "x", y: str = "y") -> DataFrame:
-    """Points (all columns) with ``polygon``, the id of a polygon (columns polygon, ring: array of (x, y)) that holds them.
-
-    Polygons are listed by the tiles their bounds touch; a point asks those of its tile and casts a ray. A point in
-    several polygons comes several times.
-    """
-    xs, ys = F.transform("ring", lambda p: p["x"]), F.transform("ring", lambda p: p["y"])
-    span = lambda v: F.sequence(F.floor(F.array_min(v) / F.lit(tile)).cast("bigint"), F.floor(F.array_max(v) / F.lit(tile)).cast("bigint"))
-    listed = polygons.select("polygon", "ring", span(xs).alias("tx"), span(ys).alias("ty")).withColumn("tx", F.explode("tx")).withColumn("ty", F.explode("ty"))
-    at = points.withColumns({"tx": F.floor(F.col(x) / F.lit(tile)).cast("bigint"), "ty": F.floor(F.col(y) / F.lit(tile)).cast("bigint")})
-    crosses = F.expr(f"""aggregate(transform(ring, (p, k) -> named_struct('a', p, 'b', ring[(k + 1) % size(ring)])), 0,
-        (n, s) -> n + if((s.a.y > {y}) <> (s.b.y > {y}) and {x} < (s.b.x - s.a.x) * ({y} - s.a.y) / nullif(s.b.y - s.a.y, 0) + s.a.x, 1, 0)) % 2 = 1""")
-    return at.join(listed, ["tx", "ty"]).filter(crosses).drop("tx", "ty", "ring")
-
-
 def metric_grid(polygons: DataFrame, size: float) -> DataFrame:
     """component, i, j, x, y, inside: squares of ``size`` metres over the polygons' common bounds, once for each component.
 
@@ -158,6 +130,8 @@ def metric_grid(polygons: DataFrame, size: float) -> DataFrame:
     e = size * 1e-9
     corner = F.explode(F.array(*[F.struct((F.col("x") + a).alias("px"), (F.col("y") + b).alias("py")) for a in (e, size - e) for b in (e, size - e)])).alias("c")
     corners = squares.select("i", "j", corner).select("i", "j", "c.px", "c.py")
+    from flowgrid.operators.polygons import point_in_polygon
+
     held = point_in_polygon(corners, shapes.select(F.col("component").alias("polygon"), "ring"), 10 * size, "px", "py")
     inside = held.groupBy("i", "j", "polygon").count().filter("count = 4").select("i", "j", F.lit(True).alias("holds")).distinct()
     rows = squares.join(inside, ["i", "j"], "left").crossJoin(F.broadcast(shapes.select("component").distinct()))  # a city's components

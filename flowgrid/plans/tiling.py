@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from flowgrid.operators import hist, tiling, trajectory
+from flowgrid.operators import hist, polygons, tiling, trajectory
 from flowgrid.plans.catalogue import query
 from flowgrid.plans.trips import rounded
 from flowgrid.plans.views import view
@@ -94,15 +94,30 @@ def g08(spark, d):
     return ringed(spark, d).groupBy("ring").agg(F.sum("population").alias("population"), F.count("*").alias("cells"))
 
 
-OUTLINE = [(-71.205, 42.195), (-71.125, 42.195), (-71.125, 42.275), (-71.205, 42.275)]
-_IN = "({0} >= -71.205 AND {0} <= -71.125 AND {1} >= 42.195 AND {1} <= 42.275)"
-_CORNERS = " + ".join(_IN.format(f"round({x}, 9)", f"round({y}, 9)") + "::INT" for x in ("minx", "maxx") for y in ("miny", "maxy"))
+# A concave outline; all but its fourth corner are corners of its hull.
+OUTLINE = [(-71.2031, 42.1967), (-71.1263, 42.2011), (-71.1312, 42.2717), (-71.1644, 42.2313), (-71.1987, 42.2689)]
 
 
-@query("g09_boundary_class", f"SELECT idx, CASE WHEN {_IN.format('minx + 0.01', 'miny + 0.01')} THEN 'inside' ELSE 'outside' END AS position, CASE WHEN {_CORNERS} BETWEEN 1 AND 3 THEN 'edge' ELSE 'none' END AS relation_to_line FROM boxes")
+def _sides(corners) -> str:
+    return "(VALUES " + ", ".join(f"({a[0]}::double, {a[1]}::double, {b[0]}::double, {b[1]}::double)" for a, b in zip(corners, corners[1:] + corners[:1])) + ") AS s(px, py, qx, qy)"
+
+
+# A segment and a box lie apart if their bounds do or all corners are on one side of its line.
+_SIDE = "(qx - px) * ({1} - py) - (qy - py) * ({0} - px)"
+_SIDES = ", ".join(_SIDE.format(x, y) for x in ("minx", "maxx") for y in ("miny", "maxy"))
+_MEET = f"least(px, qx) <= maxx AND greatest(px, qx) >= minx AND least(py, qy) <= maxy AND greatest(py, qy) >= miny AND least({_SIDES}) <= 0 AND greatest({_SIDES}) >= 0"
+_HELD = "count(*) FILTER ((py > cy) <> (qy > cy) AND cx < (qx - px) * (cy - py) / (qy - py) + px) % 2 = 1"
+G09_SQL = f"""WITH b AS (SELECT *, (minx + maxx) / 2 AS cx, (miny + maxy) / 2 AS cy FROM boxes),
+    met AS (SELECT idx, bool_or({_MEET}) OR {_HELD} AS met FROM b CROSS JOIN {_sides(OUTLINE)} GROUP BY idx),
+    crossed AS (SELECT idx, bool_or({_MEET.replace("<=", "<").replace(">=", ">")}) AS crossed FROM b CROSS JOIN {_sides(OUTLINE[:3] + OUTLINE[4:])} GROUP BY idx)
+    SELECT idx, CASE WHEN met THEN 'inside' ELSE 'outside' END AS position, CASE WHEN crossed THEN 'edge' ELSE 'none' END AS relation_to_line FROM met JOIN crossed USING (idx)"""
+
+
+@query("g09_boundary_class", G09_SQL)
 def g09(spark, d):
-    boxes = view(spark, d, "boxes").withColumns({"cx": F.col("minx") + 0.01, "cy": F.col("miny") + 0.01})
-    return tiling.boundary_class(boxes, OUTLINE).select("idx", "position", "relation_to_line")
+    ring = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in OUTLINE])
+    outline = spark.range(1).select(F.col("id").alias("polygon"), ring.alias("ring"))
+    return polygons.boundary_class(view(spark, d, "boxes"), outline, SIZE).select("idx", "position", "relation_to_line")
 
 
 @query("g10_convex_hull")
@@ -154,13 +169,42 @@ def j12(spark, d):
     return tiling.area_overlap(s, b, SIZE).select("idx", F.round("population", 4).alias("population"))
 
 
+# Hexagons of radius 0.013 with corners to the left and right; the width at a height falls from twice to once the radius. The shared area is
+# the width's integral over the height, and between the heights where it changes its course it is a trapezoid.
+_R, _H = "0.013::double", "(0.013::double * sqrt(3) / 2)"
+_HALF = f"({_R} - abs(y - hy) / {_H} * {_R} / 2)"
+_TURNS = ", ".join(["lo", "hi", "hy", *[f"hy {s} {d} * 2 * {_H} / {_R}" for s in "+-" for e in ("minx", "maxx") for d in (f"(hx + {_R} - {e})", f"({e} - hx + {_R})")]])
+HEX_SQL = f"""WITH h AS (SELECT idx AS source, (minx + maxx) / 2 + 0.0071 AS hx, (miny + maxy) / 2 + 0.0043 AS hy, population AS people FROM boxes),
+    pair AS (SELECT idx, source, people, hx, hy, minx, maxx, greatest(miny, hy - {_H}) AS lo, least(maxy, hy + {_H}) AS hi FROM boxes JOIN h ON h.hx - {_R} < maxx AND h.hx + {_R} > minx AND h.hy - {_H} < maxy AND h.hy + {_H} > miny),
+    turn AS (SELECT *, unnest([{_TURNS}]) AS raw FROM pair),
+    height AS (SELECT DISTINCT * EXCLUDE (raw), least(greatest(raw, lo), hi) AS y FROM turn),
+    width AS (SELECT *, greatest(least(hx + {_HALF}, maxx) - greatest(hx - {_HALF}, minx), 0) AS w FROM height),
+    slab AS (SELECT *, (y - lag(y) OVER p) * (w + lag(w) OVER p) / 2 AS area FROM width WINDOW p AS (PARTITION BY idx, source ORDER BY y))
+    SELECT idx, round(sum(people * area) / (1.5::double * sqrt(3) * {_R} * {_R}), 4) AS population FROM slab WHERE people > 0 GROUP BY idx HAVING sum(area) > 1e-12"""
+
+
+def hexagons(boxes, radius: float):
+    """The boxes' centres, moved a little, as hexagons."""
+    x, y = (F.col("minx") + F.col("maxx")) / 2 + 0.0071, (F.col("miny") + F.col("maxy")) / 2 + 0.0043
+    turns = [(1.0, 0.0), (0.5, 0.75**0.5), (-0.5, 0.75**0.5), (-1.0, 0.0), (-0.5, -(0.75**0.5)), (0.5, -(0.75**0.5))]
+    return boxes.select("idx", "population", F.array(*[F.struct((x + radius * a).alias("x"), (y + radius * b).alias("y")) for a, b in turns]).alias("ring"))
+
+
+@query("j12_hexagons", HEX_SQL)
+def j12_hexagons(spark, d):
+    b = view(spark, d, "boxes")
+    corner = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
+    tracts = b.select("idx", F.array(corner("minx", "miny"), corner("maxx", "miny"), corner("maxx", "maxy"), corner("minx", "maxy")).alias("ring"))
+    return rounded(polygons.polygon_overlap(hexagons(b, 0.013), tracts, SIZE), 4)
+
+
 @query("j11_point_in_polygon", "SELECT index, idx AS polygon FROM (SELECT index, x + 0.00003::double AS px, y + 0.00005::double AS py FROM nodes) n JOIN boxes ON px - minx + py - miny < 0.02 AND px > minx AND py > miny")
 def j11(spark, d):
     corner = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
     triangles = view(spark, d, "boxes").select(F.col("idx").alias("polygon"), F.array(corner("minx", "miny"), corner("maxx", "miny"), corner("minx", "maxy")).alias("ring"))
     # moved off the triangles' edges
     n = view(spark, d, "nodes").select("index", (F.col("x") + 0.00003).alias("x"), (F.col("y") + 0.00005).alias("y"))
-    return tiling.point_in_polygon(n, triangles, SIZE).select("index", "polygon")
+    return polygons.point_in_polygon(n, triangles, SIZE).select("index", "polygon")
 
 
 @query("m10_polar", "SELECT idx, round(sqrt(pow(cx + 71.161::double, 2) + pow(cy - 42.241::double, 2)), 9) AS r, round(atan((cy - 42.241::double) / (cx + 71.161::double)), 6) AS theta FROM cells")
