@@ -2,40 +2,84 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowgrid.functions.storage import discard, materialize
 
-ROUNDS = 60
+#: So few edges are finished by one task, whose memory they fit whatever the graph was.
+LAST_EDGES = 100_000
+
+
+def _finish(batches):
+    """The least node of the component of each end of all edges, by union and find."""
+    parent: dict = {}
+
+    def find(x):
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    kind, nodes = None, {}
+    for b in batches:
+        kind = b.schema.field("a").type
+        for row in zip(*(b.column(c).to_pylist() for c in ("a", "b"))):
+            p, q = (tuple(_flat(x)) for x in row)
+            for key, x in zip((p, q), row):
+                if key not in parent:
+                    parent[key], nodes[key] = key, x
+            p, q = find(p), find(q)
+            if p != q:
+                parent[max(p, q)] = min(p, q)
+    if nodes:
+        yield pa.RecordBatch.from_arrays([pa.array(list(nodes.values()), kind), pa.array([nodes[find(k)] for k in nodes], kind)], ["n", "m"])
+
+
+def _flat(x):
+    """A node's values in order, however they nest."""
+    if isinstance(x, dict):
+        for v in x.values():
+            yield from _flat(v)
+    else:
+        yield x
 
 
 def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
-    """node and component (one of its nodes) for every node of an undirected edge list.
+    """node and component (one of its nodes) for every node of an undirected edge list, stored.
 
-    Every round each node joins the least of its neighbours in a hashed order, and edges are rewritten between the
-    nodes that were joined, so that the graph shrinks by a constant factor a round, cliques and stars at once.
-    Nodes may be of any type that can be ordered. Edges with a null end are left out, self-loops give a component of one;
-    repeated edges and an empty list are fine.
+    Every round each node joins the least of its neighbours in a hashed order, another one each round, and edges are rewritten
+    between the nodes that were joined; rounds go on until no edge is left or so few are that one task can finish them. Nodes may
+    be of any type that can be ordered. Edges with a null end are left out, self-loops give a component of one; repeated edges and
+    an empty list are fine.
     """
-    key = lambda c: F.struct(F.xxhash64(c).alias("h"), F.col(c).alias("id"))
-    rows = edges.select(key(u).alias("a"), key(v).alias("b"), F.col(u).isNotNull().alias("x"), F.col(v).isNotNull().alias("y"))
-    rows = rows.filter("x and y").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    now, maps = materialize(rows.distinct(), "edges"), []
-    for _ in range(ROUNDS):
+    key = lambda c, seed: F.struct(F.xxhash64(F.lit(seed), c).alias("h"), F.col(c).alias("id"))
+    rows = edges.select(F.col(u).alias("u"), F.col(v).alias("v")).filter("u is not null and v is not null").select(key("u", 0).alias("a"), key("v", 0).alias("b"))
+    now, maps = materialize(rows.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges"), []
+    while not now.isEmpty():
+        kind = now.schema["a"].dataType.simpleString()
+        if now.count() <= LAST_EDGES:
+            maps.append(materialize(now.coalesce(1).mapInArrow(_finish, f"n {kind}, m {kind}"), "chosen"))
+            break
         # each edge row tells both its ends; counted up before the shuffle
         ends = now.select(F.explode(F.array(F.struct(F.col("a").alias("n"), F.col("a").alias("m")), F.struct(F.col("b").alias("n"), F.col("a").alias("m")))).alias("e"))
         chosen = materialize(ends.groupBy("e.n").agg(F.min("e.m").alias("m")), "chosen")
         maps.append(chosen)
         left = now.filter("a != b").join(chosen.select(F.col("n").alias("a"), F.col("m").alias("ma")), "a").join(chosen.select(F.col("n").alias("b"), F.col("m").alias("mb")), "b")
-        left = left.filter("ma != mb").select(F.least("ma", "mb").alias("a"), F.greatest("ma", "mb").alias("b")).distinct()
-        old, now = now, materialize(left, "edges")
+        left = left.filter("ma != mb").select(F.col("ma.id").alias("u"), F.col("mb.id").alias("v"))
+        seed = len(maps)
+        left = left.select(key("u", seed).alias("a"), key("v", seed).alias("b"))
+        old, now = now, materialize(left.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
         discard(old)
-        if now.isEmpty():
-            break
-    else:
-        raise RuntimeError(f"components: no end after {ROUNDS} rounds")
-    out = maps[0].select(F.col("n").alias("node"), F.col("m").alias("at"))
+    discard(now)
+    if not maps:
+        ends = rows.select(F.col("a.id").alias("node"), F.col("b.id").alias("component"))
+        return ends.limit(0)
+    out = maps[0].select(F.col("n.id").alias("node"), F.col("m.id").alias("at"))
     for later in maps[1:]:
-        out = out.join(later.select(F.col("n").alias("at"), "m"), "at", "left").select("node", F.coalesce("m", "at").alias("at"))
-    return out.select(F.col("node.id").alias("node"), F.col("at.id").alias("component"))
+        out = out.join(later.select(F.col("n.id").alias("at"), F.col("m.id").alias("m")), "at", "left").select("node", F.coalesce("m", "at").alias("at"))
+    stored = materialize(out.select("node", F.col("at").alias("component")), "components")
+    for m in maps:
+        discard(m)
+    return stored

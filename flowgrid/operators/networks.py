@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowgrid.functions.storage import discard, materialize
+from flowgrid.operators import merging
 from flowgrid.operators.components import components
 
 
@@ -28,10 +29,9 @@ def giant_sizes(edges: DataFrame, by: list[str], most: int = 2) -> DataFrame:
     return nodes.join(links, [*by, "component"]).withColumn("rank", rank).filter(F.col("rank") <= most)
 
 
-def percolation_sweep(classes: DataFrame, thresholds: list[float], k: int) -> DataFrame:
-    """q, rank, component, nodes, links: the two largest components of the roads with a ratio under q, for each threshold."""
-    q = F.explode(F.array(*[F.lit(float(x)) for x in thresholds]))
-    return giant_sizes(classes.filter(F.col("k") == k).withColumn("q", q).filter("ratio < q").select("q", "u", "v"), ["q"])
+def percolation_sweep(classes: DataFrame, thresholds: list[float], by: list[str]) -> DataFrame:
+    """``by``, q, rank, component, nodes, links: the two largest components of the roads with a ratio under q, for each group and threshold."""
+    return merging.largest_at(merging.merge_tree(classes, by, "ratio"), by, thresholds)
 
 
 def is_connected(edges: DataFrame) -> DataFrame:

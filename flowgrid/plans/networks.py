@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from flowgrid.operators import centrality, field, networks, roads, slices
+from flowgrid.operators import centrality, field, merging, networks, roads, slices
 from flowgrid.plans.catalogue import query
 from flowgrid.plans.flows import pairs
 from flowgrid.plans.tiling import LATTICE, lattice
@@ -113,12 +113,26 @@ GIANTS = f"nd AS (SELECT k, component, count(*) AS nodes FROM comp GROUP BY ALL)
 for _n in ("c03_giant_sizes", "t06_two_largest"):
     query(_n, f"WITH RECURSIVE {CLOSED}, {GIANTS} SELECT k, rank, component, nodes, links FROM ranked WHERE rank <= 2")(lambda spark, d: networks.giant_sizes(moderate(spark, d), ["k"]))
 
-SWEPT = f"lk AS (SELECT DISTINCT q AS k, u, v FROM ({CLASSED}) c CROSS JOIN (SELECT unnest(range(1, 21)) / 20.0::DOUBLE AS q) z WHERE ratio < q AND c.k = 34), {LINKED}"
+# the twenty steps of a line from 0 to 1, at the slice of the peak
+SWEPT = f"lk AS (SELECT DISTINCT q AS k, u, v FROM ({CLASSED}) c CROSS JOIN (SELECT unnest(range(20)) / 19.0::DOUBLE AS q) z WHERE ratio < q AND c.k = 34), {LINKED}"
+THRESHOLDS = [k / 19 for k in range(20)]
 
 
-@query("c04_percolation_sweep", f"WITH RECURSIVE {SWEPT}, {GIANTS} SELECT k AS q, rank, component, nodes, links FROM ranked WHERE rank <= 2")
+@query("c04_percolation_sweep", f"WITH RECURSIVE {SWEPT}, {GIANTS} SELECT round(k, 9) AS q, rank, component, nodes, links FROM ranked WHERE rank <= 2")
 def c04(spark, d):
-    return networks.percolation_sweep(classes(spark, d), [k / 20 for k in range(1, 21)], 34)
+    return networks.percolation_sweep(classes(spark, d).filter("k = 34"), THRESHOLDS, ["k"]).select(F.round("q", 9).alias("q"), "rank", "component", "nodes", "links")
+
+
+@query("c04_merge_tree", f"WITH RECURSIVE {CLOSED}, {GIANTS} SELECT k, rank, component, nodes, links FROM ranked WHERE rank <= 2")
+def c04_merge_tree(spark, d):
+    """The moderate roads' two largest components of every slice, read from the merge trees of all slices."""
+    return networks.percolation_sweep(classes(spark, d), [0.5], ["k"]).drop("q")
+
+
+@query("c04_second_peak")
+def c04_second_peak(spark, d):
+    out = merging.second_peak(classes(spark, d), ["k"], "ratio")
+    return out.select("k", F.round("threshold", 9).alias("threshold"), "second", "largest")
 
 
 @query("c05_largest_scc", "WITH RECURSIVE dir AS (SELECT DISTINCT u, v FROM edges WHERE u <> v), rec AS (SELECT u AS root, u AS node FROM (SELECT u FROM dir UNION SELECT v FROM dir) x UNION SELECT rec.root, dir.v FROM rec JOIN dir ON dir.u = rec.node), comp AS (SELECT a.root AS node, min(a.node) AS component FROM rec a JOIN rec b ON b.root = a.node AND b.node = a.root GROUP BY a.root), best AS (SELECT component FROM comp GROUP BY component ORDER BY count(*) DESC, component LIMIT 1) SELECT node, component FROM comp JOIN best USING (component)")
