@@ -80,11 +80,20 @@ def center_of_mass(cells: DataFrame, center: tuple[float, float]) -> DataFrame:
     return cells.agg(F.avg(F.col("population") * (F.col("cx") - center[0])).alias("x"), F.avg(F.col("population") * (F.col("cy") - center[1])).alias("y"))
 
 
-def inhabited_stats(cells: DataFrame) -> DataFrame:
+def inhabited_stats(cells: DataFrame, flows: DataFrame | None = None) -> DataFrame:
+    """One row: mean population of inhabited and of all cells, cells above either, share of inhabited cells.
+
+    ``flows`` (origin, destination, number_people) adds flow_share: pairs of cells with people over all ordered pairs. Null populations count as
+    uninhabited cells; without cells means and shares are null.
+    """
     p = F.col("population")
     lives = F.when(p > 0, p)
     means = cells.agg(F.avg(lives).alias("mean_inhabited"), F.avg(p).alias("mean_all"))
-    return cells.crossJoin(F.broadcast(means)).agg(  # one row
+    out = cells.crossJoin(F.broadcast(means)).agg(  # one row
         F.first("mean_inhabited").alias("mean_inhabited"), F.first("mean_all").alias("mean_all"),
-        F.count_if(p > F.col("mean_inhabited")).alias("above_inhabited"), F.count_if(p > F.col("mean_all")).alias("above_all"), (F.count_if(p > 0) / F.count("*")).alias("inhabited_share"),
+        F.count_if(p > F.col("mean_inhabited")).alias("above_inhabited"), F.count_if(p > F.col("mean_all")).alias("above_all"), F.try_divide(F.count_if(p > 0), F.count("*")).alias("inhabited_share"), F.count("*").alias("cells"),
     )
+    if flows is None:
+        return out.drop("cells")
+    used = flows.filter("number_people > 0").agg(F.count_distinct("origin", "destination").alias("used"))
+    return out.crossJoin(F.broadcast(used)).withColumn("flow_share", F.try_divide("used", F.col("cells") * F.col("cells"))).drop("cells", "used")  # one row

@@ -132,39 +132,6 @@ def beta(unload: DataFrame, critical: DataFrame) -> DataFrame:
     return ols(rows, ["uci10", "k"], "y", "x").filter("n > 1").select("uci10", "k", "n", F.col("slope").alias("beta"), F.col("rmse").alias("error"))
 
 
-def nonlinear_fit(points: DataFrame, by: str, model: str, steps: int = 60) -> DataFrame:
-    """by, a, b, loss: least squares of y = a * x^b ('power') or a * exp(b * x) ('exponential') on normalised y, one fit a series.
-
-    A series is a histogram of a fixed number of bins; damped Gauss-Newton from the log-linear solution.
-    """
-    import numpy as np
-    import pandas as pd
-
-    def fit(pdf):
-        p = pdf[(pdf.y > 0) & ((pdf.x > 0) | (model == "exponential"))]
-        key = pdf[by].iloc[0]
-        if len(p) < 2 or p.x.nunique() < 2:
-            return pd.DataFrame({by: [key], "a": [None], "b": [None], "loss": [None]})
-        x, y = p.x.to_numpy(float), p.y.to_numpy(float) / p.y.max()
-        u = np.log(x) if model == "power" else x
-        b, a = np.polyfit(u, np.log(y), 1)
-        a, damp = np.exp(a), 1e-3
-        loss = ((a * np.exp(b * u) - y) ** 2).sum()
-        for _ in range(steps):
-            f = np.exp(b * u)
-            jac, res = np.stack([f, a * f * u], 1), y - a * f
-            h = jac.T @ jac
-            step = np.linalg.solve(h + damp * np.diag(np.diag(h) + 1e-12), jac.T @ res)
-            new = ((a + step[0]) * np.exp((b + step[1]) * u) - y) ** 2
-            if new.sum() < loss:
-                a, b, loss, damp = a + step[0], b + step[1], new.sum(), damp / 3
-            else:
-                damp *= 4
-        return pd.DataFrame({by: [key], "a": [a], "b": [b], "loss": [loss]})
-
-    return points.select(F.col(by).cast("long").alias(by), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).groupBy(by).applyInPandas(fit, f"{by} long, a double, b double, loss double")
-
-
 # Critical exponents of directed percolation in 1, 2, 3 and 4 or more dimensions: beta, nu across, nu along.
 DIRECTED_PERCOLATION = [("1", 0.276486, 1.096854, 1.733847), ("2", 0.584, 0.734, 1.295), ("3", 0.81, 0.581, 1.105), ("mean field", 1.0, 0.5, 1.0)]
 

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from flowgrid.functions import curves
-from flowgrid.functions.storage import fresh_path
-from flowgrid.operators import centrality, demand, fits, gravity, slices, tiling
+from flowgrid.functions.storage import fresh_path, materialize
+from flowgrid.operators import centrality, demand, fits, gravity, nonlinear, slices, tiling
 from flowgrid.plans.catalogue import query
 from flowgrid.plans.flows import pairs
 from flowgrid.plans.tiling import LOCATED, located
@@ -186,13 +186,20 @@ def f05(spark, d):
     return out.select(*RUN, "t0", "i", F.round("n", 6).alias("n"), F.round("fitted", 3).alias("fitted"))
 
 
-CRITICAL = "SELECT uci10, min(r) AS r_critical FROM runs GROUP BY uci10"
+CRITICAL = f"SELECT uci10, min(r) FILTER (verdict = 'jam') AS r_critical FROM ({DECIDED}) GROUP BY uci10"
+
+
+def critical_rates(spark, d, curve=None):
+    """The least rate of a jammed run for each uci; where no run is jammed nothing is critical."""
+    return decisions(spark, d, curve).groupBy("uci10").agg(F.min(F.when(F.col("verdict") == "jam", F.col("r"))).alias("r_critical"))
+
+
 BETA = f"SELECT uci10, k, count(*) AS n, regr_slope(y, x) AS beta, sqrt(greatest((regr_syy(y, x) - pow(regr_sxy(y, x), 2) / nullif(regr_sxx(y, x), 0)) / count(*), 0)) AS error FROM (SELECT u.uci10, k, ln((r * r - r_critical * r_critical) / (r_critical * r_critical)::double) AS x, ln(n_rows) AS y FROM unload u JOIN ({CRITICAL}) z ON z.uci10 = u.uci10 WHERE r > r_critical AND n_rows > 0) GROUP BY uci10, k HAVING count(*) > 1"
 
 
 def betas(spark, d):
-    critical = view(spark, d, "runs").groupBy("uci10").agg(F.min("r").alias("r_critical"))
-    return fits.beta(unload(spark, d), critical)
+    stored = materialize(unload(spark, d), "unload")
+    return fits.beta(stored, critical_rates(spark, d, stored).filter("r_critical is not null"))
 
 
 @query("f06_beta", f"SELECT uci10, k, n, round(beta, 5) AS beta, round(error, 5) AS error FROM ({BETA})")
@@ -209,23 +216,27 @@ def t05(spark, d):
 
 @query("f11_nonlinear_fit")
 def f11(spark, d):
-    points = unload(spark, d).filter("n_rows > 0").select((F.col("uci10") * 1000 + F.col("r")).alias("series"), ((F.col("k") - 27) / F.lit(4.0)).alias("x"), F.col("n_rows").alias("y"))
-    return fits.nonlinear_fit(points, "series", "exponential")
+    """Both decays of every run's curve from seven on, in raw space over its sum; bins without arrivals count."""
+    points = unload(spark, d).filter("k >= 28").select((F.col("uci10") * 1000 + F.col("r")).alias("series"), ((F.col("k") - 27) / F.lit(4.0)).alias("x"), F.col("n_rows").alias("y"))
+    return rounded(nonlinear.fit_curves(points, ["power", "exponential"]).drop("loss", "rounds"), 6)
 
 
-@query("f15_scaling_collapse", f"SELECT u.uci10, u.r, k, round((floor(k * 86400 / 95.0) / 3600 - 7) * (r * r - r_critical * r_critical) / (r_critical * r_critical), 6) AS x, round(n_rows * pow(floor(k * 86400 / 95.0) / 3600, 1.5::double), 4) AS y FROM unload u JOIN ({CRITICAL}) z ON z.uci10 = u.uci10 WHERE n_rows > 0")
+@query("f15_scaling_collapse", f"""SELECT u.uci10, u.r, k, round((floor(k * 86400 / 95.0) / 3600 - 7) * (u.r * u.r - r_critical * r_critical) / (r_critical * r_critical), 6) AS x, round(n_rows * pow(floor(k * 86400 / 95.0) / 3600, -alpha), 4) AS y
+    FROM unload u JOIN ({CRITICAL}) z ON z.uci10 = u.uci10 JOIN (SELECT uci10, r, alpha FROM ({DECIDED})) c ON c.uci10 = z.uci10 AND c.r = z.r_critical WHERE n_rows > 0""")
 def f15(spark, d):
-    critical = view(spark, d, "runs").groupBy("uci10").agg(F.min("r").alias("r_critical"))
+    """Time and number of rows scaled by the distance from the critical rate and by the critical run's exponent."""
+    stored = materialize(unload(spark, d), "unload")
+    runs = materialize(decisions(spark, d, stored), "decisions")
+    critical = runs.filter("verdict = 'jam'").groupBy("uci10").agg(F.min_by(F.struct("r", "alpha"), "r").alias("c")).select("uci10", F.col("c.r").alias("r_critical"), F.col("c.alpha").alias("alpha"))
     t = slices.bin_start(F.col("k")) / F.lit(3600.0)
-    rows = unload(spark, d).filter("n_rows > 0").join(critical, "uci10")
+    rows = stored.filter("n_rows > 0").join(critical, "uci10")
     e = curves.epsilon(F.col("r").cast("double"), F.col("r_critical").cast("double"))
-    return rows.select(*RUN, "k", F.round((t - 7) * e, 6).alias("x"), F.round(F.col("n_rows") * F.pow(t, F.lit(1.5)), 4).alias("y"))
+    return rows.select(*RUN, "k", F.round((t - 7) * e, 6).alias("x"), F.round(F.col("n_rows") * F.pow(t, -F.col("alpha")), 4).alias("y"))
 
 
 @query("m17_epsilon", f"SELECT DISTINCT uci10, r, round((r * r - r_critical * r_critical) / (r_critical * r_critical)::double, 9) AS epsilon FROM runs JOIN ({CRITICAL}) z USING (uci10)")
 def m17(spark, d):
-    critical = view(spark, d, "runs").groupBy("uci10").agg(F.min("r").alias("r_critical"))
-    rows = view(spark, d, "runs").select(*RUN).distinct().join(critical, "uci10")
+    rows = view(spark, d, "runs").select(*RUN).distinct().join(critical_rates(spark, d), "uci10")
     return rounded(rows.select(*RUN, curves.epsilon(F.col("r").cast("double"), F.col("r_critical").cast("double")).alias("epsilon")), 9)
 
 
@@ -250,12 +261,13 @@ def m18(spark, d):
     return parsed.select(*RUN, F.col("t").cast("double").alias("t"), "fit.alpha_pl", "fit.alpha_exp")
 
 
-@query("m02_first_of_list", "SELECT uniqueid, CASE WHEN maxspeed IS NULL THEN NULL WHEN starts_with(maxspeed, '[') THEN 2 ELSE 1 END AS n FROM raw_roads")
+@query("m02_first_of_list", """SELECT uniqueid, array_to_string(list_transform(CASE WHEN starts_with(maxspeed, '[') THEN string_split(trim(maxspeed, '[]'), ', ') ELSE [maxspeed] END, lambda x: trim(x, '"')), '|') AS items,
+    trim(CASE WHEN starts_with(maxspeed, '[') THEN string_split(trim(maxspeed, '[]'), ', ')[1] ELSE maxspeed END, '"') AS first FROM raw_roads""")
 def m02(spark, d):
     from flowgrid.operators.roads import first_of_list
 
     items = first_of_list(F.col("maxspeed"))
-    return view(spark, d, "raw_roads").select("uniqueid", F.when(F.col("maxspeed").isNotNull(), F.size(items)).alias("n"))
+    return view(spark, d, "raw_roads").select("uniqueid", F.array_join(items, "|").alias("items"), F.try_element_at(items, F.lit(1)).alias("first"))
 
 
 # A window's row comes when the watermark, an hour behind the last event, has passed its end.

@@ -196,10 +196,10 @@ def a16(spark, d):
     return rounded(centrality.uci(pairs(spark, d), view(spark, d, "cells"), "population"), 9)
 
 
-@query("a12_inhabited_stats", "SELECT round(mi, 6) AS mean_inhabited, round(ma, 6) AS mean_all, count(*) FILTER (population > mi) AS above_inhabited, count(*) FILTER (population > ma) AS above_all, round(count(*) FILTER (population > 0) / count(*), 9) AS inhabited_share FROM cells, (SELECT avg(population) FILTER (population > 0) AS mi, avg(population) AS ma FROM cells) m GROUP BY mi, ma")
+@query("a12_inhabited_stats", "SELECT round(mi, 6) AS mean_inhabited, round(ma, 6) AS mean_all, count(*) FILTER (population > mi) AS above_inhabited, count(*) FILTER (population > ma) AS above_all, round(count(*) FILTER (population > 0) / count(*), 9) AS inhabited_share, round((SELECT count(*) FROM tij WHERE number_people > 0) / (count(*) * count(*)), 9) AS flow_share FROM cells, (SELECT avg(population) FILTER (population > 0) AS mi, avg(population) AS ma FROM cells) m GROUP BY mi, ma")
 def a12(spark, d):
-    s = centrality.inhabited_stats(view(spark, d, "cells"))
-    return s.select(F.round("mean_inhabited", 6).alias("mean_inhabited"), F.round("mean_all", 6).alias("mean_all"), "above_inhabited", "above_all", F.round("inhabited_share", 9).alias("inhabited_share"))
+    s = centrality.inhabited_stats(view(spark, d, "cells"), view(spark, d, "tij"))
+    return s.select(F.round("mean_inhabited", 6).alias("mean_inhabited"), F.round("mean_all", 6).alias("mean_all"), "above_inhabited", "above_all", F.round("inhabited_share", 9).alias("inhabited_share"), F.round("flow_share", 9).alias("flow_share"))
 
 
 @query("a21_densest_cell", "SELECT idx, round(cx, 6) AS cx, round(cy, 6) AS cy, population FROM cells ORDER BY population DESC, idx LIMIT 1")

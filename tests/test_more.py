@@ -5,7 +5,7 @@ import math
 from pyspark.sql import functions as F
 
 from flowgrid.functions.storage import fresh_path
-from flowgrid.operators import demand, fits, networks, roads, tiling
+from flowgrid.operators import demand, networks, nonlinear, roads, tiling
 from flowgrid.plans import catalogue
 from flowgrid.sources import files
 
@@ -63,12 +63,29 @@ def test_scenario_grids_come_back(spark, sf):
     assert got.count() == 50 and got.select("uci").distinct().count() == 2
 
 
-def test_nonlinear_fit_finds_the_planted_curve(spark):
-    points = [(s, k / 4, a * math.exp(-k / 4 / b)) for s, a, b in ((1, 50.0, 2.0), (2, 400.0, 0.7)) for k in range(1, 40)]
-    out = {r.series: r for r in fits.nonlinear_fit(spark.createDataFrame(points, "series long, x double, y double"), "series", "exponential").collect()}
-    assert set(out) == {1, 2}
-    for s, b in ((1, 2.0), (2, 0.7)):  # values are fitted as shares of the highest one, at x = 1 / 4
-        assert abs(out[s].a - math.exp(0.25 / b)) < 1e-6 and abs(out[s].b + 1 / b) < 1e-6 and out[s].loss < 1e-12
+def test_curve_fits_find_planted_curves(spark):
+    grid = [0.2 * k for k in range(1, 50)]
+    planted = {
+        "power": ((3.0, -1.5, None), lambda x: 3 * x**-1.5), "exponential": ((2.0, -0.7, None), lambda x: 2 * math.exp(-0.7 * x)), "linear": ((1.0, 0.5, None), lambda x: 1 + 0.5 * x),
+        "lognormal": ((1.7, 0.4, 0.5), lambda x: 1.7 * math.exp(-(((math.log(x) - 0.4) / 0.5) ** 2) / 2) / (x * 0.5 * math.sqrt(2 * math.pi))),
+        "gamma": ((0.9, 2.5, 0.7), lambda x: 0.9 * x**1.5 * math.exp(-x / 0.7) / (math.gamma(2.5) * 0.7**2.5)), "weibull": ((2.2, 2.0, 1.5), lambda x: 2.2 * 2 / 1.5 * (x / 1.5) * math.exp(-((x / 1.5) ** 2))),
+    }
+    for model, (want, curve) in planted.items():
+        points = [("s", x, curve(x)) for x in grid] + [("few", 1.0, 2.0), ("s", None, 1.0), ("s", 2.0, None)]
+        out = {r.series: r for r in nonlinear.fit_curves(spark.createDataFrame(points, "series string, x double, y double"), [model], by_sum=False).collect()}
+        r = out["s"]
+        assert r.converged and r.n == len(grid) and r.loss < 1e-12, model
+        assert all(a == b or abs(a - b) < 1e-5 for a, b in zip((r.a, r.b, r.c), want)), (model, r)
+        assert (out["few"].a, out["few"].converged) == (None, False)
+
+
+def test_empty_bins_bend_a_raw_fit(spark):
+    """A tail of empty bins counts: the decay over the sum is faster than without them."""
+    points = [(1, float(k), y) for k, y in enumerate([50, 30, 18, 11, 7, 4, 2, 1, 0, 0, 0, 0, 0, 0])]
+    points += [(2, x, y) for _, x, y in points if y]
+    out = {r.series: r for r in nonlinear.fit_curves(spark.createDataFrame(points, "series long, x double, y long"), ["exponential"]).collect()}
+    assert out[1].converged and out[2].converged and (out[1].n, out[2].n) == (14, 8)
+    assert out[1].b < out[2].b < -0.4 and abs(out[1].a - 50 / 123) < 0.02
 
 
 def cells(spark, n=5):
