@@ -1,9 +1,11 @@
-"""Benchmark decontamination: n-gram seeds join passages to test items, Smith-Waterman alignment scores them.
+"""Benchmark decontamination: rare word seeds bring passages to test items, Smith-Waterman alignment scores them.
 
-Seeds are all word 3-grams of the items, however often the corpus has them: an edited copy may keep only frequent ones.
-A window of text around a seed is aligned with the item if it holds as many of the item's words as a copy must keep
-(no alignment can match more). The window has room for every alignment that begins in its first half, and the whole
-table is filled, without a band: edited copies count by the words they keep in order, however far their parts drift.
+An item's n-grams are single words here, so that no edit can break them: of n words a copy keeps at least the share COVERAGE, so of the
+rarest half and a few more it keeps at least those few (a pigeonhole bound, which holds for any choice of words; rarity only makes hits
+few). A window of text with so many seeds of an item is aligned with it if it holds as many of all the item's words as a copy must
+keep, and holds them in order and near each other (longest common subsequences of its parts). The window has room for every alignment that begins in its first half, and the whole table is filled, without a band:
+edited copies count by the words they keep in order, however far their parts drift. Nothing that a whole table over all texts and
+items would find is lost.
 
 Items come in blocks of bounded size. Each block is one pass over the corpus, so a benchmark of any size can be used.
 """
@@ -21,17 +23,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowgrid.llm.align import align_whole
-from flowgrid.llm.langid import KeyTable
 from flowgrid.llm.shared import materialize, pick
 from flowgrid.llm.tokens import in_batches
 
-GRAM = 3
+#: Seeds of an item beyond those that a copy can lose: so many a window must hold.
+EXTRA = 3
 #: Words of items in a block at most: what is held by each worker at once (a longer item is a block of its own).
 BLOCK_WORDS = 500_000
-#: Items of fewer words have no seed.
-LEAST_WORDS = GRAM
-#: Share of the item's words that an alignment must keep.
-COVERAGE = 0.5
+#: Share of the item's words that an alignment must keep; items of up to so many words are kept whole or not at all.
+COVERAGE, WHOLE_WORDS = 0.5, 2
 #: Seeds or words looked at together at most.
 SLICE = 1 << 21
 #: Items that an alignment spans less than: as many unmatched words as use up what its matches gain, and the matches.
@@ -65,8 +65,13 @@ def _slices(ends: np.ndarray):
         lo = hi
 
 
+def least_matches(n: int) -> int:
+    """Words of an item of ``n`` that a copy keeps at least."""
+    return n if n <= WHOLE_WORDS else math.ceil(COVERAGE * n)
+
+
 class Items:
-    """A block of items: their words as numbers, and their 3-grams as keys."""
+    """A block of items: their words as numbers, and which of them are seeds."""
 
     def __init__(self, rows: list[tuple[int, str]]):
         self.ids = [i for i, _ in rows]
@@ -74,57 +79,82 @@ class Items:
         self.vocabulary = {w: k for k, w in enumerate(dict.fromkeys(chain.from_iterable(words)))}
         self.items = [[self.vocabulary[w] for w in x] for x in words]
         self.size = np.fromiter(map(len, self.items), np.int64, len(self.items))
-        postings: dict[int, list[tuple[int, int]]] = {}
-        for k, x in enumerate(self.items):
-            for at in range(len(x) - GRAM + 1):
-                postings.setdefault(x[at] << 42 | x[at + 1] << 21 | x[at + 2], []).append((k, at))
-        self.table = KeyTable(np.array(list(postings), np.uint64))
-        self.holders = _Lists(postings.values())
+        self.least = np.fromiter(map(least_matches, self.size.tolist()), np.int64, len(self.items))
         self.bags = _Lists(Counter(x).items() for x in self.items)
+        self.holders = None
+        # for each item and word of it, by item * words + word, the places of the word in the item as bits of 64-bit numbers
+        self.limbs = -(-int(self.size.max(initial=1)) // 64)
+        bits: dict[int, list[int]] = {}
+        for k, x in enumerate(self.items):
+            for at, w in enumerate(x):
+                bits.setdefault(k * len(self.vocabulary) + w, [0] * self.limbs)[at // 64] |= 1 << at % 64
+        self.placed = np.array(sorted(bits), np.int64)
+        self.places = np.array([bits[k] for k in self.placed.tolist()], np.uint64).reshape(-1, self.limbs)
+
+    def rank(self, words: np.ndarray) -> None:
+        """Choose the seeds: each item's words that are rarest among ``words`` (numbers, -1: in no item)."""
+        seen = np.bincount(words[words >= 0], minlength=len(self.vocabulary))
+        lists: list[list[tuple[int, int]]] = [[] for _ in self.vocabulary]
+        chosen = np.minimum(self.size, self.size - self.least + EXTRA)
+        for k, (x, n) in enumerate(zip(self.items, chosen.tolist())):
+            for w in set(sorted(x, key=lambda w: (seen[w], w))[:n]):
+                lists[w].append((k, 0))
+        self.need = chosen - (self.size - self.least)
+        self.holders = _Lists(lists)
 
     def find(self, texts: list[str]):
-        """Documents, places and seeds of all hits, and every text's words as numbers (-1: in no item)."""
+        """Every text's words as numbers (-1: in no item), where texts begin and how long they are, and texts and places of words that are seeds."""
         split = [WORD.findall(t.lower()) for t in texts]
         count = np.fromiter(map(len, split), np.int64, len(split))
-        at, seen = pd.factorize(np.array(list(chain.from_iterable(split)), object))
-        number = np.fromiter((self.vocabulary.get(w, -1) for w in seen), np.int64, len(seen))
-        words = number[at] if len(at) else np.zeros(0, np.int64)
+        number = self.vocabulary.get
+        words = np.fromiter((number(w, -1) for w in chain.from_iterable(split)), np.int64, int(count.sum()))
         first = np.cumsum(count) - count
-        if len(words) < GRAM:
-            return words, first, count, np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        a, b, c = words[:-2], words[1:-1], words[2:]
-        ok = np.flatnonzero((a >= 0) & (b >= 0) & (c >= 0))
+        if self.holders is None:
+            self.rank(words)
+        ok = np.flatnonzero(words >= 0)
+        ok = ok[self.holders.n[words[ok]] > 0]
         doc = np.searchsorted(first + count, ok, "right")
-        inside = ok + GRAM <= (first + count)[doc]
-        ok, doc = ok[inside], doc[inside]
-        key = (a[ok].astype(np.uint64) << np.uint64(42)) | (b[ok].astype(np.uint64) << np.uint64(21)) | c[ok].astype(np.uint64)
-        row = self.table.find(key)
-        hit = row >= 0
-        return words, first, count, doc[hit], ok[hit] - first[doc[hit]], row[hit]
+        return words, first, count, doc, ok
 
-    def candidates(self, words, first, count, doc, place, row) -> tuple[np.ndarray, ...]:
-        """Texts, items, and begins and ends of the windows with a seed that hold enough of the item's words.
+    def candidates(self, words, first, count, doc, at) -> tuple[np.ndarray, ...]:
+        """Texts, items, and begins and ends of the windows that hold enough seeds and enough of the item's words.
 
         An alignment costs a point for every word it doesn't match and gains two for every other, so it spans less than
         SPAN times its item. Window k begins at k * SPAN items and is twice that long: it holds all alignments that
         begin in its first half.
         """
-        most = int((count // (SPAN * self.size.min())).max()) + 2 if len(row) else 2
-        found = [np.zeros(0, np.int64)]
-        for lo, hi in _slices(np.cumsum(self.holders.n[row])):
-            each, (item, _) = self.holders.of(row[lo:hi])
-            k = place[lo:hi][each] // (SPAN * self.size[item])
-            pair = (doc[lo:hi][each] * len(self.items) + item) * most
-            found.append(np.unique(np.concatenate([pair + k, pair + np.maximum(k - 1, 0)])))
-        pair, k = np.divmod(np.unique(np.concatenate(found)), most)
+        most = int((count // (SPAN * self.size.min())).max(initial=0)) + 2
+        found, times = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for lo, hi in _slices(np.cumsum(self.holders.n[words[at]])):
+            each, (item, _) = self.holders.of(words[at[lo:hi]])
+            d = doc[lo:hi][each]
+            half = (at[lo:hi][each] - first[d]) // (SPAN * self.size[item])
+            halves, n = np.unique((d * len(self.items) + item) * most + half, return_counts=True)
+            found.append(halves)
+            times.append(n)
+        halves, where = np.unique(np.concatenate(found), return_inverse=True)
+        seeds = np.bincount(where, np.concatenate(times), len(halves)).astype(np.int64)
+        # a window is two halves; it begins with one that has a seed, or just before
+        begin = np.unique(np.concatenate([halves, halves[halves % most > 0] - 1]))
+        held = np.zeros(len(begin), np.int64)
+        for step in (0, 1):
+            place = np.searchsorted(halves, begin + step)
+            hit = place < len(halves)
+            hit[hit] = halves[place[hit]] == begin[hit] + step
+            held[hit] += seeds[place[hit]]
+        pair, k = np.divmod(begin, most)
         doc, item = np.divmod(pair, len(self.items))
+        keep = held >= self.need[item]
+        doc, item, k = doc[keep], item[keep], k[keep]
         begin = first[doc] + k * SPAN * self.size[item]
         end = np.minimum(begin + 2 * SPAN * self.size[item], (first + count)[doc])
-        keep = self.enough(words, item, begin, end)
-        return doc[keep], item[keep], begin[keep], end[keep]
+        for test in (self.enough, self.ordered):
+            keep = test(words, item, begin, end)
+            doc, item, begin, end = doc[keep], item[keep], begin[keep], end[keep]
+        return doc, item, begin, end
 
     def enough(self, words, item, begin, end) -> np.ndarray:
-        """Whether the windows hold COVERAGE of their item's words, each as often as the item at most, in any order."""
+        """Whether the windows hold as many of their item's words as a copy keeps, each as often as the item at most, in any order."""
         known = np.flatnonzero(words >= 0)
         stride = len(words) + 1
         places = np.sort(words[known] * stride + known)
@@ -132,27 +162,92 @@ class Items:
         for lo, hi in _slices(np.cumsum(self.bags.n[item])):
             each, (w, n) = self.bags.of(item[lo:hi])
             held = np.searchsorted(places, w * stride + end[lo:hi][each]) - np.searchsorted(places, w * stride + begin[lo:hi][each])
-            out[lo:hi] = np.bincount(each, np.minimum(held, n), hi - lo) >= COVERAGE * self.size[item[lo:hi]]
+            out[lo:hi] = np.bincount(each, np.minimum(held, n), hi - lo) >= self.least[item[lo:hi]]
         return out
 
+    def ordered(self, words, item, begin, end) -> np.ndarray:
+        """Whether the windows have a stretch with as many of their item's words in order as a copy keeps.
+
+        An alignment with m matches spans less than SPAN * m words of text. For m from a least to a most number, any stretch of that span is
+        inside one of the parts of the window that follow each other at a third of it, and so has a common subsequence of the least.
+        """
+        out = np.zeros(len(item), bool)
+        for lo, hi in _slices(np.cumsum(end - begin)):
+            out[lo:hi] = self._ordered(words, item[lo:hi], begin[lo:hi], end[lo:hi])
+        return out
+
+    def _ordered(self, words, item, begin, end) -> np.ndarray:
+        wide = int((end - begin).max(initial=0))
+        at = begin[:, None] + np.arange(wide)
+        inside = at < end[:, None]
+        w = np.where(inside, words[np.minimum(at, len(words) - 1)], -1)
+        key = np.where(w >= 0, item[:, None] * len(self.vocabulary) + w, -1)
+        row = np.minimum(np.searchsorted(self.placed, key), len(self.placed) - 1)
+        masks = np.where((self.placed[row] == key)[:, :, None], self.places[row], np.uint64(0)).reshape(-1, self.limbs)
+        n, least = self.size[item], self.least[item]
+        cuts = [least, np.maximum(least, -(-6 * n // 10)), np.maximum(least, -(-3 * n // 4)), n + 1]
+        out, every = np.zeros(len(item), bool), np.arange(len(item))
+        hopeful = self._common(masks, every * wide, end - begin, n) >= least
+        for low, high in zip(cuts, cuts[1:]):
+            span = SPAN * (high - 1) - 1
+            step = np.maximum(1, span // 3)
+            live = np.flatnonzero((low < high) & ~out & hopeful)
+            start = np.zeros(len(item), np.int64)
+            while len(live):
+                size = np.minimum(span[live] + step[live] - 1, wide - start[live])
+                out[live] |= self._common(masks, live * wide + start[live], size, n[live]) >= low[live]
+                start[live] += step[live]
+                live = live[~out[live] & (begin[live] + start[live] < end[live])]
+        return out
+
+    def _common(self, masks, start, size, n) -> np.ndarray:
+        """Longest common subsequences of stretches (of ``masks``, from ``start`` on) with items of ``n`` words, 64 places of an item at once.
+
+        Of each word's places those above a longest prefix so far are set to 0: an addition carries over runs of free places.
+        """
+        free = np.full((self.limbs, len(start)), 2**64 - 1, np.uint64)
+        for t in range(int(size.max(initial=0))):
+            if t >= size.min():
+                mask = np.where((t < size)[:, None], masks[np.minimum(start + t, len(masks) - 1)], np.uint64(0))
+            else:
+                mask = masks[start + t]
+            carry = None
+            for k in range(self.limbs):
+                v, m = free[k], mask[:, k]
+                u = v & m
+                total = v + u
+                if self.limbs > 1:
+                    over = total < v
+                    if carry is not None:
+                        total = total + carry
+                        over |= total < carry
+                    carry = over.astype(np.uint64)
+                free[k] = total | (v ^ u)
+        taken = np.zeros(len(start), np.int64)
+        for k in range(self.limbs):
+            used = np.clip(n - 64 * k, 0, 64)
+            low = np.where(used >= 64, np.uint64(2**64 - 1), (np.uint64(1) << np.minimum(used, 63).astype(np.uint64)) - np.uint64(1))
+            taken += np.bitwise_count(~free[k] & low).astype(np.int64)
+        return taken
+
     def matches(self, texts: list[str]) -> list[tuple]:
         """(text number, item id, score, coverage, matched words, begin, end) of the best place of each item in each text."""
         words, first, count, *hits = self.find(texts)
         best: dict[tuple[int, int], tuple] = {}
         for d, k, lo, hi in zip(*(x.tolist() for x in self.candidates(words, first, count, *hits))):
             a = self.items[k]
-            found = align_whole(np.array(a), words[lo:hi], math.ceil(COVERAGE * len(a)))
+            found = align_whole(np.array(a), words[lo:hi], int(self.least[k]))
             if found and found[:2] > best.get((d, k), (0, 0))[:2]:
                 best[d, k] = (*found[:2], int(lo - first[d]) + found[2], int(lo - first[d]) + found[3])
         return [(d, self.ids[k], score, m / len(self.items[k]), m, p, q) for (d, k), (score, m, p, q) in best.items()]
 
 
 def blocks(items: DataFrame, words: int = BLOCK_WORDS):
-    """The items, one block in memory at a time; null and too short ones are left out."""
+    """The items, one block in memory at a time; null ones and those without a word are left out."""
     block, size = [], 0
     for r in pick(items, "item_id", "text").filter(F.col("text").isNotNull()).toLocalIterator():
         n = len(WORD.findall(r.text))
-        if n < LEAST_WORDS:
+        if not n:
             continue
         if block and size + n > words:
             yield Items(block)
@@ -166,9 +261,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, score, coverage, n_matched, begin_word, end_word: every whole text that holds a copy of an item.
 
     One row for each text and item, for the best alignment; begin and end count the text's words. Texts without a
-    copy, null and empty texts give no row, as do items that are null or of fewer than LEAST_WORDS words;
-    a null item_id is kept. Ties go to
-    the first place. Repeated rows give repeated results; other columns are ignored.
+    copy, null and empty texts give no row, as do items that are null or without a word; items of one or two words must be there
+    whole. A null item_id is kept. Ties go to the first place. Repeated rows give repeated results; other columns are ignored.
     """
     spark = docs.sparkSession
     rows = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -192,4 +286,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def without_copies(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the documents that hold a copy of an item, with all its columns. Rows with a null doc_id stay."""
-    return docs.join(contaminated(docs, benchmark).select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    found = contaminated(docs, benchmark)
+    copies = found.select(F.col("doc_id").alias("copy")).distinct()
+    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"))  # whole, however its columns are called
+    return rows.join(copies, F.col("row.doc_id") == F.col("copy"), "left_anti").select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
