@@ -26,7 +26,7 @@ PER_LANGUAGE = 400
 BIT = 4096
 UNKNOWN = "und"
 OUT = "doc_id long, held_out boolean, lang_pred string, score double"
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = re.compile(r"[^\W\d_]")  # or a numeral that is no digit
 _EMPTY = np.uint64(2**64 - 1)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -177,7 +177,7 @@ def identify(docs: DataFrame, model: PPM) -> DataFrame:
     def run(batches):
         ppm = shared.value
         for pdf in batches:
-            texts = [t if isinstance(t, str) and _LETTER.search(t) else "" for t in pdf.text]
+            texts = [t if isinstance(t, str) and any(m[0].isalpha() for m in _LETTER.finditer(t)) else "" for t in pdf.text]
             for lo, hi in in_batches(texts, 1_000_000):
                 part, bits = pdf.iloc[lo:hi], ppm.code_lengths(texts[lo:hi]) / BIT
                 known = np.array([bool(t) and bool(ppm.languages) for t in texts[lo:hi]])
