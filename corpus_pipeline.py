@@ -20,11 +20,12 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def remove_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Remove lines that match an earlier one; documents stay, n_chars follows the text."""
-    out = line_dedup.dedup_lines(docs)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    """Remove lines that match an earlier one; documents stay with all their columns, n_chars follows the text."""
+    kept = lambda c: docs[f"`{c}`"]
+    rows = docs.select("doc_id", "text", F.struct(*[kept(c).alias(c) for c in docs.columns]).alias("document"))
+    out = line_dedup.dedup_lines(rows)
+    changed = {"text": F.col("text")} | ({"n_chars": F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("document.n_chars"))} if "n_chars" in docs.columns else {})
+    return out.select(*[changed.get(c, F.col(f"document.`{c}`")).alias(c) for c in docs.columns])
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
