@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from flowgrid.operators import blocks
+
 
 def inhabited(cells: DataFrame) -> DataFrame:
     return cells.filter("population > 0")
@@ -17,10 +19,8 @@ def proximity_index(pairs: DataFrame, cells: DataFrame, column: str, by: list[st
     f = F.col(column).cast("double")
     cells = cells.withColumns({"f": f, "inner": F.expr("position = 'inside'" + " and population > 0" * (not potential)), "rim": F.expr("relation_to_line = 'edge'")})
     sums = cells.groupBy(*keys).agg(F.sum(F.when(F.col("inner") | F.lit(potential), F.col("f"))).alias("total"), F.count_if("rim").alias("rims"))
-    a = cells.select(*keys, F.col("idx").alias("i"), F.col("f").alias("fi"), F.col("inner").alias("ini"), F.col("rim").alias("ri"))
-    b = cells.select(*keys, F.col("idx").alias("j"), F.col("f").alias("fj"), F.col("inner").alias("inj"), F.col("rim").alias("rj"))
-    rows = pairs.select("i", "j", "distance").join(a, "i").join(b, ["j", *keys])
-    v = rows.groupBy(*keys).agg(F.sum(F.when(F.col("ini") & F.col("inj"), F.col("distance") * F.col("fi") * F.col("fj"))).alias("v"), F.sum(F.when(F.col("ri") & F.col("rj"), F.col("distance"))).alias("m"))
+    weights = cells.select(*keys, "idx", F.when(F.col("inner"), F.col("f")).otherwise(F.lit(0.0)).alias("v"), F.col("rim").cast("double").alias("m"))
+    v = blocks.quadratic_sums(pairs, "distance", weights, keys, ["v", "m"])
     out = v.join(sums, keys) if keys else v.crossJoin(sums)  # one row each
     v, vmax = F.try_divide(F.col("v"), F.col("total") * F.col("total")), F.try_divide(F.col("m"), F.col("rims") * F.col("rims"))
     return out.select(*keys, v.alias("v"), vmax.alias("vmax"), (1 - F.try_divide(v, vmax)).alias("pi"))

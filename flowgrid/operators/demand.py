@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowgrid.functions.storage import materialize
+from flowgrid.functions.storage import discard, materialize
 from flowgrid.operators.tiling import haversine_km
 
 
@@ -112,20 +112,23 @@ def uci_coverage(scenarios: DataFrame, width: float = 0.1, most: int = 4) -> Dat
     return b.withColumn("place", F.row_number().over(w.orderBy("scenario"))).withColumn("full", F.count("*").over(w) >= most).filter(F.col("place") <= most)
 
 
-def scenario_search(block: Callable[[int], DataFrame], blocks: int, width: float = 0.1, most: int = 4) -> DataFrame:
+def scenario_search(block: Callable[[int], DataFrame], width: float = 0.1, most: int = 4) -> DataFrame:
     """``uci_coverage`` of the scenarios (scenario, uci) of one seed block after the other.
 
-    A block comes in as long as some bucket that was reached isn't full, ``blocks`` blocks at most. What has been kept
-    is stored after each one, so no block is made twice.
+    A block comes in as long as some bucket that was reached isn't full and the block before it brought something; so the search ends
+    after as many blocks as there are places in buckets at most. What is kept is stored after each one, so no block is made twice,
+    and ``full`` tells the buckets that stayed open.
     """
-    kept = None
-    for k in range(blocks):
+    kept, n, k = None, 0, 0
+    while True:
         new = block(k).select("scenario", "uci")
         rows = new if kept is None else kept.select("scenario", "uci").unionByName(new)
-        kept = materialize(uci_coverage(rows, width, most), "kept")
-        if kept.filter("not full").isEmpty():
-            break
-    return kept
+        old, kept = kept, materialize(uci_coverage(rows, width, most), "kept")
+        if old is not None:
+            discard(old)
+        before, n, k = n, kept.count(), k + 1
+        if n == before or kept.filter("not full").isEmpty():
+            return kept
 
 
 def departures(persons: DataFrame) -> DataFrame:

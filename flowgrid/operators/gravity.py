@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowgrid.functions import exact
+from flowgrid.operators import blocks
 
 
 def flow_features(tij: DataFrame, pairs: DataFrame, cells: DataFrame) -> DataFrame:
@@ -53,17 +54,13 @@ def predict(features: DataFrame, params: DataFrame) -> DataFrame:
 
 def gravity_flows(cells: DataFrame, pairs: DataFrame, k: float, alpha: float, gamma: float, inverse_d0: float, total: float, by: list[str] | None = None) -> DataFrame:
     """origin, destination, people: flows of given populations, 0 for empty cells or far pairs, rescaled to ``total`` for each group."""
-    keys = by or []
-    a = cells.select(*keys, F.col("idx").alias("origin"), F.col("population").cast("double").alias("mi"))
-    b = cells.select(*keys, F.col("idx").alias("destination"), F.col("population").cast("double").alias("mj"))
-    p = pairs.select(F.col("i").alias("origin"), F.col("j").alias("destination"), F.col("distance").alias("d"))
-    rows = a.join(p, "origin").join(b, ["destination", *keys])
-    decay = F.exp(F.col("d") * inverse_d0)
-    raw = F.when((F.floor("mi") == 0) | (F.floor("mj") == 0) | (decay <= 1e-4), F.lit(0.0)).otherwise(k * F.pow("mi", F.lit(alpha)) * F.pow("mj", F.lit(gamma)) * decay)
-    rows = rows.select(*keys, "origin", "destination", raw.alias("raw"))
-    sums = rows.groupBy(*keys).agg(F.sum("raw").alias("s"))
-    rows = rows.join(F.broadcast(sums), keys) if keys else rows.crossJoin(F.broadcast(sums))  # a row for each scenario
-    return rows.select(*keys, "origin", "destination", F.coalesce(F.try_divide(F.col("raw") * F.lit(float(total)), F.col("s")), F.lit(0.0)).alias("people"))
+    m = F.col("population").cast("double")
+    mass = lambda power: F.when(F.floor(m) == 0, F.lit(0.0)).otherwise(F.pow(m, F.lit(power)))
+    weights = cells.select(*(by or []), "idx", (k * mass(alpha)).alias("w"), mass(gamma).alias("u"))
+    decay = F.exp(F.col("distance") * inverse_d0)
+    near = pairs.select("i", "j", F.when(decay > 1e-4, decay).otherwise(F.lit(0.0)).alias("decay"))
+    rows = blocks.pair_products(near, "decay", weights, by or [], "w", "u", total)
+    return rows.select(*(by or []), F.col("i").alias("origin"), F.col("j").alias("destination"), F.col("amount").alias("people"))
 
 
 def gravity_estimate(features: DataFrame, d0: float) -> DataFrame:

@@ -139,7 +139,7 @@ def block_of_cities(spark, d, block, n=12, k=3):
 
 @query("d09_scenario_search")
 def d09(spark, d):
-    return demand.scenario_search(lambda block: block_of_cities(spark, d, block), blocks=3)
+    return demand.scenario_search(lambda block: block_of_cities(spark, d, block))
 
 
 @query("d10_scenario_flows", f"SELECT scenario, origin, destination, round(raw * 10000 / sum(raw) OVER (PARTITION BY scenario), 4) AS people FROM (SELECT a.scenario, z.i AS origin, z.j AS destination, CASE WHEN floor(a.population) = 0 OR floor(b.population) = 0 OR exp(distance * -0.1::double) <= 1e-4 THEN 0 ELSE 0.5 * pow(a.population, 0.9::double) * pow(b.population, 0.7::double) * exp(distance * -0.1::double) END AS raw FROM pairs z JOIN ({GIVEN}) a ON a.idx = z.i JOIN ({GIVEN}) b ON b.idx = z.j AND b.scenario = a.scenario)")

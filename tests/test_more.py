@@ -116,10 +116,11 @@ def test_search_goes_on_until_buckets_are_full(spark):
         asked.append(k)
         return spark.createDataFrame([(f"{k}-{i}", 0.05 + 0.1 * (i % 2)) for i in range(4)], "scenario string, uci double")
 
-    got = demand.scenario_search(block, blocks=9, most=4)
+    got = demand.scenario_search(block, most=4)
     assert asked == [0, 1] and got.count() == 8 and got.filter("not full").isEmpty()
+    few = lambda k: block(k).filter("scenario in ('0-0', '0-1')")
     asked.clear()
-    assert demand.scenario_search(block, blocks=1, most=4).filter("not full").count() == 4 and asked == [0]
+    assert demand.scenario_search(few, most=4).filter("not full").count() == 2 and asked == [0, 1]  # the second block brings nothing
 
 
 def test_metric_grid_flags_whole_squares(spark):
