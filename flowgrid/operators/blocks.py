@@ -39,8 +39,8 @@ def weight_blocks(weights: DataFrame, by: list[str], columns: list[str], side: i
     idx = F.col("idx").cast("long")
     rows = weights.filter(idx.isNotNull()).select(*by, part.alias("part"), F.floor(idx / side).alias("block"), (idx % side).cast("int").alias("at"), *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in columns])
     vectors = rows.groupBy(*by, "part", "block").agg(F.collect_list(F.struct("at", *columns)).alias("w"))
-    vectors = vectors.select("part", "block", F.struct(*by, F.col("w.at").alias("at"), *[F.col(f"w.{c}").alias(c) for c in columns]).alias("s"))
-    return vectors.groupBy("part", "block").agg(F.collect_list("s").alias("rows"))
+    vectors = vectors.select("part", "block", F.struct(*by, F.col("w.at").alias("at"), *[F.col(f"w.{c}").alias(c) for c in columns]).alias("_row"))
+    return vectors.groupBy("part", "block").agg(F.collect_list("_row").alias("rows"))
 
 
 def _met(matrix: DataFrame, weights: DataFrame) -> DataFrame:
@@ -99,7 +99,7 @@ def pair_products(pairs: DataFrame, value: str, weights: DataFrame, by: list[str
                 m = _dense(row.at, row.v, side * side).reshape(side, side)
                 keys, ((a, _), (_, b)) = _sides(row, by, [sources, targets], side)
                 if keys:
-                    yield (pd.DataFrame(keys, columns=by) if by else pd.DataFrame(index=range(1))).assign(s=((a @ m) * b).sum(1))
+                    yield (pd.DataFrame(keys, columns=by) if by else pd.DataFrame(index=range(1))).assign(_all=((a @ m) * b).sum(1))
 
     def emitted(batches):
         for pdf in batches:
@@ -115,8 +115,8 @@ def pair_products(pairs: DataFrame, value: str, weights: DataFrame, by: list[str
                     yield out.assign(**dict(zip(by, k)))[[*by, "i", "j", "amount"]]
 
     keys = ", ".join(f"{k} {kinds[k]}" for k in by)
-    whole = met.select("at", "v", "a", "b").mapInPandas(sums, f"{keys}, s double" if by else "s double").groupBy(*by).agg(F.sum("s").alias("s"))
+    whole = met.select("at", "v", "a", "b").mapInPandas(sums, f"{keys}, _all double" if by else "_all double").groupBy(*by).agg(F.sum("_all").alias("_all"))
     rows = met.select("bi", "bj", "at", "v", "a", "b").mapInPandas(emitted, f"{keys}, i long, j long, amount double" if by else "i long, j long, amount double")
-    scaled = F.coalesce(F.try_divide(F.col("amount") * F.lit(float(total)), F.col("s")), F.lit(0.0)).alias("amount")
+    scaled = F.coalesce(F.try_divide(F.col("amount") * F.lit(float(total)), F.col("_all")), F.lit(0.0)).alias("amount")
     rows = rows.join(whole, by) if by else rows.crossJoin(whole)  # one row
     return rows.select(*by, "i", "j", scaled)

@@ -67,13 +67,47 @@ def read_network(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame
 
 def _numbers() -> list:
     part = F.split(F.trim("line"), r"\s+")
-    return [F.get(part, F.lit(k)).cast("double").cast("bigint").alias(c) for k, c in enumerate(("origin", "destination", "number_people"))]
+    return [F.get(part, F.lit(k)).try_cast("double").cast("bigint").alias(c) for k, c in enumerate(("origin", "destination", "number_people"))]
+
+
+def _without_heads(skip: int):
+    """Drops the first lines of each file. A task reads a block of a file in order, and the block that begins at 0 has the head."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        seen: dict[str, int] = {}
+        for b in batches:
+            starts = b.column("start").to_pylist()
+            if 0 in starts:
+                keep = []
+                for file, start in zip(b.column("file").to_pylist(), starts):
+                    if start == 0:
+                        seen[file] = seen.get(file, 0) + 1
+                    keep.append(start != 0 or seen[file] > skip)
+                b = b.filter(pa.array(keep))
+            yield b.select([c for c in b.schema.names if c not in ("file", "start")])
+
+    return run
+
+
+def _od_lines(spark: SparkSession, path: str, skip: int, **options: str) -> DataFrame:
+    """line, name (of the file) and the folder's columns of every line behind each file's head that isn't empty.
+
+    Spark cuts large files into blocks at line ends, so a file of any size is read by several tasks, a batch of lines at a time. The head
+    has to fit the first block (``spark.sql.files.maxPartitionBytes``).
+    """
+    rows = spark.read.options(**options).text(path)
+    more = [c for c in rows.columns if c != "value"]
+    rows = rows.select(F.col("value").alias("line"), F.col("_metadata.file_name").alias("name"), *more, F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
+    kinds = dict(rows.dtypes)
+    body = rows.mapInArrow(_without_heads(skip), ", ".join(f"{c} {kinds[c]}" for c in ("line", "name", *more)))
+    return body.filter(F.trim("line") != "")
 
 
 def read_od_text(spark: SparkSession, path: str, skip: int = 6) -> DataFrame:
-    """o, d, n of every line after the first ``skip`` of each file; a file has one city's flows of one hour."""
-    lines = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("at", "line"))
-    return lines.filter((F.col("at") >= skip) & (F.trim("line") != "")).select(*_numbers())
+    """origin, destination, number_people of every line after the first ``skip`` of each file; what isn't a number is null."""
+    return _od_lines(spark, path, skip, recursiveFileLookup="true").select(*_numbers())
 
 
 HEADER = 6
@@ -96,10 +130,9 @@ def write_od_text(df: DataFrame, path: str, files: int = 4) -> None:
 
 def read_od_by_hour(spark: SparkSession, path: str, skip: int = 6) -> DataFrame:
     """hour, origin, destination, number_people: the hour comes from file names that end in D<hour>.fma, or from folders."""
-    rows = spark.read.text(path, wholetext=True)
-    hour = F.col("hour") if "hour" in rows.columns else F.regexp_extract("_metadata.file_name", r"D(\d+)\.fma$", 1)
-    lines = rows.select("value", hour.cast("bigint").alias("hour")).select("hour", F.posexplode(F.split("value", "\n")).alias("at", "line"))
-    return lines.filter((F.col("at") >= skip) & (F.trim("line") != "")).select("hour", *_numbers())
+    lines = _od_lines(spark, path, skip)
+    hour = F.col("hour") if "hour" in lines.columns else F.regexp_extract("name", r"D(\d+)\.fma$", 1)
+    return lines.select(hour.cast("bigint").alias("hour"), *_numbers())
 
 
 def write_od_by_hour(df: DataFrame, path: str, files: int = 2) -> None:
