@@ -1,14 +1,14 @@
 """SimHash near-duplicates: 64-bit fingerprints over word shingles, linked at few differing bits.
 
-Of eight bytes, four differing bits leave at least four untouched. An inverted index over byte positions lists
-the distinct fingerprints by what they hold at three positions at once; twenty such position triples suffice for
-every choice of four equal bytes to contain one. A pair of fingerprints from one list has its equal positional
-bytes tallied, is kept if the tally reaches four, and is verified bit by bit.
+Of eight bytes, four differing bits leave at least four untouched. An inverted index over byte positions lists the
+distinct fingerprints by what they hold at each three of the eight positions. Every list tells the pairs in it, a pair's lists are tallied,
+and only pairs that share as many as the least number of equal bytes guarantees are verified bit by bit.
 """
 
 from __future__ import annotations
 
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pandas as pd
@@ -21,17 +21,13 @@ from flowgrid.operators.components import components
 SHINGLE, SEED, MOST_BITS = 4, 42, 4
 #: Shingles whose bits are summed at once.
 STEP = 1 << 16
-_GROUPS = ((0, 1, 2), (3, 4, 5), (6, 7))
+#: Positions in a list's key.
+AT_ONCE = 3
 
 
-def triples() -> list[tuple[int, int, int]]:
-    """Position triples such that any four of the eight positions contain one.
-
-    The positions form three groups; the triples lie inside a group, or take two of a group and one of the next.
-    """
-    inside = [t for g in _GROUPS for t in combinations(g, 3)]
-    across = [tuple(sorted((*two, one))) for k, g in enumerate(_GROUPS) for two in combinations(g, 2) for one in _GROUPS[(k + 1) % 3]]
-    return sorted(inside + across)
+def least_shared(most_bits: int) -> int:
+    """Lists that two fingerprints have in common at least: choices of positions among the bytes that so many bits can't touch."""
+    return comb(8 - most_bits, AT_ONCE)
 
 
 def fingerprint(text: str | None) -> int:
@@ -69,22 +65,16 @@ def _bytes(c: str) -> list:
 
 
 def links(fps: DataFrame, most_bits: int = MOST_BITS) -> DataFrame:
-    """Pairs (a, b), a < b, of distinct fingerprints (column fp) that differ in 1 to ``most_bits`` (at most 4) bits; each pair once."""
-    if most_bits > 4:
-        raise ValueError("the index guarantees pairs of up to 4 differing bits")
-    chosen, byte = triples(), _bytes("fp")
-    # lists are keyed by the triple's number and the three bytes
-    keys = F.array(*[F.lit(k << 24).cast("long") + byte[x] * 65536 + byte[y] * 256 + byte[z] for k, (x, y, z) in enumerate(chosen)])
+    """Pairs (a, b), a < b, of distinct fingerprints (column fp) that differ in 1 to ``most_bits`` (at most 5) bits; each pair once."""
+    if most_bits > 8 - AT_ONCE:
+        raise ValueError(f"the index guarantees pairs of up to {8 - AT_ONCE} differing bits")
+    byte = _bytes("fp")
+    keys = F.array(*[F.lit(k << 24).cast("long") + byte[x] * 65536 + byte[y] * 256 + byte[z] for k, (x, y, z) in enumerate(combinations(range(8), AT_ONCE))])
     listed = fps.select("fp", F.explode(keys).alias("key"))
-    # an equal-bytes mask tells the first triple a pair shares; only that list gives the pair
-    first = [next((k for k, t in enumerate(chosen) if all(m >> (7 - i) & 1 for i in t)), -1) for m in range(256)]
-    a, b = listed.select(F.col("fp").alias("a"), "key"), listed.select(F.col("fp").alias("b"), F.col("key").alias("key_b"))
-    x = F.col("a").bitwiseXOR(F.col("b"))
-    equal = [(F.shiftrightunsigned(x, 8 * (7 - k)).bitwiseAND(F.lit(255)) == 0).cast("int") for k in range(8)]
-    tally = sum(equal[1:], equal[0])
-    mask = sum((e * (1 << (7 - k)) for k, e in enumerate(equal)), F.lit(0))
-    once = F.element_at(F.from_json(F.lit(str(first)), "array<int>"), mask + 1) == F.shiftright(F.col("key"), 24)
-    return a.join(b, (F.col("key") == F.col("key_b")) & (F.col("a") < F.col("b")) & (tally >= 4) & (F.bit_count(x) <= most_bits) & once).select("a", "b")
+    a, b = listed.select(F.col("fp").alias("a"), "key"), listed.select(F.col("fp").alias("b"), "key")
+    tally = a.join(b, "key").filter("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"))
+    likely = tally.filter(F.col("shared") >= least_shared(most_bits))
+    return likely.filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= most_bits).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, most_bits: int = MOST_BITS) -> DataFrame:

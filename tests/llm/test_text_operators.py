@@ -650,11 +650,16 @@ def brute_fingerprint(text):
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
-def test_triples_cover_all_choices_of_four():
-    from itertools import combinations
-
-    assert len(simhash.triples()) == 20
-    assert all(any(set(t) <= set(four) for t in simhash.triples()) for four in combinations(range(8), 4))
+def test_tally_guarantees_all_pairs_in_reach():
+    r = np.random.default_rng(2)
+    for most in (1, 2, 3, 4, 5):
+        for _ in range(300):
+            x = 0
+            for bit in r.choice(64, most, replace=False).tolist():
+                x |= 1 << bit
+            equal = sum(x >> 8 * k & 255 == 0 for k in range(8))
+            assert math.comb(equal, simhash.AT_ONCE) >= simhash.least_shared(most)
+    assert [simhash.least_shared(k) for k in (1, 4, 5)] == [35, 4, 1]
 
 
 def test_simhash_against_brute_force(spark, docs):
