@@ -29,7 +29,7 @@ CACHE_CHUNKS, CACHE_CHUNK_CHARS = 400_000, 48
 BATCH_CHARS, BLOCK_CHUNKS = 1_000_000, 2048
 
 _CHUNK = re.compile(r"[ \n\t]+[^ \n\t]*")
-_ODD_SPACE = re.compile(r"[\x0b-\x0d\x1c-\x1f\x85\xa0 ᠎ -‏ -  -⁤　﻿]")
+_ODD_SPACE = re.compile(r"[\x0b-\x0d\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u2064\u3000\ufeff]")
 _RUNS = ("  ", "\n\n", " \n", "\n ", "\t")
 _ROWS = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
 _NAMES = [c.split()[0] for c in _ROWS.split(", ")]
