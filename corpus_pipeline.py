@@ -21,11 +21,14 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def remove_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Remove lines that match an earlier one; documents stay with all their columns, n_chars follows the text."""
-    kept = lambda c: docs[f"`{c}`"]
-    rows = docs.select("doc_id", "text", F.struct(*[kept(c).alias(c) for c in docs.columns]).alias("document"))
+    # the other columns travel under one name, so that they can be called as they like
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    rows = docs.select("doc_id", "text", F.struct(*[docs[f"`{c}`"].alias(c) for c in others] or [F.lit(0).alias("none")]).alias("others"))
     out = line_dedup.dedup_lines(rows)
-    changed = {"text": F.col("text")} | ({"n_chars": F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("document.n_chars"))} if "n_chars" in docs.columns else {})
-    return out.select(*[changed.get(c, F.col(f"document.`{c}`")).alias(c) for c in docs.columns])
+    columns = {c: F.col(f"others.`{c}`") for c in others} | {"doc_id": F.col("doc_id"), "text": F.col("text")}
+    if "n_chars" in others:
+        columns["n_chars"] = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("others.n_chars"))
+    return out.select(*[columns[c].alias(c) for c in docs.columns])
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
