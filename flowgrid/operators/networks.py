@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,23 +68,159 @@ def _least_reaching(edges: DataFrame, nodes: DataFrame) -> DataFrame:
             return now
 
 
+#: A group of so few edges is finished by the task that holds it.
+LAST_EDGES = 100_000
+
+
+def _least_of_strong(edges: list[tuple]) -> dict:
+    """The least node of the strong component of every end of the edges, by depth-first search without recursion."""
+    after: dict = {}
+    for u, v in edges:
+        after.setdefault(u, []).append(v)
+        after.setdefault(v, [])
+    seen, low, path, found = {}, {}, [], {}
+    for root in after:
+        if root in seen:
+            continue
+        seen[root] = low[root] = len(seen)
+        path.append(root)
+        work = [(root, iter(after[root]))]
+        while work:
+            node, rest = work[-1]
+            for x in rest:
+                if x not in seen:
+                    seen[x] = low[x] = len(seen)
+                    path.append(x)
+                    work.append((x, iter(after[x])))
+                    break
+                if x not in found:
+                    low[node] = min(low[node], seen[x])
+            else:
+                work.pop()
+                if work:
+                    low[work[-1][0]] = min(low[work[-1][0]], low[node])
+                if low[node] == seen[node]:
+                    members = [path.pop()]
+                    while members[-1] != node:
+                        members.append(path.pop())
+                    found |= dict.fromkeys(members, min(members))
+    return found
+
+
+def _finish_strong(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """node, component of the ends of edges (group, u, v) that come group by group; no component lies in two groups."""
+    held, now, kind = [], None, None
+
+    def done():
+        found = _least_of_strong(held)
+        held.clear()
+        return pa.RecordBatch.from_arrays([pa.array(list(found), kind), pa.array(list(found.values()), kind)], ["node", "component"])
+
+    for b in batches:
+        kind = b.schema.field("u").type
+        for g, u, v in zip(*(b.column(c).to_pylist() for c in ("group", "u", "v"))):
+            if g != now and len(held) >= FLUSH:
+                yield done()
+            now = g
+            held.append((u, v))
+    if held:
+        yield done()
+
+
+#: Edges of whole groups that are searched together.
+FLUSH = 10_000
+
+
+def _bypass(edges: DataFrame, seed: int) -> tuple[DataFrame, DataFrame]:
+    """Edges (u, v) without some of their nodes, and (node, anchor, other) of those that were bypassed.
+
+    Nodes without an edge out or in go. Of nodes with one edge out (or in), to their anchor, some that aren't neighbours are taken,
+    and their edges from (or to) others are led to the anchor: all other nodes reach each other as before. A bypassed node is
+    in its anchor's component if one of the others is, else alone.
+    """
+    ends = F.explode(F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("o"), F.lit(0).alias("i")), F.struct(F.col("v").alias("node"), F.lit(0).alias("o"), F.lit(1).alias("i"))))
+    degrees = edges.select(ends.alias("e")).groupBy("e.node").agg(F.sum("e.o").alias("o"), F.sum("e.i").alias("i")).filter("o > 0 and i > 0")
+    rank = F.when((F.col("o") == 1) | (F.col("i") == 1), F.struct(F.xxhash64(F.lit(seed), "node").alias("h"), F.col("node").alias("id")))
+    info = materialize(degrees.select("node", rank.alias("rank"), (F.col("o") == 1).alias("out")), "degrees")
+    side = lambda k: info.select(F.col("node").alias(k), F.col("rank").alias(f"rank_{k}"), F.col("out").alias(f"out_{k}"))
+    live = materialize(edges.join(side("u"), "u").join(side("v"), "v"), "scc-live")
+    lost = materialize(live.filter("rank_u is not null and rank_v is not null").select(F.when(F.col("rank_u") < F.col("rank_v"), F.col("u")).otherwise(F.col("v")).alias("node")).distinct().withColumn("lost", F.lit(True)), "lost")
+    flagged = live.join(lost.select(F.col("node").alias("u"), F.col("lost").alias("lost_u")), "u", "left").join(lost.select(F.col("node").alias("v"), F.col("lost").alias("lost_v")), "v", "left")
+    taken = lambda k: F.col(f"rank_{k}").isNotNull() & F.col(f"lost_{k}").isNull()
+    flagged = materialize(flagged.select("u", "v", "out_u", "out_v", taken("u").alias("take_u"), taken("v").alias("take_v")), "scc-flagged")
+    near = lambda node, other, rows: flagged.filter(rows).select(F.col(node).alias("node"), F.col(other).alias("at"), F.col(f"out_{node}").alias("out"))
+    anchors = near("u", "v", "take_u and out_u").unionByName(near("v", "u", "take_v and not out_v"))
+    others = near("v", "u", "take_v and out_v").unionByName(near("u", "v", "take_u and not out_u"))
+    gone = materialize(anchors.withColumnRenamed("at", "anchor").join(others.select("node", F.col("at").alias("other")), "node"), "bypassed")
+    led = gone.select(F.when(F.col("out"), F.col("other")).otherwise(F.col("anchor")).alias("u"), F.when(F.col("out"), F.col("anchor")).otherwise(F.col("other")).alias("v"))
+    left = materialize(flagged.filter("not take_u and not take_v").select("u", "v").unionByName(led).filter("u <> v").distinct(), "scc-edges")
+    for x in (info, live, lost, flagged):
+        discard(x)
+    return left, gone.select("node", "anchor", "other")
+
+
 def strong_components(edges: DataFrame) -> DataFrame:
     """node, component (its least node): nodes that reach each other along directed edges.
 
-    Nodes of a component have the same least node that reaches them and the same least node that they reach. Where both
-    are one node its component is complete; the others go on with only the edges inside a group of equal pairs.
+    Paths are shortened by bypassing nodes as long as that takes a tenth of the edges away, what is left is searched, and bypassed nodes
+    are put back round by round.
     """
     ends = edges.select(F.col("u").alias("node")).union(edges.select("v")).filter("node is not null").distinct()
-    left, open_, done = materialize(edges.select("u", "v").filter("u <> v").distinct(), "scc-edges"), materialize(ends, "scc-nodes"), None
+    now, rounds = materialize(edges.select("u", "v").filter("u <> v").distinct(), "scc-edges"), []
+    n = now.count()
+    while n > LAST_EDGES:
+        left, gone = _bypass(now, len(rounds))
+        discard(now)
+        now, before, n = left, n, left.count()
+        rounds.append(gone)
+        if 10 * n > 9 * before:
+            break
+    found = _searched_components(now)
+    for gone in reversed(rounds):
+        of = lambda k: found.select(F.col("node").alias(k), F.col("component").alias(f"of_{k}"))  # noqa: B023, E731
+        rows = gone.join(of("anchor"), "anchor", "left").join(of("other"), "other", "left")
+        rows = rows.select("node", F.coalesce("of_anchor", "anchor").alias("component"), F.coalesce("of_other", "other").alias("reached"))
+        # a node that isn't here is a component of its own
+        found = found.unionByName(materialize(rows.filter("component = reached").select("node", "component").distinct(), "scc"))
+    every = ends.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("c"))
+    least = every.groupBy("c").agg(F.min("node").alias("component"))
+    return every.join(least, "c").select("node", "component")
+
+
+def _searched_components(edges: DataFrame) -> DataFrame:
+    """node, component (its least node) of the ends of distinct edges without loops.
+
+    Nodes of a component have the same least node that reaches them and the same least node that they reach. Where both
+    are one node its component is complete; the others go on with only the edges inside a group of equal pairs. No component
+    lies in two groups, so groups of at most LAST_EDGES edges are dealt to tasks that finish them, and only larger ones take another round.
+    """
+    ends = edges.select(F.col("u").alias("node")).union(edges.select("v")).distinct()
+    left, open_, done = materialize(edges.select(F.lit(0).alias("group"), "u", "v"), "scc-edges"), materialize(ends, "scc-nodes"), None
     while not open_.isEmpty():
+        sizes = left.groupBy("group").agg(F.count("*").alias("n"))
+        small = left.join(sizes.filter(F.col("n") <= LAST_EDGES), "group", "left_semi").repartition("group").sortWithinPartitions("group")
+        kind = left.schema["u"].dataType.simpleString()
+        local = materialize(small.select("group", "u", "v").mapInArrow(_finish_strong, f"node {kind}, component {kind}"), "scc")
+        large = materialize(left.join(sizes.filter(F.col("n") > LAST_EDGES), "group", "left_semi").select("u", "v"), "scc-edges")
+        inside = large.select(F.col("u").alias("node")).union(large.select("v")).distinct()
+        # a node without an edge in its group is a component of its own
+        alone = open_.join(local, "node", "left_anti").join(inside, "node", "left_anti").select("node", F.col("node").alias("component"))
+        found = materialize(local.unionByName(alone), "scc")
+        done = found if done is None else done.unionByName(found)
+        nodes = materialize(inside, "scc-nodes")
+        for x in (left, open_, local):
+            discard(x)
+        left, open_ = large, nodes
+        if open_.isEmpty():
+            break
         to, back = _least_reaching(left, open_), _least_reaching(left.select(F.col("v").alias("u"), F.col("u").alias("v")), open_)
         pairs = materialize(to.join(back.withColumnRenamed("least", "reached"), "node"), "scc-pairs")
-        found = materialize(pairs.filter("least = reached").select("node", F.col("least").alias("component")), "scc")
-        done = found if done is None else done.unionByName(found)
+        done = done.unionByName(materialize(pairs.filter("least = reached").select("node", F.col("least").alias("component")), "scc"))
         rest = pairs.filter("least <> reached")
         side = lambda k: rest.select(F.col("node").alias(k), F.struct("least", "reached").alias(f"group_{k}"))  # noqa: B023, E731
         old = (left, open_, to, back)
-        left = materialize(left.join(side("u"), "u").join(side("v"), "v").filter("group_u = group_v").select("u", "v"), "scc-edges")
+        left = left.join(side("u"), "u").join(side("v"), "v").filter("group_u = group_v")
+        left = materialize(left.select(F.col("group_u").alias("group"), "u", "v"), "scc-edges")
         open_ = materialize(rest.select("node"), "scc-nodes")
         for x in (*old, pairs):
             discard(x)
@@ -90,7 +229,7 @@ def strong_components(edges: DataFrame) -> DataFrame:
 
 def largest_scc(edges: DataFrame) -> DataFrame:
     """node of the largest strong component; of equals the one with the least node."""
-    found = strong_components(edges)
+    found = materialize(strong_components(edges), "scc")
     best = found.groupBy("component").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "component").limit(1)
     return found.join(best, "component").select("node", "component")
 
