@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowgrid.functions.storage import discard, materialize
@@ -245,24 +245,75 @@ def neighbour_lists(edges: DataFrame) -> DataFrame:
     return edges.groupBy("u").agg(F.array_sort(F.collect_set("v")).alias("neighbours"))
 
 
+#: Levels of tiles that are tried, each half as wide as the one before, and how many points a point may have on its tile.
+LEVELS, ON_A_TILE = 16, 6
+#: Squared distances under this close no sector: rounding could hide what follows from them.
+TINY = 1e-11
+
+
+def _around(spots: DataFrame, size: float) -> DataFrame:
+    """b, bx, by, tx, ty: every spot on its own tile and the eight around it."""
+    near = F.sequence(F.lit(-1), F.lit(1))
+    rows = spots.select(F.col("s").alias("b"), F.col("x").alias("bx"), F.col("y").alias("by"), F.explode(near).alias("i"), (F.floor(F.col("x") / F.lit(size))).alias("tx"), (F.floor(F.col("y") / F.lit(size))).alias("ty"))
+    return rows.select("b", "bx", "by", (F.col("tx") + F.col("i")).alias("tx"), F.explode(F.transform(near, lambda j: F.col("ty") + j)).alias("ty"))
+
+
+def _squared(ax: str, ay: str, bx: str, by: str) -> Column:
+    return F.round(F.pow(F.col(ax) - F.col(bx), 2) + F.pow(F.col(ay) - F.col(by), 2), 12)
+
+
+def _tile_level(spots: DataFrame, radius: float) -> int:
+    """The first level (0: tiles of the radius) on which a spot shares its tile with few others, on the average."""
+    size = F.lit(radius) / F.pow(F.lit(2.0), F.col("level"))
+    tiles = spots.select("x", "y", F.explode(F.sequence(F.lit(0), F.lit(LEVELS))).alias("level"))
+    tiles = tiles.groupBy("level", F.floor(F.col("x") / size).alias("tx"), F.floor(F.col("y") / size).alias("ty")).agg(F.count("*").alias("n"))
+    mean = {r.level: r.mean for r in tiles.groupBy("level").agg((F.sum(F.col("n") * F.col("n")) / F.sum("n")).alias("mean")).collect()}
+    return next((k for k in sorted(mean) if mean[k] <= ON_A_TILE), LEVELS)
+
+
 def relative_neighbours(points: DataFrame, radius: float) -> DataFrame:
     """a, b: pairs closer than ``radius`` with no third point nearer to both than they are to each other.
 
-    Points meet on tiles of the radius's size, so only near points are compared; any point that can rule a pair out is
-    nearer than the radius to both of its ends.
+    Points at one spot have the same neighbours, so spots are compared. In a sector of 45 degrees seen from a spot only the
+    nearest others can be its neighbours: any one farther away is nearer to those than to the spot. So spots look for the nearest of
+    each sector on small tiles, and only those with empty sectors go on with tiles twice as wide, up to the radius. Pairs that are
+    nearest from both sides are compared with all spots around.
     """
-    at = points.select("id", "x", "y", F.floor(F.col("x") / F.lit(radius)).alias("tx"), F.floor(F.col("y") / F.lit(radius)).alias("ty"))
-    around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    spread = at.select(F.col("id").alias("b"), F.col("x").alias("bx"), F.col("y").alias("by_"), F.explode(around).alias("s"), "tx", "ty").select("b", "bx", "by_", (F.col("tx") + F.col("s.i")).alias("tx"), (F.col("ty") + F.col("s.j")).alias("ty"))
-    d2 = F.round(F.pow(F.col("x") - F.col("bx"), 2) + F.pow(F.col("y") - F.col("by_"), 2), 12)
-    near = at.join(spread, ["tx", "ty"]).filter(F.col("id") != F.col("b")).select(F.col("id").alias("a"), "b", d2.alias("d2")).filter(F.col("d2") < radius * radius)
-    near = materialize(near, "near")
-    pairs = near.filter("a < b")
-    other = near.select(F.col("a").alias("a2"), F.col("b").alias("c"), F.col("d2").alias("ac"))
-    ruled = pairs.join(other, pairs.a == other.a2).filter("c <> b and ac < d2")
-    third = near.select(F.col("a").alias("b3"), F.col("b").alias("c3"), F.col("d2").alias("bc"))
-    ruled = ruled.join(third, (F.col("b") == F.col("b3")) & (F.col("c") == F.col("c3"))).filter("bc < d2").select("a", "b").distinct()
-    return pairs.join(ruled, ["a", "b"], "left_anti").select("a", "b")
+    points = points.filter(F.col("x").isNotNull() & F.col("y").isNotNull() & ~F.isnan("x") & ~F.isnan("y"))
+    spots = materialize(points.groupBy("x", "y").agg(F.min("id").alias("s")), "spots")
+    level = _tile_level(spots, radius)
+    open_, from_, found = spots.withColumn("closed", F.lit(0)), 0.0, []
+    dx, dy = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")
+    octant = (dx > 0).cast("int") + F.lit(2) * (dy > 0).cast("int") + F.lit(4) * (F.abs(dx) > F.abs(dy)).cast("int")
+    for k in range(level, -1, -1):
+        reach = radius / 2**k
+        size = reach * (1 + 1e-9)
+        here = open_.select(F.col("s").alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay"), "closed", F.floor(F.col("x") / F.lit(size)).alias("tx"), F.floor(F.col("y") / F.lit(size)).alias("ty"))
+        near = here.join(_around(spots, size), ["tx", "ty"]).filter("a <> b").withColumns({"d2": _squared("ax", "ay", "bx", "by"), "sector": F.pow(F.lit(2), octant).cast("int")})
+        near = near.filter((F.col("d2") < reach * reach) & (F.col("d2") >= from_ * from_) & (F.col("closed").bitwiseAND(F.col("sector")) == 0))
+        near = near.withColumn("sector", F.when(F.col("d2") < TINY, 0).otherwise(F.col("sector"))).withColumn("order", F.when(F.col("sector") == 0, 0.0).otherwise(F.col("d2")))
+        first = near.withColumn("rank", F.rank().over(Window.partitionBy("a", "sector").orderBy("order"))).filter("rank = 1")
+        first = materialize(first.select("a", "ax", "ay", "b", "bx", "by", "d2", "sector"), "nearest")
+        mutual = first.filter("a < b").join(first.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_semi")
+        mutual = mutual.withColumns({"tx": F.floor(F.col("ax") / F.lit(size)), "ty": F.floor(F.col("ay") / F.lit(size))})
+        third = _around(spots, size).select(F.col("b").alias("c"), F.col("bx").alias("cx"), F.col("by").alias("cy"), "tx", "ty")
+        inside = (F.col("c") != F.col("a")) & (F.col("c") != F.col("b")) & (_squared("ax", "ay", "cx", "cy") < F.col("d2")) & (_squared("bx", "by", "cx", "cy") < F.col("d2"))
+        ruled = mutual.join(third, ["tx", "ty"]).filter(inside).select("a", "b").distinct()
+        found.append(materialize(mutual.select("a", "b").join(ruled, ["a", "b"], "left_anti"), "neighbours"))
+        if k:
+            shut = first.groupBy(F.col("a").alias("s")).agg(F.bit_or("sector").alias("shut"))
+            rest = open_.join(shut, "s", "left").withColumn("closed", F.col("closed").bitwiseOR(F.coalesce("shut", F.lit(0)))).drop("shut")
+            old, open_, from_ = open_, materialize(rest.filter("closed <> 255"), "open"), reach
+            discard(old)
+        discard(first)
+    pairs = found[0]
+    for more in found[1:]:
+        pairs = pairs.unionByName(more)
+    members = points.join(spots, ["x", "y"]).select("s", "id")
+    side = lambda s, i: members.select(F.col("s").alias(s), F.col("id").alias(i))
+    apart = pairs.join(side("a", "p"), "a").join(side("b", "q"), "b").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"))
+    together = side("s", "a").join(side("s", "b"), "s").filter("a < b").select("a", "b")
+    return apart.unionByName(together)
 
 
 def largest_patch(cells: DataFrame, links: DataFrame, size: str) -> DataFrame:

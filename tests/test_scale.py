@@ -31,3 +31,32 @@ def test_the_local_search_equals_reachability():
             for u, v in edges:
                 reach[u] |= reach[v]
         assert networks._least_of_strong(edges) == {x: min(y for y in reach[x] if x in reach[y]) for x in reach}
+
+
+def test_relative_neighbours_equal_brute_force_at_any_density(spark):
+    draw = random.Random(3)
+    crowd = [(draw.randrange(40) / 10000, draw.randrange(40) / 10000) for _ in range(250)]  # lattice with copies and ties
+    apart = [(0.012 + draw.random() / 50, draw.random() / 50) for _ in range(60)]
+    close = [(0.02 + k * 1e-7, 0.03) for k in range(6)]  # distances that round to nothing
+    at = dict(enumerate([*crowd, *apart, *close, (0.012, 0.03), (0.0155, 0.03)]))
+    d2 = {(a, b): round((at[a][0] - at[b][0]) ** 2 + (at[a][1] - at[b][1]) ** 2, 12) for a in at for b in at}
+    r2 = 0.004**2
+    near = {a: [b for b in at if b != a and d2[a, b] < r2] for a in at}
+    want = {(a, b) for a in at for b in near[a] if a < b and not any(d2[a, c] < d2[a, b] and d2[b, c] < d2[a, b] for c in near[a] if c != b)}
+    points = spark.createDataFrame([(k, x, y) for k, (x, y) in at.items()] + [(900, None, 0.0)], "id long, x double, y double")
+    got = [(r.a, r.b) for r in networks.relative_neighbours(points, 0.004).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_relative_neighbours_of_a_crowd_compare_few_points(spark, monkeypatch):
+    made, materialize = [], networks.materialize
+
+    def counted(df, name):
+        out = materialize(df, name)
+        made.append(out.count())
+        return out
+
+    monkeypatch.setattr(networks, "materialize", counted)
+    points = spark.createDataFrame([(k, (k % 40) / 10000, (k // 40) / 10000) for k in range(1600)], "id long, x double, y double")
+    assert networks.relative_neighbours(points, 0.004).count() == 2 * 40 * 39
+    assert max(made) < 20 * 1600
