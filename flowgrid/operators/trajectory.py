@@ -60,8 +60,12 @@ def trajectory(routes: DataFrame, people: DataFrame, edges: DataFrame) -> DataFr
     return routes.join(valid_trips(people), "p").join(edges, routes.route == edges.uniqueid)
 
 
-def road_times(traj: DataFrame) -> DataFrame:
-    """Adds own (seconds on the road), time_leaving_road and time_entering_road, roads in route order."""
+def road_times(traj: DataFrame, parts: int | None = None) -> DataFrame:
+    """Adds own (seconds on the road), time_leaving_road and time_entering_road, roads in route order.
+
+    ``parts``: how many partitions the trips are dealt over for it; else Spark decides.
+    """
+    traj = traj.repartition(parts, "p") if parts else traj
     w = Window.partitionBy("p").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     out = traj.withColumn("own", F.col("length") / (F.col("distance") / F.col("num_steps")))
     out = out.withColumn("time_leaving_road", F.col("time_departure") + F.sum("own").over(w))

@@ -8,14 +8,21 @@ from pyspark.sql import functions as F
 from flowgrid.functions.storage import materialize
 from flowgrid.operators import fits, slices, trajectory
 from flowgrid.plans.catalogue import query
-from flowgrid.plans.views import view
+from flowgrid.plans.views import table, view
 
 RUN = ["uci10", "r"]
 CONTROL = "time_departure >= 25200 AND time_departure < 28800"
 
 
+#: Rows of routes that a task sorts and spreads over time, however large the table is.
+TASK_ROWS = 1_000_000
+
+
 def traj(spark: SparkSession, d: str) -> DataFrame:
-    return trajectory.road_times(trajectory.trajectory(view(spark, d, "routes"), view(spark, d, "people"), view(spark, d, "edges")))
+    parts = table(spark, d, "lineitem").count() // TASK_ROWS  # from the files' footers
+    fact = trajectory.trajectory(view(spark, d, "routes"), view(spark, d, "people"), view(spark, d, "edges"))
+    # with fewer rows Spark's own partitions, one for each core at least, are small enough
+    return trajectory.road_times(fact, parts if parts > spark.sparkContext.defaultParallelism else None)
 
 
 def run_traj(spark: SparkSession, d: str) -> DataFrame:

@@ -3,6 +3,7 @@
 import random
 
 from flowgrid.operators import networks
+from flowgrid.plans import trips
 
 
 def test_strong_components_of_long_paths_take_few_rounds(spark, monkeypatch):
@@ -60,3 +61,12 @@ def test_relative_neighbours_of_a_crowd_compare_few_points(spark, monkeypatch):
     points = spark.createDataFrame([(k, (k % 40) / 10000, (k // 40) / 10000) for k in range(1600)], "id long, x double, y double")
     assert networks.relative_neighbours(points, 0.004).count() == 2 * 40 * 39
     assert max(made) < 20 * 1600
+
+
+def test_trajectories_are_dealt_by_their_number_of_rows(spark, sf, monkeypatch):
+    small = trips.traj(spark, sf).select("p", "pos", "time_leaving_road")
+    want = sorted(map(tuple, small.collect()))
+    monkeypatch.setattr(trips, "TASK_ROWS", 1000, raising=False)
+    dealt = trips.traj(spark, sf).select("p", "pos", "time_leaving_road")
+    assert dealt.rdd.getNumPartitions() in (5, 6)  # of about 6,000 rows
+    assert sorted(map(tuple, dealt.collect())) == want
