@@ -18,9 +18,10 @@ NEVER = float("inf")
 
 
 class _Growth:
-    """The components of one group while its links come in."""
+    """The components of one group while its links come in; their states are kept only if they are given out."""
 
-    def __init__(self, key: tuple):
+    def __init__(self, key: tuple, keep: bool = True):
+        self.keep = keep
         self.key, self.parent, self.state, self.out = key, {}, {}, []
         self.heap, self.alive, self.weight, self.peak = [], {}, None, None
 
@@ -34,7 +35,7 @@ class _Growth:
     def _end(self, root, weight: float) -> tuple[int, int]:
         """Close a component's state; one that began at this weight was never seen by a threshold."""
         since, nodes, links = self.state.pop(root, (None, 1, 0))
-        if since is not None and since < weight:
+        if self.keep and since is not None and since < weight:
             self.out.append((*self.key, root, since, weight, nodes, links))
         return nodes, links
 
@@ -74,7 +75,8 @@ class _Growth:
 
     def close(self) -> None:
         self.settle()
-        self.out += [(*self.key, root, since, NEVER, nodes, links) for root, (since, nodes, links) in self.state.items()]
+        if self.keep:
+            self.out += [(*self.key, root, since, NEVER, nodes, links) for root, (since, nodes, links) in self.state.items()]
 
 
 def _fold(by: list[str], peak: bool):
@@ -96,7 +98,7 @@ def _fold(by: list[str], peak: bool):
                     if now is not None:
                         now.close()
                         done += rows()
-                    now = _Growth(tuple(key))
+                    now = _Growth(tuple(key), not peak)
                 now.add(u, v, w)
             if not peak and now is not None:
                 done += rows()

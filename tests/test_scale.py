@@ -2,7 +2,7 @@
 
 import random
 
-from flowgrid.operators import networks
+from flowgrid.operators import merging, networks
 from flowgrid.plans import trips
 
 
@@ -70,3 +70,13 @@ def test_trajectories_are_dealt_by_their_number_of_rows(spark, sf, monkeypatch):
     dealt = trips.traj(spark, sf).select("p", "pos", "time_leaving_road")
     assert dealt.rdd.getNumPartitions() in (5, 6)  # of about 6,000 rows
     assert sorted(map(tuple, dealt.collect())) == want
+
+
+def test_the_peak_keeps_no_states(monkeypatch):
+    import pandas as pd
+
+    made, growth = [], merging._Growth
+    monkeypatch.setattr(merging, "_Growth", lambda *a: made.append(growth(*a)) or made[-1])
+    links = pd.DataFrame({"k": 1, "u": range(50), "v": range(1, 51), "w": [x / 50 for x in range(50)]})
+    (out,) = merging._fold(["k"], True)(iter([links]))
+    assert list(out.itertuples(index=False, name=None)) == [(1, 0.0, 0, 2)] and len(made[0].out) <= 1
