@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from flowgrid.functions.storage import materialize
+
 RING = "array<struct<x: double, y: double>>"
 
 
@@ -73,10 +75,12 @@ def polygon_overlap(source: DataFrame, target: DataFrame, tile: float, most: flo
 
     ``source``: idx, ring (convex, as hexagons are), population; ``target``: idx, ring (any simple polygon). Targets that meet no
     source with population are left out, as are rings of under three points; null populations count as none. A source that isn't
-    convex, or that gives a target more than ``most`` of itself, is an error: the shapes overlap themselves.
+    convex, or that gives a target more than ``most`` of itself, is an error: the shapes overlap themselves. Both tables are stored first,
+    so a polygon is tested once, not for every row that it was made from.
     """
-    s = source.filter((F.col("population") > 0) & (F.size("ring") > 2)).select(F.col("idx").alias("source"), F.col("ring").cast(RING).alias("shape"), F.col("population").cast("double").alias("population"))
-    t = target.filter(F.size("ring") > 2).select(F.col("idx").alias("target"), F.col("ring").cast(RING).alias("ring"))
+    s = materialize(source.select(F.col("idx").alias("source"), F.col("ring").cast(RING).alias("shape"), F.col("population").cast("double").alias("population")), "polygons")
+    t = materialize(target.select(F.col("idx").alias("target"), F.col("ring").cast(RING).alias("ring")), "polygons")
+    s, t = s.filter((F.col("population") > 0) & (F.size("shape") > 2)), t.filter(F.size("ring") > 2)
     s = s.withColumn("area", F.abs(signed_area("shape"))).filter(F.when(~is_convex("shape"), F.raise_error(F.lit("a source polygon is not convex")).cast("boolean")).otherwise(F.col("area") > 0))
     pairs = _on_tiles(s, tile, ring_bounds("shape"), "_s").join(_on_tiles(t, tile, ring_bounds("ring"), "_t"), ["tx", "ty"]).filter(_first_meeting("_s", "_t"))
     shared = pairs.withColumn("part", clipped("ring", "shape"))

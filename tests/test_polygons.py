@@ -92,3 +92,13 @@ def test_few_points_cast_a_ray(spark):
     tiles = polygons.covering(disc, 0.05).groupBy(F.col("sides").isNull().alias("whole")).count().collect()
     n = {r.whole: r["count"] for r in tiles}
     assert n[True] > 1000 > 200 > n[False] > 100
+
+
+def test_polygons_are_tested_once_not_for_each_row_they_are_made_of(spark):
+    people = spark.range(1000).groupBy((F.col("id") % 3).alias("k")).agg(F.count("*").alias("population"))
+    corners = F.array(*[F.struct((F.col("k") + a).cast("double").alias("x"), F.lit(b).alias("y")) for a, b in ((0, 0.0), (1, 0.0), (1, 1.0), (0, 1.0))])
+    shapes = spark.range(3).withColumnRenamed("id", "k").join(people, "k").select(F.col("k").alias("idx"), corners.alias("ring"), "population")
+    out = polygons.polygon_overlap(shapes, shapes, 1.0)
+    # the test for convexity was pushed below the sum of the population, to every row
+    assert "Range" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.idx: r.population for r in out.collect()} == pytest.approx({0: 334.0, 1: 333.0, 2: 333.0})
