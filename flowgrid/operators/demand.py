@@ -24,19 +24,27 @@ def own_rate(od: DataFrame, by: list[str]) -> DataFrame:
     return scale_od(od.join(F.broadcast(total), by), F.col("_r"), by).drop("_r")  # one row a group
 
 
+#: Persons that a task writes out, and those of one flow that come from one row.
+TASK_PERSONS, BLOCK_PERSONS = 500_000, 10_000
+
+
 def expand_persons(od: DataFrame, start_hour: Column, by: list[str] | None = None) -> DataFrame:
     """One row for each person: by columns, person (numbered through in order of group, origin, destination), origin,
     destination, pos, departure (seconds, evenly spread over the hour).
 
-    Numbers come from sums over flows, in two levels, so persons are never sorted and no task sees all flows.
+    Numbers come from sums over flows, in two levels, so persons are never sorted. Flows are stored, since they are read three times;
+    they are cut into blocks that are dealt to tasks by the number of persons, so a large flow is no task's alone.
     """
     keys = by or []
-    od = od.withColumn("_h", start_hour)
+    od = materialize(od.select(*keys, "origin", "destination", "n", start_hour.alias("_h")), "flows")
+    total = od.agg(F.sum(F.greatest("n", F.lit(0)))).first()[0] or 0
     per_origin = od.groupBy(*keys, "origin").agg(F.sum("n").alias("m"))
     before = per_origin.withColumn("_b", F.coalesce(F.sum("m").over(Window.orderBy(*keys, "origin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("m")
     inner = Window.partitionBy(*keys, "origin").orderBy("destination").rowsBetween(Window.unboundedPreceding, -1)
     rows = od.withColumn("_i", F.coalesce(F.sum("n").over(inner), F.lit(0))).join(before, [*keys, "origin"]).filter("n > 0")
-    rows = rows.withColumn("pos", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)))
+    rows = rows.withColumn("_k", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1, F.lit(BLOCK_PERSONS).cast("bigint"))))
+    rows = rows.repartition(int(total) // TASK_PERSONS + 1)
+    rows = rows.withColumn("pos", F.explode(F.sequence("_k", F.least(F.col("_k") + BLOCK_PERSONS, F.col("n")) - 1)))
     return rows.select(*keys, (F.col("_b") + F.col("_i") + F.col("pos")).alias("person"), "origin", "destination", "pos", (F.col("_h") * 3600 + F.col("pos") * 3600 / F.col("n")).alias("departure"))
 
 
@@ -61,6 +69,7 @@ def kept_lost(assigned: DataFrame) -> DataFrame:
 
 def day_demand(hours: DataFrame, control: int, rate: int) -> DataFrame:
     """Persons of a whole day from hourly flows (hour, origin, destination, n): the control hour at ``rate``, others as they are."""
+    hours = materialize(hours, "hours")  # read for each total and for the flows
     rest = own_rate(hours.filter(F.col("hour") != control), ["hour"])
     both = scale_od(hours.filter(F.col("hour") == control), F.lit(rate), ["hour"]).unionByName(rest)
     return expand_persons(both, F.col("hour"), ["hour"])

@@ -2,7 +2,9 @@
 
 import random
 
-from flowgrid.operators import merging, networks
+from pyspark.sql import functions as F
+
+from flowgrid.operators import demand, merging, networks
 from flowgrid.plans import trips
 
 
@@ -80,3 +82,15 @@ def test_the_peak_keeps_no_states(monkeypatch):
     links = pd.DataFrame({"k": 1, "u": range(50), "v": range(1, 51), "w": [x / 50 for x in range(50)]})
     (out,) = merging._fold(["k"], True)(iter([links]))
     assert list(out.itertuples(index=False, name=None)) == [(1, 0.0, 0, 2)] and len(made[0].out) <= 1
+
+
+def test_persons_of_a_large_flow_are_dealt_over_tasks(spark, monkeypatch):
+    monkeypatch.setattr(demand, "TASK_PERSONS", 100, raising=False)
+    monkeypatch.setattr(demand, "BLOCK_PERSONS", 7, raising=False)
+    od = spark.createDataFrame([(0, 1, 950), (0, 2, None), (1, 0, 14), (1, 1, 0), (2, 0, 36)], "origin long, destination long, n long")
+    persons = demand.expand_persons(od, F.lit(7))
+    sizes = persons.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()
+    assert len(sizes) == 11 and max(sizes) < 250
+    got = sorted((r.person, r.origin, r.destination, r.pos, r.departure) for r in persons.collect())
+    flows = [(o, d, k, n) for o, d, n in ((0, 1, 950), (1, 0, 14), (2, 0, 36)) for k in range(n)]
+    assert got == [(i, o, d, k, 25200 + k * 3600 / n) for i, (o, d, k, n) in enumerate(flows)]
