@@ -94,3 +94,11 @@ def test_persons_of_a_large_flow_are_dealt_over_tasks(spark, monkeypatch):
     got = sorted((r.person, r.origin, r.destination, r.pos, r.departure) for r in persons.collect())
     flows = [(o, d, k, n) for o, d, n in ((0, 1, 950), (1, 0, 14), (2, 0, 36)) for k in range(n)]
     assert got == [(i, o, d, k, 25200 + k * 3600 / n) for i, (o, d, k, n) in enumerate(flows)]
+
+
+def test_a_days_flows_are_made_once(spark, monkeypatch):
+    stored, materialize = [], demand.materialize
+    monkeypatch.setattr(demand, "materialize", lambda df, name: stored.append(name) or materialize(df, name))
+    hours = spark.createDataFrame([(6, 0, 1, 3600), (7, 0, 1, 5), (8, 1, 0, 7200)], "hour long, origin long, destination long, n long")
+    got = demand.day_demand(hours, 7, 1).groupBy("hour").count().collect()
+    assert {r.hour: r["count"] for r in got} == {6: 3600, 7: 3600, 8: 7200} and stored == ["hours", "flows"]
