@@ -13,8 +13,8 @@ LAST_EDGES = 100_000
 
 
 def _finish(batches):
-    """The least node of the component of each end of all edges, by union and find."""
-    parent: dict = {}
+    """One node of the component of each end of all edges, by union and find over the places where nodes were met first."""
+    place, nodes, parent = {}, [], []
 
     def find(x):
         while parent[x] != x:
@@ -22,19 +22,22 @@ def _finish(batches):
             x = parent[x]
         return x
 
-    kind, nodes = None, {}
+    def at(node):
+        key = tuple(_flat(node))
+        if key not in place:
+            place[key] = len(nodes)
+            nodes.append(node)
+            parent.append(place[key])
+        return find(place[key])
+
+    kind = None
     for b in batches:
-        kind = b.schema.field("a").type
-        for row in zip(*(b.column(c).to_pylist() for c in ("a", "b"))):
-            p, q = (tuple(_flat(x)) for x in row)
-            for key, x in zip((p, q), row):
-                if key not in parent:
-                    parent[key], nodes[key] = key, x
-            p, q = find(p), find(q)
-            if p != q:
-                parent[max(p, q)] = min(p, q)
+        kind = b.schema.field("u").type
+        for u, v in zip(*(b.column(c).to_pylist() for c in ("u", "v"))):
+            p, q = at(u), at(v)
+            parent[max(p, q)] = min(p, q)
     if nodes:
-        yield pa.RecordBatch.from_arrays([pa.array(list(nodes.values()), kind), pa.array([nodes[find(k)] for k in nodes], kind)], ["n", "m"])
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, kind), pa.array([nodes[find(k)] for k in range(len(nodes))], kind)], ["n", "m"])
 
 
 def _flat(x):
@@ -52,33 +55,30 @@ def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
     Every round each node joins the least of its neighbours in a hashed order, another one each round, and edges are rewritten
     between the nodes that were joined; rounds go on until no edge is left or so few are that one task can finish them. Nodes may
     be of any type that can be ordered. Edges with a null end are left out, self-loops give a component of one; repeated edges and
-    an empty list are fine.
+    an empty list are fine. Hashes are made where they are compared, so that shuffles and stored tables hold nodes only.
     """
-    key = lambda c, seed: F.struct(F.xxhash64(F.lit(seed), c).alias("h"), F.col(c).alias("id"))
-    rows = edges.select(F.col(u).alias("u"), F.col(v).alias("v")).filter("u is not null and v is not null").select(key("u", 0).alias("a"), key("v", 0).alias("b"))
-    now, maps = materialize(rows.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges"), []
+    distinct = lambda rows: rows.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    rows = edges.select(F.col(u).alias("u"), F.col(v).alias("v")).filter("u is not null and v is not null")
+    now, maps = materialize(distinct(rows), "edges"), []
     while not now.isEmpty():
-        kind = now.schema["a"].dataType.simpleString()
+        kind = now.schema["u"].dataType.simpleString()
         if now.count() <= LAST_EDGES:
             maps.append(materialize(now.coalesce(1).mapInArrow(_finish, f"n {kind}, m {kind}"), "chosen"))
             break
+        key = lambda c: F.struct(F.hash(F.lit(len(maps)), c).alias("h"), F.col(c).alias("id"))  # noqa: E731, B023
         # each edge row tells both its ends; counted up before the shuffle
-        ends = now.select(F.explode(F.array(F.struct(F.col("a").alias("n"), F.col("a").alias("m")), F.struct(F.col("b").alias("n"), F.col("a").alias("m")))).alias("e"))
-        chosen = materialize(ends.groupBy("e.n").agg(F.min("e.m").alias("m")), "chosen")
+        ends = now.select(F.least(key("u"), key("v")).alias("m"), F.explode(F.array("u", "v")).alias("n"))
+        chosen = materialize(ends.groupBy("n").agg(F.min("m").alias("m")).select("n", F.col("m.id").alias("m")), "chosen")
         maps.append(chosen)
-        left = now.filter("a != b").join(chosen.select(F.col("n").alias("a"), F.col("m").alias("ma")), "a").join(chosen.select(F.col("n").alias("b"), F.col("m").alias("mb")), "b")
-        left = left.filter("ma != mb").select(F.col("ma.id").alias("u"), F.col("mb.id").alias("v"))
-        seed = len(maps)
-        left = left.select(key("u", seed).alias("a"), key("v", seed).alias("b"))
-        old, now = now, materialize(left.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+        left = now.filter("u != v").join(chosen.select(F.col("n").alias("u"), F.col("m").alias("mu")), "u").join(chosen.select(F.col("n").alias("v"), F.col("m").alias("mv")), "v")
+        old, now = now, materialize(distinct(left.filter("mu != mv").select(F.col("mu").alias("u"), F.col("mv").alias("v"))), "edges")
         discard(old)
     discard(now)
     if not maps:
-        ends = rows.select(F.col("a.id").alias("node"), F.col("b.id").alias("component"))
-        return ends.limit(0)
-    out = maps[0].select(F.col("n.id").alias("node"), F.col("m.id").alias("at"))
+        return rows.select(F.col("u").alias("node"), F.col("v").alias("component")).limit(0)
+    out = maps[0].select(F.col("n").alias("node"), F.col("m").alias("at"))
     for later in maps[1:]:
-        out = out.join(later.select(F.col("n.id").alias("at"), F.col("m.id").alias("m")), "at", "left").select("node", F.coalesce("m", "at").alias("at"))
+        out = out.join(later.select(F.col("n").alias("at"), "m"), "at", "left").select("node", F.coalesce("m", "at").alias("at"))
     stored = materialize(out.select("node", F.col("at").alias("component")), "components")
     for m in maps:
         discard(m)

@@ -23,13 +23,18 @@ def grouped_components(edges: DataFrame, by: list[str], u: str = "u", v: str = "
 
 
 def giant_sizes(edges: DataFrame, by: list[str], most: int = 2) -> DataFrame:
-    """by columns, rank, component, nodes, links of the ``most`` largest components; links are distinct undirected pairs."""
-    found = grouped_components(edges, by)
-    nodes = found.groupBy(*by, "component").agg(F.count("*").alias("nodes"))
-    pairs = edges.select(*by, F.least("u", "v").alias("node"), F.greatest("u", "v").alias("other")).distinct()
-    links = pairs.join(found, [*by, "node"]).groupBy(*by, "component").agg(F.count("*").alias("links"))
+    """by columns, rank, component, nodes, links of the ``most`` largest components; links are distinct undirected pairs.
+
+    The links are stored first: they are read twice, and what they are made from may be far larger. Rows with a null end are no links.
+    """
+    pairs = edges.filter("u is not null and v is not null").select(*by, F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    pairs = materialize(pairs, "links")
+    found = grouped_components(pairs, by)
+    # a node's links are those to greater nodes, so a component's are the sum over its nodes
+    links = pairs.groupBy(*by, F.col("u").alias("node")).agg(F.count("*").alias("links"))
+    sizes = found.join(links, [*by, "node"], "left").groupBy(*by, "component").agg(F.count("*").alias("nodes"), F.sum(F.coalesce("links", F.lit(0))).alias("links"))
     rank = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("nodes"), "component"))
-    return nodes.join(links, [*by, "component"]).withColumn("rank", rank).filter(F.col("rank") <= most)
+    return sizes.withColumn("rank", rank).filter(F.col("rank") <= most).select(*by, "component", "nodes", "links", "rank")
 
 
 def percolation_sweep(classes: DataFrame, thresholds: list[float], by: list[str]) -> DataFrame:

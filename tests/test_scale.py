@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from flowgrid.operators import demand, merging, networks
+from flowgrid.operators import components, demand, merging, networks
 from flowgrid.plans import trips
 
 
@@ -102,3 +102,16 @@ def test_a_days_flows_are_made_once(spark, monkeypatch):
     hours = spark.createDataFrame([(6, 0, 1, 3600), (7, 0, 1, 5), (8, 1, 0, 7200)], "hour long, origin long, destination long, n long")
     got = demand.day_demand(hours, 7, 1).groupBy("hour").count().collect()
     assert {r.hour: r["count"] for r in got} == {6: 3600, 7: 3600, 8: 7200} and stored == ["hours", "flows"]
+
+
+def test_components_store_nodes_without_hashes_and_links_once(spark, monkeypatch):
+    tables, materialize = [], components.materialize
+    noted = lambda df, name: tables.append((name, df.columns, df.dtypes)) or materialize(df, name)
+    monkeypatch.setattr(components, "materialize", noted)
+    monkeypatch.setattr(networks, "materialize", noted)
+    monkeypatch.setattr(components, "LAST_EDGES", 3)
+    edges = [(k, u, v) for k in (1, 2, None) for u, v in ((1, 2), (2, 1), (3, 2), (4, 5), (5, 6), (6, 7), (9, 9))] + [(1, 20, None), (1, None, 4)]
+    got = networks.giant_sizes(spark.createDataFrame(edges, "k long, u long, v long").filter("k is not null"), ["k"])
+    assert sorted((r.k, r["rank"], r.component, r.nodes, r.links) for r in got.collect()) == [(k, n + 1, *x) for k in (1, 2) for n, x in enumerate(((4, 4, 3), (1, 3, 2)))]
+    assert [n for n, *_ in tables].count("links") == 1
+    assert not any("h:int" in t or "h:bigint" in t for _, _, kinds in tables for _, t in kinds)
