@@ -11,12 +11,12 @@ import bisect
 import zlib
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowgrid.llm.shared import materialize, pick
-from flowgrid.llm.tokens import encoder, in_batches
+from flowgrid.llm.tokens import encoder, text_batches
 
 CAPACITY = 4096
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -25,10 +25,9 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 def _pieces(vocabulary: str, capacity: int, end_id: int | None):
     def run(batches):
         code = encoder(vocabulary)
-        for pdf in batches:
-            texts, doc_ids = pdf.text.fillna("").tolist(), pdf.doc_id.astype("Int64")
-            for lo, hi in in_batches(texts):
-                ids, offs = code.encode(texts[lo:hi])
+        for b in batches:
+            for lo, hi, texts in text_batches(b.column("text"), 1_000_000):
+                ids, offs = code.encode(texts)
                 if end_id is not None:
                     ids, offs = np.insert(ids, offs[1:], end_id), offs + np.arange(len(offs))
                 ids, size = ids.astype("<u4"), np.diff(offs)
@@ -37,7 +36,8 @@ def _pieces(vocabulary: str, capacity: int, end_id: int | None):
                 start, doc = piece * capacity, np.repeat(np.arange(len(n)), n)
                 length = np.minimum(capacity, size[doc] - start)
                 crc = [zlib.crc32(ids[a:b]) for a, b in zip(offs[doc] + start, offs[doc] + start + length)]
-                yield pd.DataFrame({"doc_id": doc_ids.iloc[lo:hi].array[doc], "piece": piece.astype(np.int32), "start": start, "length": length, "ids_crc32": crc})
+                doc_ids = b.column("doc_id").slice(lo, hi - lo).take(pa.array(doc))
+                yield pa.RecordBatch.from_arrays([doc_ids, *map(pa.array, (piece.astype(np.int32), start, length, np.array(crc, np.int64)))], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return run
 
@@ -48,7 +48,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end
     Returns doc_id, piece, start, length, ids_crc32. Null texts count as empty.
     """
     rows = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInPandas(_pieces(vocabulary, capacity, end_id), PIECES)
+    return rows.mapInArrow(_pieces(vocabulary, capacity, end_id), PIECES)
 
 
 def plan_slots(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int, int]]:

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from flowgrid.llm.shared import pick
-from flowgrid.llm.tokens import encoder, in_batches
+from flowgrid.llm.tokens import encoder, text_batches
 
 STORED = "doc_id long, part int, local_start long, n_tokens long, ids array<int>"
 
@@ -42,9 +42,9 @@ def _encode(vocabulary: str, end_id: int | None):
 
         code, part, at = encoder(vocabulary), TaskContext.get().partitionId(), 0
         for b in batches:
-            texts, doc_ids = b.column("text").fill_null("").to_pylist(), b.column("doc_id")
-            for lo, hi in in_batches(texts):
-                ids, offs = code.encode(texts[lo:hi])
+            doc_ids = b.column("doc_id")
+            for lo, hi, texts in text_batches(b.column("text")):
+                ids, offs = code.encode(texts)
                 if end_id is not None:
                     ids, offs = np.insert(ids, offs[1:], end_id), offs + np.arange(len(offs))
                 columns = [

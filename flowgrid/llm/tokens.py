@@ -29,8 +29,8 @@ PRE_TOKENIZER = {
         {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
     ],
 }
-#: Chunks kept per worker (about 150 MB) and the longest one kept; others are encoded when met.
-CACHE_CHUNKS, CACHE_CHUNK_CHARS = 800_000, 48
+#: Chunks kept per worker (about 70 MB) and the longest one kept; others are encoded when met.
+CACHE_CHUNKS, CACHE_CHUNK_CHARS = 400_000, 48
 #: Characters worked on at once.
 BATCH_CHARS = 2_000_000
 
@@ -58,7 +58,7 @@ class ChunkEncoder:
         self.by_chunk = rules.get("normalizer") == NORMALIZER and rules.get("pre_tokenizer") == PRE_TOKENIZER and not rules.get("post_processor")
         self.index: dict[str, int] = {}
         self.ids, self.start = np.zeros(1 << 16, np.int32), np.zeros(1 << 14, np.int64)
-        self.chunks = 0
+        self.chunks, self.met = 0, np.zeros(keep, np.uint8)
 
     def _append(self, encoded) -> None:
         """Store the ids of further chunks behind those there are."""
@@ -107,7 +107,8 @@ class ChunkEncoder:
         words = list(chain.from_iterable(split))
         per_text = np.fromiter(map(len, split), np.int64, len(split))
         at = np.fromiter(map(self.index.get, words, repeat(-1)), np.int64, len(words))
-        kept, new = self.chunks, []
+        kept, new, known = self.chunks, [], at[at >= 0]
+        self.met[known] = np.minimum(self.met[known], 200) + 1
         if (missing := np.flatnonzero(at < 0)).size:
             new = list(dict.fromkeys(words[i] for i in missing))
             new.sort(key=lambda w: len(w) > CACHE_CHUNK_CHARS)
@@ -123,8 +124,36 @@ class ChunkEncoder:
             stay = min(sum(len(w) <= CACHE_CHUNK_CHARS for w in new), max(0, self.keep - kept))
             self.index.update((w, kept + k) for k, w in enumerate(new[:stay]))
             self.chunks = kept + stay
+            if self.chunks == self.keep:
+                self._forget()
         return ids, offsets
 
+    def _forget(self) -> None:
+        """Make room by dropping the chunks that didn't come again, if they are a quarter or more; the others age."""
+        stay = self.met[: self.chunks] > 0
+        if (n := int(stay.sum())) * 4 <= 3 * self.keep:
+            # the index lists chunks in the order of their numbers
+            self.index = {w: k for k, w in enumerate(w for w, k in self.index.items() if stay[k])}
+            size, ids = np.diff(self.start[: self.chunks + 1]), self.ids[: self.start[self.chunks]]
+            ids = ids[np.repeat(stay, size)]
+            self.ids[: len(ids)], self.start[1 : n + 1] = ids, np.cumsum(size[stay])
+            self.met[:n], self.met[n:], self.chunks = self.met[: len(stay)][stay], 0, n
+        self.met >>= 1
+
+
+def text_batches(column, most: int = BATCH_CHARS):
+    """Ranges (lo, hi) of an Arrow column of texts that hold about ``most`` bytes each, with those texts: only they are Python strings.
+
+    Every text is whole; nulls count as empty.
+    """
+    import pyarrow.compute as pc
+
+    ends, lo = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)), 0
+    while lo < len(column):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + most, "right")))
+        yield lo, hi, column.slice(lo, hi - lo).fill_null("").to_pylist()
+        lo = hi
+
 
 def in_batches(texts: list[str], most: int = BATCH_CHARS):
     """Ranges of texts that hold about ``most`` characters each; every text is whole."""

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowgrid.llm.shared import bounded_sample, pick
-from flowgrid.llm.tokens import in_batches
+from flowgrid.llm.tokens import in_batches, text_batches
 
 WINDOW, STRIDE = 32, 24
 #: Rows of the word and character tables, numbers in a row, size of a gated unit's state.
@@ -251,8 +251,7 @@ def without_toxic(docs: DataFrame, net: Network, threshold: float = THRESHOLD) -
         n = Network()
         n.p = shared.value
         for b in batches:
-            texts = b.column("text").fill_null("").to_pylist()
-            fine = [n.score(texts[lo:hi]) < threshold for lo, hi in in_batches(texts, 1_000_000)]
-            yield b.filter(pa.array(np.concatenate([np.zeros(0, bool), *fine])))
+            for lo, hi, texts in text_batches(b.column("text"), 1_000_000):
+                yield b.slice(lo, hi - lo).filter(pa.array(n.score(texts) < threshold))
 
     return docs.mapInArrow(run, docs.schema)

@@ -171,6 +171,16 @@ def test_every_link_of_a_line_is_counted(spark):
     assert len(set(class_of.values())) == len({(class_of[k], a) for k, a in sets.items()}) == len(set(sets.values()))
 
 
+def test_edits_in_a_family_leave_a_line_with_another(spark):
+    # 20 words, one replaced at each place and by three words: with one family of the four least hashes, those edited there stood alone
+    rows = [(3 * i + j, " ".join(f"y{i}{j}" if k == i else f"w{k}" for k in range(20))) for i in range(20) for j in range(3)]
+    sets = line_dedup.materialize(line_dedup.line_sets(spark.createDataFrame(rows, "doc_id long, text string")), "test-sets")
+    classes = line_dedup.materialize(line_dedup.line_classes(sets, line_dedup.rarity(sets)), "test-classes")
+    blocks, _ = line_dedup.family_blocks(classes)
+    assert blocks.filter("size(members) > 1").agg(F.sum(F.size("members"))).first()[0] >= 50
+    assert line_dedup.class_links(classes, sets).agg(F.sum("n_links"), F.min("n_links")).first() == (60 * 59, 59)
+
+
 def test_line_query_gives_links(spark, sf):
     assert "line_links" in queries.op2_line_dedup(spark, sf).columns
 
@@ -532,6 +542,28 @@ def test_chunks_encode_like_whole_texts():
         assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:])] == [e[:-1].tolist() for e in encoded(texts, 0)]
 
 
+def test_the_encoder_forgets_chunks_that_did_not_come_again():
+    code, want = tokens.ChunkEncoder(VOCABULARY, 8), encoded(texts := [f"once{k} again{k // 40 % 2} often, a.b" for k in range(80)], 0)
+    for t, ids in zip(texts, want):
+        assert code.encode([t])[0].tolist() == ids[:-1].tolist() and code.chunks == len(code.index) <= 8
+    assert {"often,", "a.b", "again1"} <= set(code.index) and sorted(code.index.values()) == list(range(code.chunks))
+
+
+def test_few_texts_of_an_arrow_batch_are_strings_at_once():
+    import pyarrow as pa
+
+    texts = ["é" * 30, None, "", "x" * 500, *["ab"] * 100, None]
+    got = list(tokens.text_batches(pa.array(texts).slice(0), 100))
+    assert [t for *_, some in got for t in some] == [t or "" for t in texts]
+    assert [lo for lo, *_ in got] == [0, *(hi for _, hi, _ in got[:-1])] and got[-1][1] == len(texts) and len(got) == 4
+    assert all(len(some) == 1 or sum(len(t.encode()) for t in some) <= 100 for *_, some in got)
+    assert list(tokens.text_batches(pa.array([], pa.string()))) == []
+    assert [t for *_, some in tokens.text_batches(pa.array(texts).slice(3, 5), 100) for t in some] == texts[3:8]
+    docs = pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "text": texts})
+    packed = list(packing._pieces(VOCABULARY, 4096, 1)([docs]))
+    assert [i for b in packed for i in b.column("doc_id").to_pylist()] == list(range(len(texts)))
+
+
 def test_fuzzed_texts_encode_like_the_library(tmp_path):
     r = np.random.default_rng(12)
     parts = [*"aZéÉÜñÅŸŊǅŉǰİıſßΣσς.,'-3²٣\u0301\u0307\u0328\u0344\u212b\ufb01日한", "\u1112\u1161\u11ab", "<|endoftext|>", "<|", "'S", "I'LL", " ", " ", "  ", "\n", "\t", "\x0b", "\x85", "\u00a0", "\u2003", "\u3000"]
