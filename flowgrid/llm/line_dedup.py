@@ -73,7 +73,8 @@ def rarity(sets: DataFrame) -> list[int]:
 
 def line_classes(sets: DataFrame, rank: list[int]) -> DataFrame:
     """One row for each distinct set: no (a number of its own), its first line in the order of doc_id, line number and
-    text hash, n (words), bits and more_bits (each of the 128 is the parity of its share of the words), family, and prefix (its rarest words, rarest first).
+    text hash, n (words), bits and more_bits (each of the 128 is the parity of its share of the words), families (hashes of its four least and
+    of its four greatest words), and prefix (its rarest words, rarest first).
 
     Sets of up to three words have no prefix: nothing but an equal set can be that similar to them.
     """
@@ -84,9 +85,9 @@ def line_classes(sets: DataFrame, rank: list[int]) -> DataFrame:
     size = f"case when size(s) <= 3 then 0 else size(s) - {_ratio('size(s)', NUMERATOR, DENOMINATOR)} + 1 end"
     parity = lambda half: F.expr(f"aggregate(s, 0L, (b, x) -> if(x & 64 = {64 * half}, b ^ shiftleft(1L, cast(x & 63 as int)), b))")
     at = F.struct(F.coalesce("doc_id", F.lit(NULL_DOC)).alias("doc"), F.col("line_no").alias("line"), "text_hash")
-    rows = sets.select("id", "more_id", at.alias("at"), F.size("s").alias("n"), parity(0).alias("bits"), parity(1).alias("more_bits"), F.expr("xxhash64(slice(s, 1, 4))").alias("family"), ordered.alias("o"))
+    rows = sets.select("id", "more_id", at.alias("at"), F.size("s").alias("n"), parity(0).alias("bits"), parity(1).alias("more_bits"), F.expr("array(xxhash64(slice(s, 1, 4)), xxhash64(1, slice(s, greatest(1, size(s) - 3), 4)))").alias("families"), ordered.alias("o"))
     rows = rows.withColumn("prefix", F.expr(f"transform(slice(o, 1, {size.replace('size(s)', 'n')}), x -> cast(x & 2147483647 as int))")).drop("o")
-    rows = rows.groupBy("id", "more_id").agg(F.min("at").alias("at"), *[F.any_value(c).alias(c) for c in ("n", "bits", "more_bits", "family", "prefix")])
+    rows = rows.groupBy("id", "more_id").agg(F.min("at").alias("at"), *[F.any_value(c).alias(c) for c in ("n", "bits", "more_bits", "families", "prefix")])
     return rows.withColumn("no", F.monotonically_increasing_id())
 
 
@@ -103,14 +104,17 @@ def _in_map(hashes: DataFrame, h: Column) -> Column:
 def family_blocks(classes: DataFrame) -> tuple[DataFrame, Column]:
     """(blocks, a condition that all their classes meet): block, members (no, n, bits, more_bits, prefix) and radius.
 
-    Families of FAMILY classes or more are cut into blocks of up to BLOCK by hash; classes whose bits are
-    far from those of their block's first one stand alone, as do other classes that meet the
-    condition.
+    A class belongs to the larger of its two families, so that an edit in the words of one leaves it the other. Families of
+    FAMILY classes or more are cut into blocks of up to BLOCK by hash; classes whose bits are far from those of their block's
+    first one stand alone, as do other classes that meet the condition.
     """
-    sized = classes.filter("size(prefix) > 0").groupBy("family").agg(F.count("*").alias("size")).filter(F.col("size") >= FAMILY)
+    sized = classes.filter("size(prefix) > 0").select(F.explode("families").alias("family")).groupBy("family").agg(F.count("*").alias("size")).filter(F.col("size") >= FAMILY)
     sized = materialize(sized, "families")
-    maybe = _in_map(sized.select(F.col("family").alias("h")), F.col("family")) & (F.size("prefix") > 0)
-    rows = classes.filter(maybe).join(sized, "family", "left")
+    inside = [_in_map(sized.select(F.col("family").alias("h")), F.expr(f"families[{k}]")) for k in range(2)]
+    maybe = (inside[0] | inside[1]) & (F.size("prefix") > 0)
+    of = lambda k: sized.select(F.col("family").alias(f"family{k}"), F.col("size").alias(f"size{k}"))
+    rows = classes.filter(maybe).withColumns({f"family{k}": F.expr(f"families[{k}]") for k in range(2)}).join(of(0), "family0", "left").join(of(1), "family1", "left")
+    rows = rows.withColumns({"size": F.greatest("size0", "size1"), "family": F.when(F.coalesce(F.col("size0") >= F.col("size1"), F.col("size1").isNull()), F.col("family0")).otherwise(F.col("family1"))})
     member = F.struct("no", "n", "bits", "more_bits", "prefix")
     alone = F.col("size").isNull()
     slot = F.when(alone, F.col("no")).otherwise(F.pmod("more_id", F.ceil(F.col("size") * 2 / BLOCK)))
