@@ -6,7 +6,7 @@ down by length and by the places where they meet, then verified on whole sets, a
 earlier one is removed. All of it is column expressions: no Python runs on the executors.
 
 Equal sets are one class from the start, so a line that is copied very often counts once in the join. Classes of a
-large family of near copies (equal least word hashes) go through the join in blocks of up to ``BLOCK``, so that its
+large family of near copies (equal least, or equal greatest, word hashes) go through the join in blocks of up to ``BLOCK``, so that its
 pairs are checked inside few rows and only counts come out. Which classes make a block decides nothing but speed.
 """
 
