@@ -57,15 +57,31 @@ def arrival_histogram(people: DataFrame, dt: int = 25) -> DataFrame:
     return rows.groupBy(F.floor(F.col("last_time_simulated") / F.lit(float(wide))).alias("k")).agg(F.count("*").alias("n"))
 
 
+def _spans(traj: DataFrame, start: str, end: str) -> DataFrame:
+    """Adds _k0 and _k1, the first and last instant inside [start, end]; rows without one are left out."""
+    k0, k1 = first_instant(F.col(start)), last_instant(F.col(end))
+    return traj.withColumns({"_k0": k0, "_k1": k1}).filter("_k0 <= _k1")
+
+
+def _at_instants(spans: DataFrame) -> DataFrame:
+    return spans.withColumn("k", F.explode(F.sequence("_k0", "_k1"))).drop("_k0", "_k1")
+
+
 def stab(traj: DataFrame, start: str = "time_departure", end: str = "time_leaving_road") -> DataFrame:
     """Every row once for each instant k inside its [start, end]; linear in what comes out."""
-    k0, k1 = first_instant(F.col(start)), last_instant(F.col(end))
-    return traj.withColumns({"_k0": k0, "_k1": k1}).filter("_k0 <= _k1").withColumn("k", F.explode(F.sequence("_k0", "_k1"))).drop("_k0", "_k1")
+    return _at_instants(_spans(traj, start, end))
+
 
+def edge_slices(traj: DataFrame, run: list[str] | None = None, start: str = "time_departure", parts: int | None = None) -> DataFrame:
+    """run columns, route, k, flux, speed_kmh: people on each road at each instant and their mean speed.
 
-def edge_slices(traj: DataFrame, run: list[str] | None = None, start: str = "time_departure") -> DataFrame:
-    """run columns, route, k, flux, speed_kmh: people on each road at each instant and their mean speed."""
-    return stab(traj, start).groupBy(*(run or []), "route", "k").agg(F.count("p").alias("flux"), F.avg("kmh").alias("speed_kmh"))
+    Rows go to the task of their road before they are repeated for their instants, so that each is shuffled once.
+    ``parts``: over how many partitions the roads are dealt for it; else Spark decides.
+    """
+    by = [*(run or []), "route"]
+    spans = _spans(traj, start, "time_leaving_road").select(*by, "p", "kmh", "_k0", "_k1")
+    spans = spans.repartition(parts, "route") if parts else spans.repartition("route")
+    return _at_instants(spans).groupBy(*by, "k").agg(F.count("p").alias("flux"), F.avg("kmh").alias("speed_kmh"))
 
 
 def edge_slices_wide(slices: DataFrame, instants: list[int]) -> DataFrame:

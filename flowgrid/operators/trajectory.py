@@ -51,13 +51,17 @@ def valid_trips(people: DataFrame, most_kmh: float = 150.0) -> DataFrame:
     return people.filter("num_steps <> 0").withColumn("kmh", speed).filter(F.col("kmh") < most_kmh)
 
 
-def trajectory(routes: DataFrame, people: DataFrame, edges: DataFrame) -> DataFrame:
+def trajectory(routes: DataFrame, people: DataFrame, edges: DataFrame, parts: int | None = None) -> DataFrame:
     """One row for each (person, road): routes with their trips, valid ones only, and the roads' attributes.
 
     Roads that aren't in ``edges`` are dropped. Roads are a table of fixed size (a city's network), so Spark may
-    broadcast them if they are small; trips and routes meet on p.
+    broadcast them if they are small; trips and routes meet on p. With ``parts`` roads come first and trips and routes
+    are dealt over that many partitions, so routes are shuffled once for their trips and for the order of their roads.
     """
-    return routes.join(valid_trips(people), "p").join(edges, routes.route == edges.uniqueid)
+    trips, road = valid_trips(people), routes.route == edges.uniqueid
+    if not parts:
+        return routes.join(trips, "p").join(edges, road)
+    return routes.join(edges, road).repartition(parts, "p").join(trips.repartition(parts, "p"), "p")
 
 
 def road_times(traj: DataFrame, parts: int | None = None) -> DataFrame:

@@ -8,7 +8,7 @@ from flowgrid.operators import centrality, field, merging, networks, roads, slic
 from flowgrid.plans.catalogue import query
 from flowgrid.plans.flows import pairs
 from flowgrid.plans.tiling import LATTICE, lattice
-from flowgrid.plans.trips import CLASSED, rounded, traj
+from flowgrid.plans.trips import CLASSED, road_slices, rounded
 from flowgrid.plans.views import view
 
 FIELD = """SELECT idx, coalesce(ox, 0) AS out_x, coalesce(oy, 0) AS out_y, coalesce(nx, 0) AS in_x, coalesce(ny, 0) AS in_y FROM (SELECT DISTINCT origin AS idx FROM tij UNION SELECT destination FROM tij) k
@@ -91,7 +91,7 @@ def a16_potential(spark, d):
 
 
 def classes(spark, d):
-    return slices.traffic_classes(slices.edge_slices(traj(spark, d)), view(spark, d, "edges"))
+    return slices.traffic_classes(road_slices(spark, d), view(spark, d, "edges"))
 
 
 def moderate(spark, d):

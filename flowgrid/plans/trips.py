@@ -18,11 +18,19 @@ CONTROL = "time_departure >= 25200 AND time_departure < 28800"
 TASK_ROWS = 1_000_000
 
 
-def traj(spark: SparkSession, d: str) -> DataFrame:
+def task_count(spark: SparkSession, d: str) -> int | None:
+    """Over how many tasks the rows of routes are dealt; with few rows none: Spark's own partitions, one for each core at least, are small enough."""
     parts = table(spark, d, "lineitem").count() // TASK_ROWS  # from the files' footers
-    fact = trajectory.trajectory(view(spark, d, "routes"), view(spark, d, "people"), view(spark, d, "edges"))
-    # with fewer rows Spark's own partitions, one for each core at least, are small enough
-    return trajectory.road_times(fact, parts if parts > spark.sparkContext.defaultParallelism else None)
+    return parts if parts > spark.sparkContext.defaultParallelism else None
+
+
+def traj(spark: SparkSession, d: str) -> DataFrame:
+    views = (view(spark, d, name) for name in ("routes", "people", "edges"))
+    return trajectory.road_times(trajectory.trajectory(*views, task_count(spark, d)))
+
+
+def road_slices(spark: SparkSession, d: str) -> DataFrame:
+    return slices.edge_slices(traj(spark, d), parts=task_count(spark, d))
 
 
 def run_traj(spark: SparkSession, d: str) -> DataFrame:
@@ -136,17 +144,17 @@ def j07(spark, d):
 
 @query("a04_edge_slices", f"SELECT route, k, flux, round(speed_kmh, 6) AS speed_kmh FROM ({SLICES})")
 def a04(spark, d):
-    return rounded(slices.edge_slices(traj(spark, d)))
+    return rounded(road_slices(spark, d))
 
 
 @query("a05_edge_slices_wide", f"SELECT route, coalesce(max(CASE WHEN k = 28 THEN flux END), 0) AS flux_28, round(coalesce(max(CASE WHEN k = 28 THEN speed_kmh END), 0), 6) AS speed_kmh_28, coalesce(max(CASE WHEN k = 36 THEN flux END), 0) AS flux_36, round(coalesce(max(CASE WHEN k = 36 THEN speed_kmh END), 0), 6) AS speed_kmh_36 FROM ({SLICES}) GROUP BY route")
 def a05(spark, d):
-    return rounded(slices.edge_slices_wide(slices.edge_slices(traj(spark, d)), [28, 36]))
+    return rounded(slices.edge_slices_wide(road_slices(spark, d), [28, 36]))
 
 
 @query("j04_edges_slices", f"SELECT e.uniqueid, e.u, e.v, k, flux FROM edges e LEFT JOIN ({SLICES}) s ON e.uniqueid = s.route WHERE e.uniqueid IN (SELECT min(uniqueid) FROM edges GROUP BY u, v)")
 def j04(spark, d):
-    return slices.edges_with_slices(view(spark, d, "edges"), slices.edge_slices(traj(spark, d))).select("uniqueid", "u", "v", "k", "flux")
+    return slices.edges_with_slices(view(spark, d, "edges"), road_slices(spark, d)).select("uniqueid", "u", "v", "k", "flux")
 
 
 @query("a17_gamma", f"SELECT round(sum(length) / sum(capacity * length), 12) AS gamma FROM traj WHERE {CONTROL}")
@@ -156,12 +164,12 @@ def a17(spark, d):
 
 @query("a18_mfd_road_time", f"SELECT e.uniqueid AS route, t.k, round(coalesce(s.speed_kmh, e.speed_mph * 1.6::double), 6) AS speed_kmh, coalesce(s.flux, 0) AS people FROM edges e CROSS JOIN (SELECT unnest(range(96)) AS k) t LEFT JOIN ({SLICES}) s ON s.route = e.uniqueid AND s.k = t.k")
 def a18(spark, d):
-    return rounded(slices.road_time_table(view(spark, d, "edges"), slices.edge_slices(traj(spark, d)), spark.range(96).withColumnRenamed("id", "k")))
+    return rounded(slices.road_time_table(view(spark, d, "edges"), road_slices(spark, d), spark.range(96).withColumnRenamed("id", "k")))
 
 
 @query("a19_mfd", f"SELECT k, cast(sum(flux) AS BIGINT) AS people, round(sum(speed_kmh * flux), 4) AS flow FROM ({SLICES}) GROUP BY k")
 def a19(spark, d):
-    return rounded(slices.mfd(slices.edge_slices(traj(spark, d))), 4)
+    return rounded(slices.mfd(road_slices(spark, d)), 4)
 
 
 CLASSED = f"SELECT route, u, v, k, round(speed_kmh / (speed_mph * 1.6::double), 9) AS ratio FROM ({SLICES}) JOIN edges ON route = uniqueid"
@@ -169,19 +177,19 @@ CLASSED = f"SELECT route, u, v, k, round(speed_kmh / (speed_mph * 1.6::double),
 
 @query("c01_classes", f"SELECT route, k, ratio, ratio < 0.25 AS severe, ratio < 0.5 AS moderate, ratio < 0.9 AS free_flow, CASE WHEN ratio < 0.25 THEN 'severe' WHEN ratio < 0.5 THEN 'moderate' WHEN ratio < 0.9 THEN 'free_flow' ELSE 'none' END AS traffic_class FROM ({CLASSED})")
 def c01(spark, d):
-    classes = slices.traffic_classes(slices.edge_slices(traj(spark, d)), view(spark, d, "edges"))
+    classes = slices.traffic_classes(road_slices(spark, d), view(spark, d, "edges"))
     return classes.select("route", "k", "ratio", "severe", "moderate", "free_flow", "traffic_class")
 
 
 @query("a27_class_counts", f"SELECT k, count(*) FILTER (ratio < 0.25) AS severe, count(*) FILTER (ratio < 0.5) AS moderate, count(*) FILTER (ratio < 0.9) AS free_flow, count(*) AS roads FROM ({CLASSED}) GROUP BY k")
 def a27(spark, d):
-    return slices.class_counts(slices.traffic_classes(slices.edge_slices(traj(spark, d)), view(spark, d, "edges")))
+    return slices.class_counts(slices.traffic_classes(road_slices(spark, d), view(spark, d, "edges")))
 
 
 @query("j13_flag_merge", f"SELECT e.uniqueid, e.u, e.v, coalesce(c.ratio < 0.5, false) AS moderate FROM edges e LEFT JOIN (SELECT * FROM ({CLASSED}) WHERE k = 32) c ON c.route = e.uniqueid")
 def j13(spark, d):
     e = view(spark, d, "edges")
-    flags = slices.traffic_classes(slices.edge_slices(traj(spark, d)).filter("k = 32"), e).select(F.col("route").alias("uniqueid"), "moderate")
+    flags = slices.traffic_classes(road_slices(spark, d).filter("k = 32"), e).select(F.col("route").alias("uniqueid"), "moderate")
     return e.select("uniqueid", "u", "v").join(flags, "uniqueid", "left").fillna(False, ["moderate"])
 
 
