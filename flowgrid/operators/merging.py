@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from flowgrid.operators.trajectory import dedupe
+
 NEVER = float("inf")
 
 #: So many links of a group come in before those that join nothing are dropped, and so many are turned into Python numbers at a time.
@@ -188,8 +190,8 @@ def merge_tree(edges: DataFrame, by: list[str], weight: str) -> DataFrame:
     Rows with a null end or weight are left out; a null key is no group.
     """
     kinds = dict(edges.dtypes)
-    # pairs are made distinct where their group is
-    rows = _links(edges, by, weight).groupBy(*by, "u", "v").agg(F.min("w").alias("w")).sortWithinPartitions(*by, "w")
+    # pairs are made distinct where their group is, by sorts: a table of all pairs would take more of a task's memory
+    rows = dedupe(_links(edges, by, weight), [*by, "u", "v"], ["w"]).sortWithinPartitions(*by, "w")
     schema = ", ".join([*(f"{k} {kinds[k]}" for k in by), f"component {kinds['u']}, low double, high double, nodes long, links long"])
     return rows.mapInPandas(_fold(by, False), schema)
 

@@ -96,3 +96,11 @@ def test_the_peak_takes_few_bytes_a_node():
     most = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert len(out) == 1 and most < 110 * n, most
+
+
+def test_pairs_of_the_merge_tree_are_made_distinct_by_sorts_where_their_group_is(spark):
+    links = [(1, 2, 1, 0.5), (1, 1, 2, 0.3), (1, 1, 2, 0.9), (1, 2, 3, 0.9), (2, 1, 2, 0.3), (2, 4, 4, 0.3)]
+    tree = merging.merge_tree(spark.createDataFrame(links, "k long, u long, v long, ratio double"), ["k"], "ratio")
+    assert shuffles(tree) == 1 and "HashAggregate" not in tree._jdf.queryExecution().executedPlan().toString()
+    never = float("inf")
+    assert sorted(map(tuple, tree.collect())) == [(1, 1, 0.3, 0.9, 2, 1), (1, 1, 0.9, never, 3, 2), (2, 1, 0.3, never, 2, 1), (2, 4, 0.3, never, 1, 1)]
